@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import chat, mixing, warc
 from .common import table
 
 #: Target weights, in parts; other sources have DEFAULT_PARTS.
@@ -19,9 +19,47 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_order(docs, PARTS, DEFAULT_PARTS, BLOCK_ROWS)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(1).selectExpr("-7L as conv_id", "explode(array(struct(0L as turn, 'user' as role), struct(1L as turn, 'assistant' as role))) as t").select("conv_id", "t.turn", "t.role", F.lit(said).alias("text"))
+    read = chat.read_chat(chat.format_chat(turns.unionByName(more)))
+    pairs = F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n")))
+    return read.select("conv_id", F.size("roles").cast("long").alias("n_turns"), F.sha2(F.array_join(pairs, ""), 256).alias("turns_sha256"), F.length(F.array_join("loss_texts", "")).cast("long").alias("loss_chars"), F.sha2(F.array_join("loss_texts", ""), 256).alias("loss_sha256"), "formatted_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
+
+
+#: h and r: the control strings of the chat template, as in chat.ESCAPE.
+SQL = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS leader FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+          CASE WHEN payload_bytes >= 1000 AND page_id <> leader THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 1000 AND page_id <> leader THEN leader END AS refers_to
+        FROM m""",
+    "op10_chat": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, regexp_replace(role, '([<\[])(\\*)(\|turn\|>|\|text\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g') AS er,
+          regexp_replace(text, '([<\[])(\\*)(\|turn\|>|\|text\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g') AS et FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+          sum(length(er) + length(et) + 23)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id""",
+}
