@@ -49,12 +49,12 @@ def slot_table(sources: DataFrame) -> DataFrame:
     # Windows of block k of source i: time, as a multiple of 1 / a_i, at which the fluid schedule starts and ends it.
     at = "aggregate(zip_with(s, m, (y, n) -> least({k} * y.a, n * x.a)), 0L, (t, z) -> t + z)"
     jobs = f"transform(s, (x, i) -> transform(filter(sequence(0L, x.a - 1), k -> k < m[i]), k -> struct({at.format(k='k')} div x.a as r, ({at.format(k='(k + 1)')} + x.a - 1) div x.a as d)))"
-    kinds = kinds.selectExpr("s", "e", "until", "t0", "m", "aggregate(m, 0L, (t, x) -> t + x) as cycle_len", f"{jobs} as jobs")
     # At slot t: of the sources whose next block is released, the one with the earliest deadline, then the first.
-    pick = """array_min(filter(transform(done, (n, i) -> struct(if(n < m[i], get(jobs[i], n).d, null) as d, i as i, if(n < m[i], get(jobs[i], n).r, null) as r)),
-        x -> x.d is not null and x.r <= t)).i"""
-    step = f"(st, t) -> named_struct('done', transform(st.done, (n, i) -> n + if(i = {pick.replace('done', 'st.done')}, 1, 0)), 'out', concat(st.out, array({pick.replace('done', 'st.done')})))"
-    edf = kinds.selectExpr("s", "e", "until", "t0", "cycle_len", f"aggregate(sequence(0L, cycle_len - 1), named_struct('done', transform(m, x -> 0), 'out', cast(array() as array<int>)), {step}).out as out")
+    # One-element arrays bind a value for use within a lambda, so that it's computed once.
+    ready = "array_compact(transform(st.done, (n, i) -> if(n < get(z.m, i) and get(get(z.jobs, i), n).r <= t, struct(get(get(z.jobs, i), n).d as d, i as i), null)))"
+    step = f"(st, t) -> get(transform(array(array_min({ready}).i), p -> named_struct('done', transform(st.done, (n, i) -> if(i = p, n + 1, n)), 'out', concat(st.out, array(p)))), 0)"
+    run = f"get(transform(array(struct(m, {jobs} as jobs)), z -> aggregate(sequence(0L, aggregate(z.m, 0L, (t, x) -> t + x) - 1), named_struct('done', transform(z.m, x -> 0), 'out', cast(array() as array<int>)), {step}).out), 0)"
+    edf = kinds.selectExpr("s", "e", "until", "t0", "aggregate(m, 0L, (t, x) -> t + x) as cycle_len", f"{run} as out")
     slots = edf.select("s", "e", "until", "t0", "cycle_len", "out", F.posexplode("out").alias("slot", "i"))
     return slots.selectExpr("s[i].key as key", "cast(size(filter(slice(out, 1, slot), x -> x = i)) as bigint) as k", "e", "until", "t0", "cycle_len", "cast(slot as bigint) as slot")
 
