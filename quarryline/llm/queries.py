@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, quality, simhash, warc
-from .common import table
+from . import chat, fingerprints, langid, mixing, quality, simhash, toxicity, warc
+from .common import table, training_row
 
 #: Target weights, in parts; other sources have DEFAULT_PARTS.
 PARTS, DEFAULT_PARTS, BLOCK_ROWS = {"src0": 12, "src1": 8, "src2": 6}, 4, 16
@@ -24,6 +24,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_fine")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (~training_row(F.col("doc_id"))).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.rate(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("toxicity") >= toxicity.THRESHOLD).cast("int")
+    return out.select("doc_id", (~training_row(F.col("doc_id"))).alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"), "evidence")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
