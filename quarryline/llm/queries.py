@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, html_text, langid, mixing, quality, simhash, toxicity, warc
+from . import chat, fingerprints, html_text, langid, mixing, pieces, quality, simhash, toxicity, warc
 from .common import table, training_row
 
 #: Target weights, in parts; other sources have DEFAULT_PARTS.
@@ -23,6 +23,17 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def encoded(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, token_ids, round_trip (decoding gives the text back)."""
+    model = pieces.load()
+    out = pieces.decode(pieces.encode(docs.select("doc_id", "text"), model), model)
+    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_fine")
