@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
@@ -45,6 +46,19 @@ def _terms(text: str | None) -> Counter:
     return out
 
 
+_ODD = (np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def _bands(text: str | None) -> tuple[bytes, bytes] | None:
+    """Two signatures of four min-hashes of the words: near copies share one of them almost always."""
+    words = set(_TOKEN.findall((text or "").lower()))
+    if not words:
+        return None
+    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    mins = [(h * k ^ (h >> np.uint64(29))).min() for k in _ODD]
+    return np.array(mins[:4]).tobytes(), np.array(mins[4:]).tobytes()
+
+
 class Index:
     """Inverted lists over example vectors, in blocks of neighbouring examples with block maxima."""
 
@@ -119,6 +133,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     # About 2 * PER_CLASS ids: a bounded broadcast.
     sample = written(docs.select("doc_id", "text").join(F.broadcast(marks.where(chosen)), "doc_id").where(F.length("text") <= MAX_SAMPLE_CHARS), "examples")
 
+    # One example of each group of near copies: their common words are no signs of anything.
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = [_bands(t) or (None, None) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in b], pa.binary()), pa.array([x[1] for x in b], pa.binary())], ["doc_id", "a", "b"])
+
+    seen_bands: set = set()
+    kept = []
+    for r in sorted(sample.select(F.col("doc_id").cast("long"), "text").mapInArrow(signatures, "doc_id long, a binary, b binary").collect(), key=lambda r: r.doc_id):
+        mine = {(k, bytes(x)) for k, x in (("a", r.a), ("b", r.b)) if x is not None}
+        if not mine & seen_bands:
+            kept.append((r.doc_id,))
+        seen_bands |= mine
+    sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "doc_id long")), "doc_id", "left_semi")
+
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
