@@ -32,9 +32,9 @@ RULES = {
 #: Kinds of documents: their share, and the rules that see them as junk. One junk class would not do: votes of
 #: rules that see the same fault depend on each other, and the commonest fault would then pass for junk as such.
 CLASSES = {"fine": (0.9, ()), "markup": (0.04, ("symbols", "letters")), "repetition": (0.04, ("repeats", "duplicate_lines", "stutter")), "fragment": (0.02, ("length", "word_length"))}
-#: What a rule is taken to do before any count is seen, as P(abstain, fine, junk), and the weight of that belief
-#: in documents: it fixes which class is which and bounds what few counts can do.
-ITERATIONS, CALM, ALARM, BELIEF = 40, (0.3, 0.68, 0.02), (0.2, 0.2, 0.6), 50.0
+#: What a rule that votes is taken to say before any count is seen, as P(fine, junk), and the weight of that belief
+#: in documents: it fixes which class is which and bounds what few counts can do. Abstaining says nothing.
+ITERATIONS, CALM, ALARM, BELIEF = 40, (0.97, 0.03), (0.25, 0.75), 50.0
 
 
 def _repeat_words(n: Column) -> Column:
@@ -80,9 +80,9 @@ def pattern() -> Column:
 def label_model(patterns: DataFrame) -> DataFrame:
     """patterns(pattern, n) -> (pattern, p_fine): the posterior of the fine class under the fitted model.
 
-    th[c][0] is the log share of class c, th[c][1 + 3 r + v] the log probability that rule r casts vote v there.
+    th[c][0] is the log share of class c, th[c][1 + 3 r + v] the log probability that a vote of rule r there is v.
     """
-    belief = [[share] + [b for rule in RULES for b in (ALARM if rule in seen else CALM)] for share, seen in CLASSES.values()]
+    belief = [[share] + [b for rule in RULES for b in (1.0, *(ALARM if rule in seen else CALM))] for share, seen in CLASSES.values()]
     array = lambda rows: "array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in row) + ")" for row in rows) + ")"
     first = array([[math.log(x) for x in row] for row in belief])
     joint = "transform(th, tc -> aggregate(p.ix, get(tc, 0), (a, i) -> a + get(tc, i)))"
@@ -91,10 +91,11 @@ def label_model(patterns: DataFrame) -> DataFrame:
     shares = f"transform(pats, p -> struct(p.ix as ix, transform({softmax}, x -> x * p.n) as w))"
     total = "aggregate(q, 0D, (a, p) -> a + get(p.w, c))"
     seen = "aggregate(filter(q, p -> array_contains(p.ix, i)), 0D, (a, p) -> a + get(p.w, c))"
-    row = f"get(transform(array({total}), t -> transform(b, (x, i) -> if(i = 0, ln((t + x * {BELIEF}D) / (n_all + {BELIEF}D)), ln(({seen} + x * {BELIEF}D) / (t + {BELIEF}D))))), 0)"
+    voted = "aggregate(filter(q, p -> array_contains(p.ix, i + 1 - (i - 1) % 3) or array_contains(p.ix, i + 2 - (i - 1) % 3)), 0D, (a, p) -> a + get(p.w, c))"
+    row = f"get(transform(array({total}), t -> transform(b, (x, i) -> case when i = 0 then ln((t + x * {BELIEF}D) / (n_all + {BELIEF}D)) when (i - 1) % 3 = 0 then 0D else ln(({seen} + x * {BELIEF}D) / ({voted} + {BELIEF}D)) end)), 0)"
     m_step = f"get(transform(array({shares}), q -> transform(belief, (b, c) -> {row})), 0)"
     votes = ", ".join(f"cast({1 + 3 * r} + floor(pattern / {3**r}) % 3 as int)" for r in range(len(RULES)))
-    one = patterns.select(F.struct("pattern", F.expr(f"array({votes})").alias("ix"), F.col("n").cast("double").alias("n")).alias("p")).agg(F.sort_array(F.collect_list("p")).alias("pats"), F.sum("p.n").alias("n_all"))
+    one = patterns.select(F.struct("pattern", F.expr(f"filter(array({votes}), y -> (y - 1) % 3 <> 0)").alias("ix"), F.col("n").cast("double").alias("n")).alias("p")).agg(F.sort_array(F.collect_list("p")).alias("pats"), F.sum("p.n").alias("n_all"))
     one = one.withColumn("belief", F.expr(array(belief)))
     fit = one.selectExpr("pats", f"aggregate(sequence(1, {ITERATIONS}), {first}, (th, k) -> {m_step}) as th")
     return fit.selectExpr("th", "explode(pats) as p").selectExpr("p.pattern", f"get({softmax}, 0) as p_fine")

@@ -32,21 +32,25 @@ def test_counts_equal_brute_force(spark):
 
 def em(patterns):
     """The fit in plain Python."""
-    belief = [[s] + [b for rule in quality.RULES for b in (quality.ALARM if rule in seen else quality.CALM)] for s, seen in quality.CLASSES.values()]
-    th = [[math.log(x) for x in row] for row in belief]
-    ix = {p: [1 + 3 * r + p // 3**r % 3 for r in range(len(quality.RULES))] for p in patterns}
+    rules = list(quality.RULES)
+    th = [{"share": s} | {r: list(quality.ALARM if r in seen else quality.CALM) for r in rules} for s, seen in quality.CLASSES.values()]
+    belief = [{k: list(v) if isinstance(v, list) else v for k, v in t.items()} for t in th]
+    votes = {p: {r: p // 3**k % 3 for k, r in enumerate(rules) if p // 3**k % 3} for p in patterns}
 
     def post(p):
-        x = [math.exp(t[0] + sum(t[i] for i in ix[p])) for t in th]
+        x = [t["share"] * math.prod(t[r][v - 1] for r, v in votes[p].items()) for t in th]
         return [y / sum(x) for y in x]
 
-    total = sum(patterns.values())
+    n_all, w = sum(patterns.values()), quality.BELIEF
     for _ in range(quality.ITERATIONS):
         q = {p: post(p) for p in patterns}
         new = []
         for c, b in enumerate(belief):
-            t = sum(n * q[p][c] for p, n in patterns.items())
-            new.append([math.log((t + b[0] * quality.BELIEF) / (total + quality.BELIEF))] + [math.log((sum(n * q[p][c] for p, n in patterns.items() if i in ix[p]) + b[i] * quality.BELIEF) / (t + quality.BELIEF)) for i in range(1, len(b))])
+            mass = lambda keep: sum(n * q[p][c] for p, n in patterns.items() if keep(votes[p]))  # noqa: B023, E731
+            t = {"share": (mass(lambda v: True) + b["share"] * w) / (n_all + w)}
+            for r in rules:
+                t[r] = [(mass(lambda v: v.get(r) == k) + b[r][k - 1] * w) / (mass(lambda v: r in v) + w) for k in (1, 2)]  # noqa: B023
+            new.append(t)
         th = new
     return {p: post(p)[0] for p in patterns}
 
