@@ -55,7 +55,9 @@ def test_toxicity_on_labels(spark):
 
 
 def test_toxicity_edge_cases(spark):
-    rows = [(i, "you idiot scum" if i % 2 else "a nice day", "x") for i in range(60)]
+    # Near copies count as one example, so these have words of their own.
+    own = lambda i: " ".join(f"{a}{chr(97 + i % 26)}{chr(97 + i // 26)}" for a in "bcdfghjklm")
+    rows = [(i, ("you idiot scum " if i % 2 else "a nice day ") + own(i), "x") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
     labels = spark.createDataFrame([(i, i % 2, "z") for i in range(60)] + [(None, 1, ""), (3, None, "")], "doc_id long, toxic int, text string")
     index = toxicity.fit(docs, labels)
