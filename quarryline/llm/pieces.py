@@ -21,12 +21,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .common import written
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LATTICE_WORDS, LATTICE_CHARS, CACHE = 50_000, 32, 200_000
+LATTICE_WORDS, LATTICE_CHARS, CACHE, CHUNK = 50_000, 32, 50_000, 1 << 20
 SPACE = "▁"
 _NORMAL, _BYTE = 1, 6
 UNIGRAM, BPE = 1, 2
@@ -145,7 +148,7 @@ def common_words(docs: DataFrame, model: Model, text: str = "text") -> DataFrame
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 seen.update(w for w in pattern.findall(_marked(t)) if 2 <= len(w) <= LATTICE_CHARS) if t else None
-            if len(seen) > CACHE:
+            if len(seen) > 4 * CACHE:
                 yield rows(seen)
                 seen.clear()
         yield rows(seen)
@@ -180,7 +183,8 @@ def fold(lattices: DataFrame, kind: int) -> DataFrame:
 
 
 def _held(docs: DataFrame, model: Model, text: str):
-    rows = fold(lattice(common_words(docs, model, text), model), model.kind).collect()  # LATTICE_WORDS at most
+    common = written(common_words(docs, model, text), "words")
+    rows = fold(lattice(common, model), model.kind).collect()  # LATTICE_WORDS at most
     known = {r.word: [i for a, b in zip(r.cuts, r.cuts[1:], strict=False) for i in model._of(r.word[a:b])] for r in rows}
     return docs.sparkSession.sparkContext.broadcast((model, known))
 
@@ -198,27 +202,54 @@ def encode(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         pattern = re.compile(m.cut)
         get, rest = known.get, m.segment
         for batch in batches:
-            flat: list[np.ndarray] = []
-            ends = [0]
-            for t in batch.column(at).to_pylist():
+            first, ends, flat = 0, [0], []
+            texts = batch.column(at)
+            for i in range(batch.num_rows):
                 ids: list[int] = []
-                for w in pattern.findall(_marked(t or "")):
+                for w in pattern.findall(_marked(texts[i].as_py() or "")):
                     ids += get(w) or rest(w)
                 flat.append(np.array(ids, np.int32))
                 ends.append(ends[-1] + len(ids))
-            values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], [*batch.schema.names, "token_ids"])
+                if ends[-1] >= CHUNK or i + 1 == batch.num_rows:
+                    values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, i + 1 - first).columns, values], [*batch.schema.names, "token_ids"])
+                    first, ends, flat = i + 1, [0], []
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType()))]))
 
 
 def decode(tokens: DataFrame, model: Model, ids: str = "token_ids") -> DataFrame:
     """tokens plus decoded, the text: the leading space that encoding adds is taken off. Null ids: null."""
-    raw, at = model.raw, tokens.columns.index(ids)
+    at = tokens.columns.index(ids)
+    table = np.frombuffer(b"".join(model.raw), np.uint8)
+    size = np.array([len(x) for x in model.raw])
+    begin = np.cumsum(size) - size
+
+    def texts(col: pa.ListArray) -> pa.Array:
+        """Bytes of all ids are gathered by one index; a text's leading space is not copied."""
+        off = col.offsets.to_numpy().astype(np.int64)
+        i = col.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].astype(np.int64)
+        n, src = size[i], begin[i].copy()
+        heads = (off[:-1] - off[0])[np.diff(off) > 0]
+        spaced = heads[table[src[heads]] == 32] if len(heads) else heads
+        n = n.copy()
+        n[spaced] -= 1
+        src[spaced] += 1
+        ends = np.concatenate(([0], np.cumsum(n)))
+        out = table[np.repeat(src - ends[:-1], n) + np.arange(ends[-1])]
+        got = pa.Array.from_buffers(pa.string(), len(col), [None, pa.py_buffer(ends[off - off[0]].astype(np.int32)), pa.py_buffer(out)])
+        try:
+            got.validate(full=True)
+        except pa.ArrowInvalid:  # ids that don't come from a text
+            starts = ends[off - off[0]]
+            got = pa.array([out[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts, starts[1:], strict=False)], pa.string())
+        return pc.if_else(col.is_valid(), got, pa.scalar(None, pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if x is None else b"".join([raw[i] for i in x]).decode("utf-8", "replace").removeprefix(" ") for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
+            step = max(1, int(batch.num_rows * CHUNK / max(1, len(batch.column(at).values))))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts(part.column(at))], [*part.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField("decoded", StringType())]))

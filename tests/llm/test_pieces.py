@@ -20,6 +20,11 @@ def test_equals_library(spark):
     assert pieces.encode(df.limit(0), MODEL).count() == 0
 
 
+def test_decode_odd_ids(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [3 + 0xC3]), (4, [MODEL.ids["▁a"], MODEL.ids["▁a"]]), (5, [1, 0])], "n int, token_ids array<int>")
+    assert {r.n: r.decoded for r in pieces.decode(df, MODEL).collect()} == {1: None, 2: "", 3: "\ufffd", 4: "a a", 5: ""}
+
+
 def test_long_words_merge_alike():
     rng = random.Random(3)
     for _ in range(200):
