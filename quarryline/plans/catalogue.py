@@ -484,8 +484,8 @@ i AS (SELECT query_id, list_sum(list_transform(range(1, least(count(*), 10) + 1)
 a AS (SELECT item_id, first, dcg, idcg FROM benchmark LEFT JOIN g ON item_id = g.query_id LEFT JOIN i ON item_id = i.query_id)
 SELECT round(avg((coalesce(first, 99) <= 1)::INT), 6) AS recall_1, round(avg((coalesce(first, 99) <= 5)::INT), 6) AS recall_5, round(avg((coalesce(first, 99) <= 10)::INT), 6) AS recall_10, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(coalesce(dcg / idcg, 0)), 6) AS ndcg10, sum((first IS NULL)::INT)::BIGINT AS missed, count(*) AS n FROM a""")
 def recall_mrr(spark, d):
-    """Ground truth: the documents that hold a benchmark text. A text's lines meet the documents' lines on the first
-    line's hash... benchmark is a fixed small table, so its texts are broadcast and searched for."""
+    """Ground truth: the documents that hold a benchmark text. The benchmark is a stated set of questions, so it is
+    broadcast, and each document is searched where it is read."""
     b = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
     truth = _t(spark, d, "documents").join(F.broadcast(b), F.contains(F.col("text"), F.col("needle"))).select("query_id", F.col("doc_id").alias("doc"))
     return evaluation.metrics(_bm25(spark, d), truth, b.select("query_id"), (1, 5, 10))
