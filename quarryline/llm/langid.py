@@ -27,7 +27,7 @@ PER_LANGUAGE, MAX_SAMPLE_CHARS, WORDS, GRAMS, ORDERS = 600, 100_000, 40_000, 10_
 #: A language with fewer training documents is not learned.
 MIN_DOCUMENTS = 3
 _TOKEN = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000
+_CACHE = 20_000
 
 
 class Model:

@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import written
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LATTICE_WORDS, LATTICE_CHARS, CACHE, CHUNK = 50_000, 32, 50_000, 1 << 20
+LATTICE_WORDS, LATTICE_CHARS, CACHE, CHUNK = 50_000, 32, 20_000, 1 << 19
 SPACE = "▁"
 _NORMAL, _BYTE = 1, 6
 UNIGRAM, BPE = 1, 2
