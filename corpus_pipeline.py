@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +36,19 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return queries.encoded(docs)
+    """Rows come in the order of docs' part files, which is the mixed order.
+
+    Spark packs files into read partitions by size. So rows go back to the partition of their part's number, in the
+    order of the file. A frame that isn't read from files has its rows in order already, and encoding keeps that.
+    """
+    try:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return queries.encoded(docs)
+    parts = [int(m[1]) for f in docs.inputFiles() if (m := re.search(r"/part-(\d+)[^/]*$", f))]
+    part = F.coalesce(F.regexp_extract("__file", r"^part-(\d+)", 1).try_cast("int"), F.lit(0))
+    out = queries.encoded(placed, "__file", "__row").repartitionById(max(parts, default=0) + 1, part)
+    return out.sortWithinPartitions("__file", "__row").drop("__file", "__row")
 
 
 STAGES = [("language", known_language), ("toxicity", not_toxic), ("near_dedup", near_dedup), ("mix", mixed), ("pieces", tokens)]

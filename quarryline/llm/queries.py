@@ -23,11 +23,11 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, token_ids, round_trip (decoding gives the text back)."""
+def encoded(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, n_tokens, token_ids, round_trip (decoding gives the text back), and the columns to keep."""
     model = pieces.load()
-    out = pieces.decode(pieces.encode(docs.select("doc_id", "text"), model), model)
-    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    out = pieces.decode(pieces.encode(docs.select("doc_id", "text", *keep), model), model)
+    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), *keep)
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

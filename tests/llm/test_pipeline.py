@@ -1,7 +1,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from quarryline.llm import simhash, toxicity
+from quarryline.llm import mixing, queries, simhash, toxicity
 
 D = "/root/testdata/sf0.01"
 
@@ -35,3 +35,16 @@ def test_stages_take_effect_and_keep_the_rest(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, D).columns == ["doc_id", "n_tokens", "token_ids", "round_trip"]
+
+
+def test_run_gives_the_mixed_order(spark):
+    # Several part files of unlike sizes, as larger tables give.
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        got = [r.doc_id for r in corpus_pipeline.run(spark, D).select("doc_id").collect()]
+    finally:
+        spark.conf.unset(coalesce)
+    kept = spark.read.parquet(f"{D}/documents.parquet").join(spark.createDataFrame([(i,) for i in got], "doc_id long"), "doc_id")
+    order = mixing.mix_order(kept, queries.PARTS, queries.DEFAULT_PARTS, queries.BLOCK_ROWS).orderBy("mix_position")
+    assert got == [r.doc_id for r in order.select("doc_id").collect()] and len(got) > 500
