@@ -6,9 +6,9 @@ toxic examples and significantly so; everything else is noise of subject and len
 the TF-IDF vector of its features, and its neighbours are the NEIGHBOURS examples of greatest cosine, found
 exactly: postings are cut into blocks of examples, each with its greatest weight per feature, which bounds the
 cosine of a whole block; blocks are scored in order of their bounds until the next bound cannot reach the
-neighbours found. Votes are weighted by a power of the cosine and by how many labelled rows an example stands
-for, and shrunk towards the share of toxic rows among those without features; texts without features get that
-share. The neighbours are the evidence.
+neighbours found. Near copies of one label are one example, weighted by their number. Votes are weighted by a
+power of the cosine and by how many labelled rows an example stands for, and shrunk towards the share of toxic
+rows among those without features; texts without features get that share. The neighbours are the evidence.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .common import training_row, written
 
 PER_CLASS, MAX_SAMPLE_CHARS, MAX_FEATURES = 3000, 100_000, 4000
 ODDS, G2, MIN_SHARE = 4.0, 15.0, 0.02
+#: Near copies: word sets this alike. Two that are share a band with a probability of 0.985 at 0.8 and 0.9998 at 0.9.
+LIKE, BANDS, BAND_ROWS, SKETCH = 0.8, 8, 4, 1024
 NEIGHBOURS, POWER, SHRINK, BLOCK = 15, 4, 0.5, 64
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
@@ -46,24 +48,59 @@ def _terms(text: str | None) -> Counter:
     return out
 
 
-_ODD = (np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+def _words(text: str | None) -> np.ndarray:
+    """Hashes of a text's words, each once, ascending."""
+    words = set(_TOKEN.findall((text or "").lower()))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)))
 
 
-def _bands(text: str | None) -> tuple[bytes, bytes] | None:
-    """Two signatures of four min-hashes of the words: near copies share one of them almost always."""
-    words = set(_TOKEN.findall((text or "").lower()))
-    if not words:
-        return None
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    mins = [(h * k ^ (h >> np.uint64(29))).min() for k in _ODD]
-    return np.array(mins[:4]).tobytes(), np.array(mins[4:]).tobytes()
+def _bands(h: np.ndarray) -> list[bytes]:
+    """BANDS signatures of BAND_ROWS min-hashes each, every one by a hash of its own (the finalizer of splitmix64)."""
+    mins = []
+    for k in range(1, BANDS * BAND_ROWS + 1):
+        x = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mins.append((x ^ (x >> np.uint64(31))).min())
+    return [np.array(mins[i : i + BAND_ROWS]).tobytes() for i in range(0, len(mins), BAND_ROWS)]
+
+
+def _likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two word sets by their SKETCH least hashes: exact for up to SKETCH words in both together."""
+    both = np.union1d(a, b)[:SKETCH]
+    return float(np.isin(both, np.intersect1d(a, b, assume_unique=True)).mean())
+
+
+def group_copies(rows: list[tuple[int, int, list[bytes], np.ndarray]]) -> dict[int, int]:
+    """rows (doc_id, label, bands, sketch) -> size of its group of near copies for each example to keep.
+
+    In the order of ids, a row joins the most alike kept row of its own label (of equals the first) if their word sets
+    are at least LIKE alike; otherwise it is kept. Only kept rows attract others. Texts without words are kept.
+    """
+    size: dict[int, int] = {}
+    kept: list[tuple[int, np.ndarray]] = []
+    by_band: dict[tuple[int, int, bytes], list[int]] = {}
+    for doc_id, y, bands, sketch in sorted(rows, key=lambda r: (r[0], r[1])):
+        if doc_id in size:  # a repeated id
+            continue
+        keys = [(y, i, x) for i, x in enumerate(bands)]
+        near = sorted({e for k in keys for e in by_band.get(k, ())})
+        like, e = max(((_likeness(sketch, kept[e][1]), -e) for e in near), default=(0.0, 0))
+        if like >= LIKE:
+            size[kept[-e][0]] += 1
+            continue
+        for k in keys:
+            by_band.setdefault(k, []).append(len(kept))
+        kept.append((doc_id, sketch))
+        size[doc_id] = 1
+    return size
 
 
 class Index:
     """Inverted lists over example vectors, in blocks of neighbouring examples with block maxima."""
 
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int | None, int, float, dict[str, int]]], base: float) -> None:
-        """examples: (doc_id, label, rows it stands for, counts of features)."""
+    def __init__(self, idf: dict[str, float], examples: list[tuple[int | None, int, float, dict[str, int]]], base: float, per_row: tuple[float, float] = (1.0, 1.0)) -> None:
+        """examples: (doc_id, label, rows it stands for, counts of features); per_row: rows that one sampled row of label 0, 1 stands for."""
         self.ids = {t: i for i, t in enumerate(sorted(idf))}
         self.idf = np.array([idf[t] for t in sorted(idf)])
         self.base = base
@@ -72,6 +109,7 @@ class Index:
         vectors.sort(key=lambda x: (x[0][0][np.argmax(x[0][1])], len(x[0][0]), tuple(x[0][0]), x[1] is not None, x[1] or 0))
         self.doc_ids = [x[1] for x in vectors]
         self.labels, self.weights = np.array([x[2] for x in vectors], float), np.array([x[3] for x in vectors], float)
+        self.per_row = np.where(self.labels > 0, per_row[1], per_row[0])
         blocks = -(-len(vectors) // BLOCK)
         lists: list[list[list[tuple[int, float]]]] = [[[] for _ in range(blocks)] for _ in self.idf]
         self.maxima = np.zeros((len(self.idf), blocks))
@@ -117,7 +155,7 @@ class Index:
             return self.base, []
         e = [i for _, i in found]
         votes = np.array([s for s, _ in found]) ** POWER * self.weights[e]
-        shrink = SHRINK * self.weights[e].mean()
+        shrink = SHRINK * self.per_row[e].mean()
         score = (votes @ self.labels[e] + shrink * self.base) / (votes.sum() + shrink)
         return float(min(1.0, max(0.0, score))), [self.doc_ids[i] for i in e]
 
@@ -136,51 +174,58 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     # One example of each group of near copies: their common words are no signs of anything.
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b = [_bands(t) or (None, None) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in b], pa.binary()), pa.array([x[1] for x in b], pa.binary())], ["doc_id", "a", "b"])
-
-    seen_bands: set = set()
-    kept = []
-    for r in sorted(sample.select(F.col("doc_id").cast("long"), "text").mapInArrow(signatures, "doc_id long, a binary, b binary").collect(), key=lambda r: r.doc_id):
-        mine = {(k, bytes(x)) for k, x in (("a", r.a), ("b", r.b)) if x is not None}
-        if not mine & seen_bands:
-            kept.append((r.doc_id,))
-        seen_bands |= mine
-    sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "doc_id long")), "doc_id", "left_semi")
+            h = [_words(t) for t in batch.column(2).to_pylist()]
+            bands = pa.array([_bands(x) if len(x) else [] for x in h], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands, pa.array([x[:SKETCH].tobytes() for x in h], pa.binary())], ["doc_id", "y", "bands", "sketch"])
+
+    signed = sample.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(signatures, "doc_id long, y int, bands array<binary>, sketch binary").collect()
+    sizes_of = group_copies([(r.doc_id, r.y, [bytes(x) for x in r.bands], np.frombuffer(bytes(r.sketch), np.uint64)) for r in signed])
+    groups = docs.sparkSession.createDataFrame(list(sizes_of.items()), "doc_id long, copies long")
+    sample = sample.join(F.broadcast(groups), "doc_id")
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        names = ("pos", "neg", "pos_rows", "neg_rows")
+        seen: dict[str, Counter] = {k: Counter() for k in names}
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update(_terms(text).keys())
-        terms = list(seen[0] | seen[1])
+            for text, y, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for t in _terms(text):
+                    seen["pos" if y else "neg"][t] += 1
+                    seen["pos_rows" if y else "neg_rows"][t] += copies
+        terms = list(seen["pos"] | seen["neg"])
         if terms:
-            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], ["term", "pos", "neg"])
-
-    have = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    p, n = have.get(1, 0), have.get(0, 0)
-    counted = sample.select("text", "y").mapInArrow(document_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counted = counted.where((F.col("pos") >= max(2, MIN_SHARE * p)) & (F.col("pos") * max(n, 1) >= ODDS * F.col("neg") * max(p, 1)))
-    ln = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    both = (F.col("pos") + F.col("neg")).cast("double")
-    rest, all_ = F.lit(float(p + n)) - both, float(p + n)
-    g2 = 2 * (ln(F.col("pos").cast("double"), both * p / all_) + ln(F.col("neg").cast("double"), both * n / all_) + ln(p - F.col("pos").cast("double"), rest * p / all_) + ln(n - F.col("neg").cast("double"), rest * n / all_))
-    chosen_terms = counted.withColumn("g2", g2).where(F.col("g2") >= G2).orderBy(F.desc("g2"), "term").limit(MAX_FEATURES).collect()
-    idf = {r.term: 1 + math.log(all_ / (r.pos + r.neg)) for r in chosen_terms}
+            yield pa.RecordBatch.from_arrays([pa.array(terms), *(pa.array([seen[k][t] for t in terms], pa.int64()) for k in names)], ["term", *names])
+
+    have = {r.y: r for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows")).collect()}
+    counted = sample.select("text", "y", "copies").mapInArrow(document_counts, "term string, pos long, neg long, pos_rows long, neg_rows long").groupBy("term")
+    counted = counted.agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "pos_rows", "neg_rows")])
+
+    def chosen_terms(pos: str, neg: str, p: int, n: int) -> dict[str, float]:
+        a, b, all_ = F.col(pos), F.col(neg), float(p + n)
+        signs = counted.where((a >= max(2, MIN_SHARE * p)) & (a * max(n, 1) >= ODDS * b * max(p, 1)))
+        ln = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
+        both = (a + b).cast("double")
+        rest = F.lit(all_) - both
+        g2 = 2 * (ln(a.cast("double"), both * p / all_) + ln(b.cast("double"), both * n / all_) + ln(p - a.cast("double"), rest * p / all_) + ln(n - b.cast("double"), rest * n / all_))
+        rows = signs.withColumn("g2", g2).where(F.col("g2") >= G2).orderBy(F.desc("g2"), "term").limit(MAX_FEATURES).select("term", (a + b).alias("df")).collect()
+        return {r.term: 1 + math.log(all_ / r.df) for r in rows}
+
+    of = lambda y, what: have[y][what] if y in have else 0
+    # Where the groups are too few to tell anything, their rows are what there is to learn from.
+    idf = chosen_terms("pos", "neg", of(1, "n"), of(0, "n")) or chosen_terms("pos_rows", "neg_rows", of(1, "rows"), of(0, "rows"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text, y, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 c = {t: k for t, k in _terms(text).items() if t in idf}
-                rows.append((doc_id, y, list(c), list(c.values())))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["doc_id", "y", "terms", "counts"])
+                rows.append((doc_id, y, copies, list(c), list(c.values())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.string())), pa.array([r[4] for r in rows], pa.list_(pa.int64()))], ["doc_id", "y", "copies", "terms", "counts"])
 
-    rows = sample.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(vectors, "doc_id long, y int, terms array<string>, counts array<long>").collect()
-    examples = [(r.doc_id, r.y, 1 / share[r.y], dict(zip(r.terms, r.counts, strict=True))) for r in rows]
+    rows = sample.select(F.col("doc_id").cast("long"), "text", "y", "copies").mapInArrow(vectors, "doc_id long, y int, copies long, terms array<string>, counts array<long>").collect()
+    examples = [(r.doc_id, r.y, r.copies / share[r.y], dict(zip(r.terms, r.counts, strict=True))) for r in rows]
     plain = [(y, w) for _, y, w, c in examples if not c]
     base = (sum(w for y, w in plain if y) + 0.01) / (sum(w for _, w in plain) + 1)
-    return Index(idf, examples, base)
+    return Index(idf, examples, base, (1 / share[0], 1 / share[1]))
 
 
 def rate(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:

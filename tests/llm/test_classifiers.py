@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarryline.llm import langid, queries, toxicity
+from quarryline.llm.common import training_row
 
 D = "/root/testdata/sf0.01"
 
@@ -66,3 +67,35 @@ def test_toxicity_edge_cases(spark):
     assert got[3, "idiot "] > 0.5 and got[3, "IDIOT!"] > 0.5 and max(got[1, ""], got[2, ""], got[None, "fine"]) < 0.3
     assert {r.toxicity for r in toxicity.rate(odd, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
     assert toxicity.rate(odd.limit(0), index).count() == 0
+
+
+def test_toxicity_of_repeated_rows(spark):
+    rows = [(i, "you idiot scum" if i % 2 else "a nice day", "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, i % 2, "z") for i in range(60)] + [(None, 1, ""), (3, None, "")], "doc_id long, toxic int, text string")
+    index = toxicity.fit(docs, labels)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "idiot " * 30000), (3, "IDIOT!"), (None, "fine")], "doc_id long, text string")
+    got = {(r.doc_id, (r.text or "")[:6]): r.toxicity for r in toxicity.rate(odd, index).collect()}
+    assert got[3, "idiot "] > 0.5 and got[3, "IDIOT!"] > 0.5 and max(got[1, ""], got[2, ""], got[None, "fine"]) < 0.3
+    trained = {r.doc_id for r in labels.where(training_row(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct().collect()}
+    assert index.weights.tolist() == [sum(i % 2 for i in trained)]
+
+
+def test_toxic_row_like_a_clean_one_stays(spark):
+    # Each toxic row is the clean one of the id before it with two words put in, and shares 40 of 42 words with it.
+    text = lambda i: " ".join(f"{a}{b}{chr(97 + i % 26)}{chr(97 + i // 26)}" for a in "bcdfghjk" for b in "aeiou")
+    rows = [(2 * i + y, text(i) + (" idiot scum" if y else ""), y) for i in range(60) for y in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    trained = {r.doc_id for r in docs.where(training_row(F.col("doc_id")) & (F.col("toxic") == 1)).select("doc_id").collect()}
+    assert {d for d, y in zip(index.doc_ids, index.labels, strict=True) if y == 1} == trained
+
+
+def test_groups_of_copies():
+    texts = ["a b c d e f g h i j", "a b c d e f g h i k", "a b c d e f g h k l", "a b c d e f g h i j", "v w x y z", "", ""]
+    labels = [1, 1, 1, 0, 1, 1, 1]
+    signs = [toxicity._words(t) for t in texts]
+    # Row 1 is nearer than LIKE to row 0; row 2 only to row 1, which was dropped; row 3 is of the other label.
+    one_band = [[b"same"] if len(h) else [] for h in signs]
+    rows = [(i, y, b, h) for i, (y, b, h) in enumerate(zip(labels, one_band, signs, strict=True))]
+    assert toxicity.group_copies(rows) == {0: 2, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
