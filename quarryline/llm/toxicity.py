@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from .common import training_row, written
 
 PER_CLASS, MAX_SAMPLE_CHARS, MAX_FEATURES = 3000, 100_000, 4000
-ODDS, G2, MIN_SHARE = 4.0, 15.0, 0.02
+ODDS, G2, MIN_COUNT = 4.0, 15.0, 2
 #: Near copies: word sets this alike. Two that are share a band with a probability of 0.985 at 0.8 and 0.9998 at 0.9.
 LIKE, BANDS, BAND_ROWS, SKETCH = 0.8, 8, 4, 1024
 NEIGHBOURS, POWER, SHRINK, BLOCK = 15, 4, 0.5, 64
@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
 
     def chosen_terms(pos: str, neg: str, p: int, n: int) -> dict[str, float]:
         a, b, all_ = F.col(pos), F.col(neg), float(p + n)
-        signs = counted.where((a >= max(2, MIN_SHARE * p)) & (a * max(n, 1) >= ODDS * b * max(p, 1)))
+        signs = counted.where((a >= MIN_COUNT) & (a * max(n, 1) >= ODDS * b * max(p, 1)))
         ln = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
         both = (a + b).cast("double")
         rest = F.lit(all_) - both

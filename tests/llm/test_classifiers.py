@@ -99,3 +99,15 @@ def test_groups_of_copies():
     one_band = [[b"same"] if len(h) else [] for h in signs]
     rows = [(i, y, b, h) for i, (y, b, h) in enumerate(zip(labels, one_band, signs, strict=True))]
     assert toxicity.group_copies(rows) == {0: 2, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
+
+
+def test_rare_toxic_words_are_features(spark):
+    # Toxic row i has one of 70 toxic words, each in under a fiftieth of the toxic rows, among words of its own.
+    own = lambda i: " ".join(f"{a}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for a in "bcdfghjklm")
+    word = lambda i: f"{chr(97 + i % 10)}{chr(97 + i // 10 % 7)}qqqq"
+    rows = [(i, own(i) + (f" {word(i // 2)}" if i % 2 else ""), i % 2) for i in range(2800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    new = spark.createDataFrame([(i, f"good day {word(i)}") for i in range(70)] + [(70, "good day")], "doc_id long, text string")
+    got = {r.doc_id: r.toxicity for r in toxicity.rate(new, index).collect()}
+    assert sum(got[i] >= toxicity.THRESHOLD for i in range(70)) >= 60 and got[70] < toxicity.THRESHOLD
