@@ -10,7 +10,7 @@ from its target.
 Weights are whole numbers of parts. After every P blocks ("cycle") each source has had exactly its parts, so
 all deviations are zero and the schedule starts over: cycles with the same sources left are alike. A source
 ends in one cycle, so there are at most 2N + 1 kinds of cycle for N sources, and only those are scheduled.
-Rows find their slot by a join on (source, block within the cycle); no task ever sees a whole source.
+Rows find their slot by a join on (source, block within the cycle); no task ever sees a whole source's rows.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Limits the slot table, which is broadcast, to (2 * 512 + 1) kinds of cycle.
-MAX_SOURCES = 512
+from .common import written
+
+#: A slot table of up to this many rows is broadcast; a longer one is written out by block and joined by key.
+BROADCAST_ROWS = 100_000
 SEED = 17
 
 
@@ -40,23 +42,39 @@ def _parts(key: Column, parts: dict[str, int], default: int) -> Column:
 
 def slot_table(sources: DataFrame) -> DataFrame:
     """sources(key, a, blocks) -> (key, k, e, until, t0, cycle_len, slot): in every cycle v with e <= v < until,
-    block k (from 0) of the source's share goes to slot t0 + (v - e) * cycle_len + slot."""
-    one = sources.where("blocks > 0").agg(F.sort_array(F.collect_list(F.struct("key", "a", "blocks"))).alias("s"))
-    one = one.where(F.size("s") > 0).select(F.when(F.size("s") > MAX_SOURCES, F.raise_error(F.lit(f"more than {MAX_SOURCES} sources"))).otherwise(F.col("s")).alias("s"))
-    breaks = F.expr("array_sort(array_distinct(concat(array(0L), flatten(transform(s, x -> array(x.blocks div x.a, (x.blocks + x.a - 1) div x.a))))))")
-    kinds = one.select("s", breaks.alias("b")).select("s", F.posexplode("b").alias("n", "e"), "b")
-    kinds = kinds.where("n + 1 < size(b)").selectExpr("s", "e", "b[n + 1] as until", "transform(s, x -> least(x.a, greatest(0L, x.blocks - e * x.a))) as m", "aggregate(s, 0L, (t, x) -> t + least(e * x.a, x.blocks)) as t0")
-    # Windows of block k of source i: time, as a multiple of 1 / a_i, at which the fluid schedule starts and ends it.
-    at = "aggregate(zip_with(s, m, (y, n) -> least({k} * y.a, n * x.a)), 0L, (t, z) -> t + z)"
-    jobs = f"transform(s, (x, i) -> transform(filter(sequence(0L, x.a - 1), k -> k < m[i]), k -> struct({at.format(k='k')} div x.a as r, ({at.format(k='(k + 1)')} + x.a - 1) div x.a as d)))"
-    # At slot t: of the sources whose next block is released, the one with the earliest deadline, then the first.
+    block k (from 0) of the source's share goes to slot t0 + (v - e) * cycle_len + slot.
+
+    Sources of equal parts and equal shares in a cycle have equal windows, so each kind of cycle is scheduled, in a row
+    of its own, over such classes: their jobs are (class, k), of as many blocks as the class has sources. A job runs
+    until it's done or the next release, which gives runs of slots; within a run the class's sources come by key. A
+    row here stands for at least one block, so there are never more rows than blocks.
+    """
+    live = sources.where("blocks > 0")
+    ends = live.select(F.explode(F.expr("array(0L, blocks div a, (blocks + a - 1) div a)")).alias("e")).distinct().agg(F.array_sort(F.collect_list("e")).alias("b"))
+    # At most about 2 * sqrt(2 * blocks) kinds, as sources that end in different cycles have different sizes.
+    kinds = "transform(sequence(0, size(b) - 2), i -> struct(b[i] as e, b[i + 1] as until))"
+    pairs = live.crossJoin(F.broadcast(ends)).where("size(b) > 1").select("key", "a", "blocks", F.explode(F.expr(f"filter({kinds}, z -> z.e * a < blocks)")).alias("z"))
+    pairs = pairs.selectExpr("key", "a", "z.e as e", "z.until as until", "least(a, blocks - z.e * a) as m")
+    by_class = pairs.groupBy("e", "until", "a", "m").agg(F.count(F.lit(1)).alias("c"))
+    by_kind = by_class.groupBy("e", "until").agg(F.sort_array(F.collect_list(F.struct("a", "m", "c"))).alias("s"))
+    by_kind = by_kind.withColumn("cycle_len", F.expr("aggregate(s, 0L, (t, x) -> t + x.m * x.c)"))
+    by_kind = by_kind.withColumn("t0", F.coalesce(F.sum(F.expr("(until - e) * cycle_len")).over(W.orderBy("e").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # Windows of block k of a source of class x: time, as a multiple of 1 / x.a, at which the fluid schedule starts and ends it.
+    at = "aggregate(s, 0L, (t, y) -> t + y.c * least({k} * y.a, y.m * x.a))"
+    jobs = f"array_sort(flatten(transform(s, (x, i) -> transform(sequence(0L, x.m - 1), k -> struct(({at.format(k='(k + 1)')} + x.a - 1) div x.a as d, i as i, k as k, {at.format(k='k')} div x.a as r, x.c as c)))))"
+    # Of the released jobs with blocks left the one with the earliest deadline, then the first: jobs are in that order.
     # One-element arrays bind a value for use within a lambda, so that it's computed once.
-    ready = "array_compact(transform(st.done, (n, i) -> if(n < get(z.m, i) and get(get(z.jobs, i), n).r <= t, struct(get(get(z.jobs, i), n).d as d, i as i), null)))"
-    step = f"(st, t) -> get(transform(array(array_min({ready}).i), p -> named_struct('done', transform(st.done, (n, i) -> if(i = p, n + 1, n)), 'out', concat(st.out, array(p)))), 0)"
-    run = f"get(transform(array(struct(m, {jobs} as jobs)), z -> aggregate(sequence(0L, aggregate(z.m, 0L, (t, x) -> t + x) - 1), named_struct('done', transform(z.m, x -> 0), 'out', cast(array() as array<int>)), {step}).out), 0)"
-    edf = kinds.selectExpr("s", "e", "until", "t0", "aggregate(m, 0L, (t, x) -> t + x) as cycle_len", f"{run} as out")
-    slots = edf.select("s", "e", "until", "t0", "cycle_len", "out", F.posexplode("out").alias("slot", "i"))
-    return slots.selectExpr("s[i].key as key", "cast(size(filter(slice(out, 1, slot), x -> x = i)) as bigint) as k", "e", "until", "t0", "cycle_len", "cast(slot as bigint) as slot")
+    ready = "array_min(array_compact(transform(jobs, (j, n) -> if(j.r <= st.t and get(st.todo, n) > 0, n, null))))"
+    run = "least(get(st.todo, p), coalesce(array_min(transform(filter(jobs, j -> j.r > st.t), j -> j.r)) - st.t, get(st.todo, p)))"
+    out = "struct(get(jobs, p).i as i, get(jobs, p).k as k, get(jobs, p).c - get(st.todo, p) as first, w as n, st.t as slot)"
+    step = f"(st, q) -> get(transform(array({ready}), p -> if(p is null, st, get(transform(array({run}), w -> named_struct('t', st.t + w, 'todo', transform(st.todo, (x, n) -> if(n = p, x - w, x)), 'out', concat(st.out, array({out})))), 0))), 0)"
+    # Each step ends a job or reaches a release, so twice as many steps as jobs are enough.
+    start = "named_struct('t', 0L, 'todo', transform(jobs, j -> j.c), 'out', cast(array() as array<struct<i: int, k: bigint, first: bigint, n: bigint, slot: bigint>>))"
+    edf = by_kind.repartition("e").withColumn("jobs", F.expr(jobs)).withColumn("runs", F.expr(f"aggregate(sequence(1, 2 * size(jobs)), {start}, {step}).out"))
+    runs = edf.select("e", "s", "t0", "cycle_len", F.explode("runs").alias("r")).selectExpr("e", "s[r.i].a as a", "s[r.i].m as m", "t0", "cycle_len", "r.k as k", "r.first as first", "r.n as n", "r.slot as start")
+    members = pairs.withColumn("j", F.row_number().over(W.partitionBy("e", "a", "m").orderBy("key")) - 1)
+    slots = members.join(runs, ["e", "a", "m"]).where("j >= first and j < first + n")
+    return slots.selectExpr("key", "k", "e", "until", "t0", "cycle_len", "start + j - first as slot")
 
 
 def mix_order(docs: DataFrame, parts: dict[str, int], default_parts: int = 4, block_rows: int = 16, source: str = "source", row_id: str = "doc_id", buckets: int = 4096) -> DataFrame:
@@ -66,7 +84,7 @@ def mix_order(docs: DataFrame, parts: dict[str, int], default_parts: int = 4, bl
 
     Every row comes out once: nothing is repeated or left out to reach a weight. Within a source, rows come
     in the order of a hash of row_id, then of row_id, then of the whole row's hash (equal rows are
-    interchangeable). Null sources form one source; null ids are ids like others. Empty in, empty out. docs
+    interchangeable). Any number of sources. Null sources form one source; null ids are ids like others. Empty in, empty out. docs
     may have any other columns but the three mix_ ones.
     """
     clash = {"mix_block", "mix_slot", "mix_position"} & set(docs.columns)
@@ -80,16 +98,21 @@ def mix_order(docs: DataFrame, parts: dict[str, int], default_parts: int = 4, bl
     offsets = counts.select("__mix_key", "__mix_bucket", F.coalesce(F.sum("__mix_n").over(before), F.lit(0)).alias("__mix_before"))
     sizes = counts.groupBy("__mix_key").agg(F.sum("__mix_n").alias("n"))
     sources = sizes.select(F.col("__mix_key").alias("key"), _parts(F.col("__mix_key"), parts, default_parts).alias("a"), F.ceil(F.col("n") / block_rows).alias("blocks"))
-    slots = slot_table(sources)
+    slots = written(slot_table(sources), "slots")
     inner = W.partitionBy("__mix_key", "__mix_bucket").orderBy("__mix_h", row_id, "__mix_row")
     ranked = rows.withColumn("__mix_row", F.xxhash64(*own) if len(own) > 1 else F.lit(0)).withColumn("__mix_rn", F.row_number().over(inner))
     ranked = ranked.join(offsets, ["__mix_key", "__mix_bucket"]).withColumn("__mix_rank", F.col("__mix_before") + F.col("__mix_rn") - 1)
     ranked = ranked.withColumn("mix_block", F.expr(f"__mix_rank div {block_rows}")).withColumn("__mix_a", _parts(F.col("__mix_key"), parts, default_parts))
     ranked = ranked.withColumn("__mix_v", F.expr("mix_block div __mix_a")).withColumn("__mix_k", F.expr("mix_block % __mix_a"))
-    slots = slots.select(*[F.col(c).alias(f"__mix_s_{c}") for c in slots.columns])
-    on = (F.col("__mix_key") == F.col("__mix_s_key")) & (F.col("__mix_k") == F.col("__mix_s_k")) & (F.col("__mix_v") >= F.col("__mix_s_e")) & (F.col("__mix_v") < F.col("__mix_s_until"))
-    out = ranked.join(F.broadcast(slots), on)  # at most (2 * sources + 1) * parts rows
-    out = out.withColumn("mix_slot", F.expr("__mix_s_t0 + (__mix_v - __mix_s_e) * __mix_s_cycle_len + __mix_s_slot"))
+    if slots.count() <= BROADCAST_ROWS:
+        slots = slots.select(*[F.col(c).alias(f"__mix_s_{c}") for c in slots.columns])
+        on = (F.col("__mix_key") == F.col("__mix_s_key")) & (F.col("__mix_k") == F.col("__mix_s_k")) & (F.col("__mix_v") >= F.col("__mix_s_e")) & (F.col("__mix_v") < F.col("__mix_s_until"))
+        out = ranked.join(F.broadcast(slots), on)  # BROADCAST_ROWS at most
+        out = out.withColumn("mix_slot", F.expr("__mix_s_t0 + (__mix_v - __mix_s_e) * __mix_s_cycle_len + __mix_s_slot"))
+    else:
+        blocks = slots.join(sources.select("key", "a", "blocks"), "key").withColumn("v", F.explode(F.expr("sequence(e, until - 1)"))).withColumn("mix_block", F.expr("v * a + k"))
+        blocks = blocks.where("mix_block < blocks").select(F.col("key").alias("__mix_key"), "mix_block", F.expr("t0 + (v - e) * cycle_len + slot").alias("mix_slot"))
+        out = ranked.join(blocks, ["__mix_key", "mix_block"])  # one row a block, each matched by block_rows rows at most
     out = out.withColumn("mix_position", F.expr(f"mix_slot * {block_rows} + __mix_rank % {block_rows}"))
     return out.select(*own, "mix_block", "mix_slot", "mix_position")
 

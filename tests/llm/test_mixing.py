@@ -62,3 +62,12 @@ def test_mix_keeps_columns_and_order(spark):
     assert out.columns == df.columns
     want = [r.doc_id for r in mixing.mix_order(df, {"s0": 4}, 1, 2).orderBy("mix_position").collect()]
     assert [r.doc_id for r in out.collect()] == want
+
+
+def test_more_than_512_sources(spark):
+    check(spark, [(i, "a" if i % 2 else "b" if i % 8 == 0 else f"host{i * i % 1301}", None, None) for i in range(5000)])
+
+
+def test_long_slot_table_is_joined_by_block(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    check(spark, [(i, "a" if i % 3 == 0 else "b" if i % 7 == 1 else None if i % 11 == 2 else f"c{i % 4}", "x", None) for i in range(400)])
