@@ -1,4 +1,4 @@
-"""Vectors, fusion, reranking, merging and budgets."""
+"""Vectors, fusion, reranking, merging and budgets."""
 
 from __future__ import annotations
 

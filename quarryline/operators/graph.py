@@ -1,4 +1,4 @@
-"""Graph operators over edges."""
+"""Graph operators over edges (G1-G3, A1-A3, A7, A11, W3; of G4 the walk, over hops that are given)."""
 
 from __future__ import annotations
 
