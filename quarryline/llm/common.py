@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir, which driver and executors share."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = root or "file:///tmp/checkpoints"  # one machine, as in tests
         _roots[app] = f"{root.rstrip('/')}/quarryline-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_forget, spark, _roots[app])
     return _roots[app]
@@ -36,6 +41,27 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """For tasks that read or write files of the shared folder themselves."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri)
+
+
+def replaced(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns that have, but for case, the names of results to come."""
+    lower = {n.lower() for n in names}
+    return df.drop(*[F.col(f"`{c}`") for c in df.columns if c.lower() in lower])
+
+
+def free(name: str, columns: list[str]) -> str:
+    """The name, with underscores as needed to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """The rows from a Parquet table in the shared folder: lineage ends here and survives lost executors."""
     spark = df.sparkSession

@@ -24,10 +24,8 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids, round_trip (decoding gives the text back), and the columns to keep."""
-    model = pieces.load()
-    out = pieces.decode(pieces.encode(docs.select("doc_id", "text", *keep), model), model)
-    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), *keep)
+    """doc_id, the columns to keep, n_tokens, token_ids and round_trip (decoding gives the text back)."""
+    return pieces.round_trip(docs, pieces.load(), "text", "doc_id", *keep)
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

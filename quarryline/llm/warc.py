@@ -20,11 +20,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import filesystem, shared_dir, written
 
 MIN_REVISIT = 1000
 DICT_BYTES, SAMPLE_BYTES, ARCHIVE_BYTES, LEVEL = 1 << 16, 1 << 22, 1 << 28, 3
@@ -34,12 +33,6 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("payload", pa.binary())])
 
 
-def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)
-
-
 def _record_id(page_id: int | None) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
@@ -76,7 +69,7 @@ class _Archive:
     """An archive being written: holds records until there are enough to train the dictionary."""
 
     def __init__(self, root: str) -> None:
-        self.files, base = _filesystem(root)
+        self.files, base = filesystem(root)
         self.name = f"{uuid.uuid4().hex}.warc.zst"
         self.path, self.uri = f"{base}/{self.name}", f"{root}/{self.name}"
         self.files.create_dir(base, recursive=True)
@@ -169,7 +162,7 @@ def _records(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri in batch.column(0).to_pylist():
-            files, path = _filesystem(uri)
+            files, path = filesystem(uri)
             rows, size = [], 0
             with files.open_input_file(path) as stream:
                 for fields, block in _records(stream):
