@@ -4,12 +4,12 @@ A text is a bag of five-word shingles weighted by how often they occur. For samp
 hashes of (shingle, k) give r and c from Gamma(2, 1) and b from [0, 1); with t = floor(ln w / r + b) the value
 ln c - r (t - b + 1) competes, and the shingle and t of the least value are the sample. Two texts draw the
 same sample with a probability equal to their generalised Jaccard similarity (sum of minima over sum of
-maxima), so the share of equal samples estimates it.
+maxima), so the share of equal samples estimates it, with a standard deviation of 0.09 at most. Every sample
+has its own r, b and c.
 
-Samples k and k + GROUPS share r and b, which are costly to draw, and have c of their own: each sample still
-has that probability, and the estimate a standard deviation of about 0.12 (independent draws: 0.09). Values and sample ids are
-packed into one long, so that sampling is a hash aggregation of plain minima: the shingles of a text are
-generated and aggregated within the task that holds the text.
+Values and sample ids are packed into one long, so that sampling is a hash aggregation of plain minima, a row
+for every PER_ROW samples of a shingle: the shingles of a text are generated and aggregated within the task that
+holds the text. A text and its edited form share most shingles; one that weighs the same in both is drawn for once.
 """
 
 from __future__ import annotations
@@ -20,51 +20,73 @@ from pyspark.sql.window import Window as W
 
 from .common import SPACE
 
-SHINGLE, SAMPLES, GROUPS = 5, 32, 8
+SHINGLE, SAMPLES, PER_ROW = 5, 32, 8
 #: Documents to a bucket of neighbouring ids, about.
 BUCKET_ROWS = 256
+QUANTILES = 128
 _ID = (1 << 31) - 1
 
 
-def weighted_shingles(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df plus out, array<struct(t: hash, w: count)> of the text's shingles; a text of fewer words is one shingle,
-    one without words none. Null if the text is."""
-    keep = [c for c in df.columns if c != text]
-    of = ", ".join(f"get(__h, i + {k})" for k in range(SHINGLE))
-    df = df.select(*keep, F.transform(F.filter(F.split(text, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("__h"))
-    df = df.select(*keep, F.expr(f"sort_array(case when size(__h) >= {SHINGLE} then transform(sequence(0, size(__h) - {SHINGLE}), i -> xxhash64({of})) when size(__h) > 0 then array(xxhash64(__h)) when __h is not null then cast(array() as array<bigint>) end)").alias("__s"))
+def _hashes(df: DataFrame, texts: list[str], out: list[str]) -> DataFrame:
+    """df with out, for each of the texts the hashes of its shingles, instead of them; a text of fewer words is one
+    shingle, one without words (or null) none."""
+    keep = [c for c in df.columns if c not in texts]
+    words = [F.transform(F.filter(F.split(F.coalesce(t, F.lit("")), SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)).alias(o) for t, o in zip(texts, out, strict=True)]
+    df = df.select(*keep, *words)
+    of = lambda o: ", ".join(f"get({o}, i + {k})" for k in range(SHINGLE))
+    return df.select(*keep, *[F.expr(f"case when size({o}) >= {SHINGLE} then transform(sequence(0, size({o}) - {SHINGLE}), i -> xxhash64({of(o)})) when size({o}) > 0 then array(xxhash64({o})) else cast(array() as array<bigint>) end").alias(o) for o in out])
+
+
+def weighted_shingles(df: DataFrame, texts: list[str], out: str) -> DataFrame:
+    """df plus out, array<struct(side, t, w)>, instead of the texts: shingles t of the text numbered side (0 to 2) and
+    how often they occur there. Side 3 stands for 0 and 1 both, where the shingle occurs equally often."""
+    keep = [c for c in df.columns if c not in texts]
+    sides = [f"__s{i}" for i in range(len(texts))]
+    df = _hashes(df, texts, sides)
+    # The last two bits tell the sides apart, so that equal shingles of several sides are neighbours.
+    df = df.select(*keep, F.expr(f"sort_array(concat({', '.join(f'transform({s}, h -> h & -4L | {i}L)' for i, s in enumerate(sides))}))").alias("__s"))
     df = df.select(*keep, "__s", F.expr("case when size(__s) = 0 then cast(array() as array<int>) else filter(sequence(0, size(__s) - 1), i -> i = size(__s) - 1 or get(__s, i) <> get(__s, i + 1)) end").alias("__e"))
-    return df.select(*keep, F.expr("transform(__e, (p, j) -> struct(get(__s, p) as t, p - coalesce(get(__e, j - 1), -1) as w))").alias(out))
+    df = df.select(*keep, F.expr("transform(__e, (p, j) -> struct(get(__s, p) as h, p - coalesce(get(__e, j - 1), -1) as w))").alias("__r"))
+    both = "get(__r, j + 1).h = (x.h | 1L) and get(__r, j + 1).w = x.w and x.h & 3 = 0"
+    again = "get(__r, j - 1).h = (x.h & -2L) and get(__r, j - 1).w = x.w and x.h & 3 = 1"
+    return df.select(*keep, F.expr(f"array_compact(transform(__r, (x, j) -> case when {again} then null else struct(cast(if({both}, 3, x.h & 3) as int) as side, shiftright(x.h, 2) as t, x.w as w) end))").alias(out))
 
 
 def samples(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows(keys, t, w) -> (keys, m0, m1, ...): minima whose bits 31 and up are the value, the others say which
-    shingle and step it was; null for a text without shingles."""
+    """rows(keys, t, w) -> (keys, g, m): m has the minima of samples g * PER_ROW and so on, whose bits 31 and up are the
+    value, the others say which shingle and step it was; null for a text without shingles."""
     unit = lambda h, low, bits: (F.shiftrightunsigned(h, low).bitwiseAND((1 << bits) - 1) + 0.5) / float(1 << bits)  # noqa: E731  in (0, 1)
-    # Few columns at a time: beyond 100 Spark gives up generating code.
-    groups = range(GROUPS)
-    rows = rows.select(*keys, "t", F.log(F.col("w").cast("double")).alias("lw"), *[F.xxhash64("t", F.lit(-1 - g)).alias(f"h{g}") for g in groups])
-    rows = rows.select(*keys, "t", "lw", *[(-F.log(unit(F.col(f"h{g}"), 0, 21) * unit(F.col(f"h{g}"), 21, 21))).alias(f"r{g}") for g in groups], *[unit(F.col(f"h{g}"), 42, 22).alias(f"b{g}") for g in groups])
-    rows = rows.select(*keys, "t", *[x for g in groups for x in (f"r{g}", f"b{g}", F.floor(F.col("lw") / F.col(f"r{g}") + F.col(f"b{g}")).alias(f"s{g}"))])
-    rows = rows.select(*keys, "t", *[x for g in groups for x in ((64 - F.col(f"r{g}") * (F.col(f"s{g}") - F.col(f"b{g}") + 1)).alias(f"y{g}"), (F.col(f"s{g}") * 40503).alias(f"i{g}"))])
+    each = range(PER_ROW)
+    rows = rows.select(*keys, "t", F.log(F.col("w").cast("double")).alias("lw"), F.explode(F.array(*[F.lit(g) for g in range(SAMPLES // PER_ROW)])).alias("g"))
+    rows = rows.select(*keys, "g", "t", "lw", *[F.xxhash64("t", F.col("g") * PER_ROW + (k - 2 * SAMPLES)).alias(f"h{k}") for k in each])
+    rows = rows.select(*keys, "g", "t", "lw", *[x for k in each for x in ((-F.log(unit(F.col(f"h{k}"), 0, 21) * unit(F.col(f"h{k}"), 21, 21))).alias(f"r{k}"), unit(F.col(f"h{k}"), 42, 22).alias(f"b{k}"))])
+    rows = rows.select(*keys, "g", "t", *[x for k in each for x in (f"r{k}", f"b{k}", F.floor(F.col("lw") / F.col(f"r{k}") + F.col(f"b{k}")).alias(f"s{k}"), F.xxhash64("t", F.col("g") * PER_ROW + k).alias(f"h{k}"))])
     out = []
-    for k in range(SAMPLES):
-        g, h = k % GROUPS, F.xxhash64("t", F.lit(k))
-        value = F.log(-F.log(unit(h, 0, 32) * unit(h, 32, 32))) + F.col(f"y{g}")
-        which = F.shiftrightunsigned(h, 33).bitwiseXOR(F.col(f"i{g}")).bitwiseAND(_ID)
-        out.append(F.min(F.shiftleft((value * float(1 << 24)).cast("long"), 31).bitwiseOR(which)).alias(f"m{k}"))
-    return rows.groupBy(*keys).agg(*out)
+    for k in each:
+        h, step = F.col(f"h{k}"), F.col(f"s{k}")
+        value = 64 - F.col(f"r{k}") * (step - F.col(f"b{k}") + 1) + F.log(-F.log(unit(h, 0, 32) * unit(h, 32, 32)))
+        which = F.shiftrightunsigned(h, 33).bitwiseXOR(step * 40503).bitwiseAND(_ID)
+        out.append(F.min(F.when(F.col("t").isNotNull(), F.shiftleft((value * float(1 << 24)).cast("long"), 31).bitwiseOR(which))).alias(f"m{k}"))
+    return rows.groupBy(*keys, "g").agg(*out).select(*keys, "g", F.array(*[f"m{k}" for k in each]).alias("m"))
 
 
-def fingerprint(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """df(keys, text) -> (keys, sig): array of SAMPLES sample ids, all 0 for a text without words (or null).
+def signature(found: str, sides: tuple[int, ...] = (0,)) -> Column:
+    """Sample ids from an array<struct(side, g, m)>: the least values of the sides; 0 where there is none."""
+    least = "zip_with(a, x.m, (p, q) -> least(p, q))"
+    of = f"aggregate(filter({found}, x -> x.g = g and x.side in ({', '.join(map(str, sides))})), array_repeat(cast(null as bigint), {PER_ROW}), (a, x) -> {least})"
+    return F.expr(f"transform(flatten(transform(sequence(0, {SAMPLES // PER_ROW - 1}), g -> {of})), v -> cast(coalesce(v & {_ID}, 0) as int))")
+
+
+def fingerprint(df: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
+    """df(keys, texts), up to three -> (keys, sig0, sig1, ...): arrays of SAMPLES sample ids, all 0 for a text without words (or null).
 
     The keys must tell the rows apart. If df is partitioned by some of them, nothing is shuffled.
     """
-    rows = weighted_shingles(df.select(*keys, text), text, "__terms")
-    rows = rows.select(*keys, F.explode_outer("__terms").alias("__x")).select(*keys, "__x.t", "__x.w")
-    mins = samples(rows, keys)
-    return mins.select(*keys, F.array(*[F.coalesce(F.col(f"m{k}").bitwiseAND(_ID), F.lit(0)).cast("int") for k in range(SAMPLES)]).alias("sig"))
+    rows = weighted_shingles(df.select(*keys, *texts), texts, "__terms")
+    rows = rows.select(*keys, F.explode_outer("__terms").alias("__x")).select(*keys, F.coalesce("__x.side", F.lit(0)).alias("side"), "__x.t", "__x.w")
+    found = samples(rows, [*keys, "side"]).groupBy(*keys).agg(F.collect_list(F.struct("side", "g", "m")).alias("__m"))
+    both = {0: (0, 3), 1: (1, 3), 2: (2,)}
+    return found.select(*keys, *[signature("__m", both[i]).alias(f"sig{i}") for i in range(len(texts))])
 
 
 def as_string(sig: Column) -> Column:
@@ -75,24 +97,43 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z)) / F.lit(float(SAMPLES))
 
 
+def ranges(docs: DataFrame) -> Column:
+    """The number of the range of about BUCKET_ROWS neighbours, by (doc_id, hash of text), that a row is in.
+
+    A row's place is estimated from QUANTILES quantiles of the ids, evenly in between, and by the hash among rows of
+    one id that fill several quantiles (or have none); so neither odd ids nor a frequent one make a large range.
+    """
+    stats = docs.agg(F.count("doc_id").alias("n"), F.count(F.lit(1)).alias("rows"), F.percentile_approx(F.col("doc_id").cast("long"), [i / QUANTILES for i in range(QUANTILES + 1)], 100 * QUANTILES).alias("q")).first()
+    part = F.xxhash64("text").cast("double") / float(1 << 64) + 0.5
+    nulls = F.floor(part * ((stats.rows - stats.n) / BUCKET_ROWS)) - F.lit((stats.rows - stats.n) // BUCKET_ROWS + 1)
+    if not stats.n:
+        return nulls.cast("long")
+    q = F.array(*[F.lit(x).cast("long") for x in stats.q])
+    x = F.col("doc_id").cast("long")
+    below, upto = F.size(F.filter(q, lambda v: v < x)), F.size(F.filter(q, lambda v: v <= x))
+    low, high = F.get(q, below - 1).cast("double"), F.get(q, below).cast("double")
+    between = F.when(below == 0, F.lit(0.0)).when(upto == below, below - 1 + (x - low) / (high - low)).otherwise(below.cast("double"))
+    place = F.when(upto > below + 1, below + part * (upto - below - 1)).otherwise(F.coalesce(between, F.lit(float(QUANTILES))))
+    return F.when(x.isNull(), nulls).otherwise(F.floor(place * (stats.n / QUANTILES / BUCKET_ROWS))).cast("long")
+
+
 def with_edited(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> one row per document: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next.
+    edited_fingerprint, near_edited, near_next. Other columns are ignored.
 
-    Documents are ordered by doc_id (null first), then text; the one after the last is the first. Null text:
-    empty. The edited text is the text whose last n_chars div 4 code points are replaced by the first as many,
-    or all, of the next document. Ids are cut into ranges of about BUCKET_ROWS documents if they lie evenly;
-    uneven ids only make uneven ranges, which sort and spill. Each range needs one row from beyond it: the
-    first of the next range, which comes by a join of one row per range.
+    Documents are ordered by doc_id (null first), then the XXH64 of the text (seed 42, signed), then text; the one after
+    the last is the first. Null text: empty. The edited text is the text whose last n_chars div 4 code points are
+    replaced by the first as many, or all, of the next document. Rows are dealt to tasks by ranges() of them. Each
+    range needs one row from beyond it: the first of the next range, which comes by a join of one row per range.
+    No rows, none out.
     """
-    stats = docs.agg(F.min("doc_id").cast("double").alias("lo"), F.max("doc_id").cast("double").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, width = stats.lo or 0.0, max(1.0, ((stats.hi or 0.0) - (stats.lo or 0.0) + 1) * BUCKET_ROWS / max(stats.n, 1))
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("double") - lo) / width), F.lit(-1)).cast("long")
-    rows = docs.select(bucket.alias("b"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("b")
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    head = rows.groupBy("b").agg(F.min_by("text", F.struct(F.col("doc_id").isNotNull(), "doc_id", "text")).alias("far_text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    bucket = ranges(docs)
+    rows = docs.select(bucket.alias("b"), "doc_id", "text", F.xxhash64("text").alias("h")).repartition("b")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("text")]
+    head = rows.groupBy("b").agg(F.min_by("text", F.struct(F.col("doc_id").isNotNull(), "doc_id", "h", "text")).alias("far_text"))
     # The range before each, first within runs of 1,024 ranges, then among the runs; before the first comes the last.
-    runs = docs.select(bucket.alias("b")).distinct().withColumn("run", F.expr("b div 1024"))
+    runs = docs.select(bucket.alias("b")).distinct().withColumn("run", F.expr("b div 1024 - if(b < 0, 1, 0)"))
     by_run = runs.groupBy("run").agg(F.max("b").alias("last"))
     by_run = by_run.select("run", F.coalesce(F.lag("last").over(W.orderBy("run")), F.max("last").over(W.orderBy("run").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("before_run"))
     links = runs.withColumn("before", F.lag("b").over(W.partitionBy("run").orderBy("b"))).join(by_run, "run").select("b", F.coalesce("before", "before_run").alias("before"))
@@ -103,10 +144,7 @@ def with_edited(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     rows = rows.select("b", "rn", "doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.expr("left(text, length(text) - length(text) div 4)"), F.expr("left(next, cast(length(text) div 4 as int))")).alias("edited"), F.when(F.col("last"), F.col("next")).alias("far"))
     # The next document's fingerprint is found among the range's own, but for the last one's.
-    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("text")) for k, c in enumerate(("text", "edited", "far"))])).alias("x")
-    rows = rows.select("b", "rn", "doc_id", "n_chars", sides).where("x.text is not null").select("b", "rn", "doc_id", "n_chars", "x.side", "x.text")
-    rows = rows.withColumn("sha", F.when(F.col("side") == 1, F.sha2("text", 256)))
-    sigs = fingerprint(rows, ["b", "rn", "side", "doc_id", "n_chars", "sha"], "text")
-    inner = W.partitionBy("b").orderBy("rn", "side")
-    out = sigs.select("*", F.lead("sha").over(inner).alias("edited_sha256"), F.lead("sig").over(inner).alias("edited_sig"), F.lead("sig", 2).over(inner).alias("next_sig")).where("side = 0")
-    return out.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("sig")).alias("fingerprint"), as_string(F.col("edited_sig")).alias("edited_fingerprint"), likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))
+    rows = rows.withColumn("sha", F.sha2("edited", 256)).withColumn("last", F.col("far").isNotNull())
+    sigs = fingerprint(rows, ["b", "rn", "doc_id", "n_chars", "sha", "last"], ["text", "edited", "far"])
+    out = sigs.withColumn("next_sig", F.when(F.col("last"), F.col("sig2")).otherwise(F.lead("sig0").over(W.partitionBy("b").orderBy("rn"))))
+    return out.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), as_string(F.col("sig0")).alias("fingerprint"), as_string(F.col("sig1")).alias("edited_fingerprint"), likeness(F.col("sig0"), F.col("sig1")).alias("near_edited"), likeness(F.col("sig0"), F.col("next_sig")).alias("near_next"))

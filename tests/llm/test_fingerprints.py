@@ -3,6 +3,9 @@ import random
 import re
 from collections import Counter
 
+import xxhash
+from pyspark.sql import functions as F
+
 from quarryline.llm import fingerprints as fp
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -35,7 +38,8 @@ def test_edits_and_likeness(spark):
     rows_twice = rows[60][0]
     random.Random(1).shuffle(rows)
     got = fp.with_edited(spark.createDataFrame(rows, "doc_id long, text string, b long, rn string").repartition(5)).collect()
-    order = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in rows))
+    hashed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    order = [(a, b, d) for a, b, _, d in sorted((r[0] is not None, r[0] or 0, hashed(r[1] or ""), r[1] or "") for r in rows)]
     want, by_id = [], {}
     for i, (has, doc, text) in enumerate(order):
         k, after = len(text) // 4, order[(i + 1) % len(order)][2]
@@ -71,7 +75,10 @@ def test_weights_count(spark):
             a[t], b[t] = rng.choice([1, 2, 9, 40]), rng.choice([1, 3, 9, 60])
         rows += [(i, 0, 1000 * i + t, w) for t, w in a.items()] + [(i, 1, 1000 * i + t, w) for t, w in b.items()]
     df = spark.createDataFrame(rows, "i long, side int, t long, w int").selectExpr("i", "side", "xxhash64(t) as t", "w")
-    sig = {(r.i, r.side): [r[f"m{k}"] for k in range(fp.SAMPLES)] for r in fp.samples(df, ["i", "side"]).collect()}
+    sig = {}
+    for r in fp.samples(df, ["i", "side"]).orderBy("g").collect():
+        sig.setdefault((r.i, r.side), []).extend(r.m)
+    assert {len(x) for x in sig.values()} == {fp.SAMPLES}
     hit = true = 0
     for i in range(400):
         hit += sum(x == y for x, y in zip(sig[i, 0], sig[i, 1])) / fp.SAMPLES / 400
@@ -84,3 +91,25 @@ def test_empty_and_alone(spark):
     df = spark.createDataFrame([(5, "only one of its kind is here, alas")], "doc_id long, text string")
     r = fp.with_edited(df).collect()
     assert len(r) == 1 and r[0].near_next == 1.0 and fp.with_edited(df.limit(0)).count() == 0
+
+
+def test_samples_are_independent(spark):
+    """The estimate's variance is that of SAMPLES independent draws."""
+    rows = [(i, side, i * 100 + t) for i in range(600) for side in (0, 1) for t in range(30) if t % 3 != side]
+    df = spark.createDataFrame(rows, "i long, side int, t long").selectExpr("i", "side", "xxhash64(t) as t", "1 as w")
+    sig = {}
+    for r in fp.samples(df, ["i", "side"]).orderBy("g").collect():
+        sig.setdefault((r.i, r.side), []).extend(r.m)
+    same = [sum(x == y for x, y in zip(sig[i, 0], sig[i, 1])) / fp.SAMPLES for i in range(600)]
+    mean = sum(same) / 600
+    assert abs(mean - 1 / 3) < 0.02
+    assert sum((x - 1 / 3) ** 2 for x in same) / 600 < 1.25 * (1 / 3) * (2 / 3) / fp.SAMPLES
+
+
+def test_ranges_stay_small(spark):
+    """Neither an odd id nor one that many rows have (or lack) makes a large range; ranges follow the order."""
+    ids = [*range(20_000), *[10**15], *[7] * 10_000, *[None] * 10_000]
+    df = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string")
+    got = df.select("doc_id", F.xxhash64("text").alias("h"), fp.ranges(df).alias("b")).collect()
+    order = [r.b for r in sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))]
+    assert order == sorted(order) and max(Counter(order).values()) < 6 * fp.BUCKET_ROWS
