@@ -1,14 +1,15 @@
 """Operator 6: toxicity by the nearest labelled examples.
 
-Examples are a bounded sample of labelled training rows, about PER_CLASS of each class, chosen by a hash of the
-id. Features are words, and beginnings of words of 4 to 6 letters, that are at least ODDS times as frequent in
-toxic examples and significantly so; everything else is noise of subject and length to this question. A text is
-the TF-IDF vector of its features, and its neighbours are the NEIGHBOURS examples of greatest cosine, found
-exactly: postings are cut into blocks of examples, each with its greatest weight per feature, which bounds the
-cosine of a whole block; blocks are scored in order of their bounds until the next bound cannot reach the
-neighbours found. Near copies of one label are one example, weighted by their number. Votes are weighted by a
-power of the cosine and by how many labelled rows an example stands for, and shrunk towards the share of toxic
-rows among those without features; texts without features get that share. The neighbours are the evidence.
+Examples are a bounded sample of labelled training rows, PER_CLASS of each class, chosen by a hash of the id. A
+text is the TF-IDF vector of all its words that stand in any example, each weighted besides by how much its
+document frequency in the examples depends on the class (square root of the G2 statistic): plain TF-IDF is about
+the subject, and finds but a part of the toxic texts. Neighbours are the NEIGHBOURS examples of greatest cosine,
+found exactly: postings are cut into blocks of examples, each with its greatest weight per word, which bounds the
+cosine of a whole block; blocks of the greatest bounds are scored first, then all whose bounds reach the neighbours
+found. Near copies of one label are one example, weighted by their number. Votes are weighted by the cosine and by
+how many labelled rows an example stands for, and shrunk a little towards the base, which texts without known words
+get: the share of toxic rows, less what the absence of all significantly toxic words tells against it. The neighbours
+are the evidence.
 """
 
 from __future__ import annotations
@@ -25,32 +26,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import training_row, written
+from .common import replaced, training_row
 
-PER_CLASS, MAX_SAMPLE_CHARS, MAX_FEATURES = 3000, 100_000, 4000
-ODDS, G2, MIN_COUNT = 4.0, 15.0, 2
+PER_CLASS = 3000
 #: Near copies: word sets this alike. Two that are share a band with a probability of 0.985 at 0.8 and 0.9998 at 0.9.
 LIKE, BANDS, BAND_ROWS, SKETCH = 0.8, 8, 4, 1024
-NEIGHBOURS, POWER, SHRINK, BLOCK = 15, 4, 0.5, 64
+#: FIRST blocks are scored before their result bounds the others.
+NEIGHBOURS, SHRINK, BLOCK, FIRST = 30, 1.0, 64, 6
+#: G2 from which a word's absence counts in the base.
+SIGNIFICANT = 15.0
 THRESHOLD = 0.3
-PREFIXES = (4, 5, 6)
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
-def _terms(text: str | None) -> Counter:
-    """Words as they are, beginnings with an asterisk."""
-    words = Counter(_TOKEN.findall((text or "").lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        for k in PREFIXES:
-            if len(w) >= k:
-                out[w[:k] + "*"] += n
-    return out
+def terms(text: str | None) -> Counter:
+    """The words of a text (runs of letters, in lower case) and how often each occurs."""
+    return Counter(_TOKEN.findall((text or "").lower()))
 
 
-def _words(text: str | None) -> np.ndarray:
+def _hashes(words: Counter) -> np.ndarray:
     """Hashes of a text's words, each once, ascending."""
-    words = set(_TOKEN.findall((text or "").lower()))
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)))
 
 
@@ -96,68 +91,138 @@ def group_copies(rows: list[tuple[int, int, list[bytes], np.ndarray]]) -> dict[i
     return size
 
 
+def relevance(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
+    """G2 of the words that stand in pos of n_pos toxic examples and in neg of n_neg others, half a document added to each
+    count so that no word has none."""
+    a, b, p, n = pos + 0.5, neg + 0.5, n_pos + 1.0, n_neg + 1.0
+    share = (a + b) / (p + n)
+    part = lambda x, of: x * np.log(x / (of * share)) + (of - x) * np.log((of - x) / (of * (1 - share)))
+    return 2 * np.maximum(part(a, p) + part(b, n), 0)
+
+
+def weights(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, per_row: tuple[float, float]) -> np.ndarray:
+    """IDF times the root of the relevance. IDF counts rows that the examples stand for: per_row of the others, of the toxic ones."""
+    rows = n_neg * per_row[0] + n_pos * per_row[1]
+    idf = np.log((rows + 1) / (neg * per_row[0] + pos * per_row[1]))
+    return np.maximum(idf, 1e-6) * np.sqrt(np.maximum(relevance(pos, neg, n_pos, n_neg), 1e-6))
+
+
+def base_rate(share: float, pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> float:
+    """The share of toxic rows among texts that lack all words which are significantly commoner in toxic ones (taken as
+    independent of each other)."""
+    a, b = (pos + 0.5) / (n_pos + 1), (neg + 0.5) / (n_neg + 1)
+    told = (relevance(pos, neg, n_pos, n_neg) >= SIGNIFICANT) & (a > b)
+    odds = share / (1 - share) * math.exp(float(np.log((1 - a[told]) / (1 - b[told])).sum()))
+    return odds / (1 + odds)
+
+
 class Index:
-    """Inverted lists over example vectors, in blocks of neighbouring examples with block maxima."""
-
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int | None, int, float, dict[str, int]]], base: float, per_row: tuple[float, float] = (1.0, 1.0)) -> None:
-        """examples: (doc_id, label, rows it stands for, counts of features); per_row: rows that one sampled row of label 0, 1 stands for."""
-        self.ids = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)])
-        self.base = base
-        vectors = [(self.vector(c), d, y, w) for d, y, w, c in examples if c]
+    """Inverted lists over example vectors, in blocks of neighbouring examples with block maxima.
+
+    Entries (word, block) lie in order; entry i has the postings cut[i] to cut[i + 1] and the greatest weight top[i].
+    """
+
+    def __init__(self, examples: list[tuple[int, int, float, dict[str, int]]], share: float, per_row: tuple[float, float] = (1.0, 1.0)) -> None:
+        """examples: (doc_id, label, rows it stands for, counts of words); share: of toxic rows; per_row: rows that one
+        sampled row of label 0, 1 stands for."""
+        self.words = sorted({w for *_, c in examples for w in c})
+        ids = {w: i for i, w in enumerate(self.words)}
+        examples = [(d, y, w, np.array([ids[t] for t in c], np.int64), np.array(list(c.values()), float)) for d, y, w, c in examples if c]
+        df = np.zeros((2, len(ids)))
+        for _, y, _, t, _ in examples:
+            df[y, t] += 1
+        n = [sum(1 for e in examples if e[1] == y) for y in (0, 1)]
+        self.weight = weights(df[1], df[0], n[1], n[0], per_row)
+        self.base = share
+        if 0 < share < 1:  # by sampled rows, copies included: where these are few groups, rows are what there is to learn from
+            copies = np.zeros((2, len(ids)))
+            for _, y, w, t, _ in examples:
+                copies[y, t] += w / per_row[y]
+            rows = [sum(e[2] for e in examples if e[1] == y) / per_row[y] for y in (0, 1)]
+            self.base = base_rate(share, copies[1], copies[0], rows[1], rows[0])
+        vectors = []
+        for d, y, w, t, c in examples:
+            order = np.argsort(t)
+            v = (1 + np.log(c[order])) * self.weight[t[order]]
+            vectors.append((t[order], v / np.linalg.norm(v), d, y, w))
         # Alike examples side by side, so that blocks have tight bounds.
-        vectors.sort(key=lambda x: (x[0][0][np.argmax(x[0][1])], len(x[0][0]), tuple(x[0][0]), x[1] is not None, x[1] or 0))
-        self.doc_ids = [x[1] for x in vectors]
-        self.labels, self.weights = np.array([x[2] for x in vectors], float), np.array([x[3] for x in vectors], float)
+        vectors.sort(key=lambda x: (x[3], x[0][np.argmax(x[1])], -x[1].max(), x[2]))
+        self.doc_ids = np.array([x[2] for x in vectors], np.int64)
+        self.labels, self.rows = np.array([x[3] for x in vectors], float), np.array([x[4] for x in vectors], float)
         self.per_row = np.where(self.labels > 0, per_row[1], per_row[0])
-        blocks = -(-len(vectors) // BLOCK)
-        lists: list[list[list[tuple[int, float]]]] = [[[] for _ in range(blocks)] for _ in self.idf]
-        self.maxima = np.zeros((len(self.idf), blocks))
-        for e, (v, *_) in enumerate(vectors):
-            for t, x in zip(*v, strict=True):
-                lists[t][e // BLOCK].append((e % BLOCK, x))
-                self.maxima[t, e // BLOCK] = max(self.maxima[t, e // BLOCK], x)
-        self.postings = [[(np.array([p[0] for p in b], int), np.array([p[1] for p in b])) if b else None for b in row] for row in lists]
+        self.blocks = -(-len(vectors) // BLOCK)
+        size = [len(x[0]) for x in vectors]
+        term = np.concatenate([x[0] for x in vectors] or [np.zeros(0, np.int64)])
+        at = np.repeat(np.arange(len(vectors)), size)
+        value = np.concatenate([x[1] for x in vectors] or [np.zeros(0)])
+        order = np.lexsort((at, term))
+        term, self.at, self.value = term[order], at[order].astype(np.int32), value[order]
+        entry = term * max(1, self.blocks) + self.at // BLOCK
+        first = np.flatnonzero(np.diff(entry, prepend=-1))
+        self.cut = np.append(first, len(entry))
+        self.top = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
+        self.block_of = (self.at[first] // BLOCK).astype(np.int32)
+        self.of_term = np.searchsorted(term[first], np.arange(len(ids) + 1))
+
+    def __getstate__(self) -> dict:
+        return {k: pa.array(v) if k == "words" else v for k, v in self.__dict__.items() if k != "ids"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"words": state["words"].to_pylist()})
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(sorted(self.ids[t] for t in counts), int)
-        by = {self.ids[t]: n for t, n in counts.items()}
-        w = np.array([(1 + math.log(by[i])) * self.idf[i] for i in ids])
-        return ids, w / np.linalg.norm(w)
-
-    def nearest(self, counts: dict[str, int], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The k greatest (cosine, example), of equal cosines the first examples; those above 0 only."""
-        ids, w = self.vector(counts)
-        bounds = w @ self.maxima[ids]
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(found) == k and bounds[b] < found[-1][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, x in zip(ids.tolist(), w.tolist(), strict=True):
-                if (p := self.postings[t][b]) is not None:
-                    score[p[0]] += x * p[1]
-            hits = np.flatnonzero(score > 1e-12)
-            found = sorted(found + [(round(float(score[i]), 12), b * BLOCK + int(i)) for i in hits], key=lambda x: (-x[0], x[1]))[:k]
-        return found
+        """Known words of a text and their weights, of length 1; both empty if there are none."""
+        if "ids" not in self.__dict__:
+            self.ids = {w: i for i, w in enumerate(self.words)}
+        get = self.ids.get
+        found = [(i, n) for w, n in counts.items() if (i := get(w)) is not None]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        pairs = np.array(sorted(found), np.int64)
+        v = (1 + np.log(pairs[:, 1])) * self.weight[pairs[:, 0]]
+        return pairs[:, 0], v / np.linalg.norm(v)
+
+    def nearest(self, counts: dict[str, int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """The k greatest cosines above 0 (to 12 places) and their examples, of equal cosines the first examples."""
+        t, w = self.vector(counts)
+        a, n = self.of_term[t], self.of_term[t + 1] - self.of_term[t]
+        entries, by = _ranges(a, n), np.repeat(w, n)  # each (word, block) with the text's weight of the word
+        if not len(entries):
+            return np.zeros(0), np.zeros(0, np.int64)
+        block = self.block_of[entries]
+        bounds = np.bincount(block, by * self.top[entries], self.blocks)
+        scores = np.zeros(self.blocks * BLOCK)
+        chosen = np.zeros(self.blocks, bool)
+        chosen[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        self._score(scores, entries[chosen[block]], by[chosen[block]])
+        reached = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        rest = ~chosen & (bounds >= max(reached - 1e-9, 1e-12))
+        self._score(scores, entries[rest[block]], by[rest[block]])
+        scores = np.round(scores, 12)
+        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        hits = np.flatnonzero(scores >= max(least, 1e-12))
+        hits = hits[np.argsort(-scores[hits], kind="stable")[:k]]
+        return scores[hits], hits
+
+    def _score(self, scores: np.ndarray, entries: np.ndarray, by: np.ndarray) -> None:
+        n = self.cut[entries + 1] - self.cut[entries]
+        p = _ranges(self.cut[entries], n)
+        scores += np.bincount(self.at[p], self.value[p] * np.repeat(by, n), len(scores))
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        counts: dict[str, int] = {}
-        ids = self.ids
-        for word, n in Counter(_TOKEN.findall((text or "").lower())).items():
-            if word in ids:
-                counts[word] = counts.get(word, 0) + n
-            for k in PREFIXES:
-                if len(word) >= k and (p := word[:k] + "*") in ids:
-                    counts[p] = counts.get(p, 0) + n
-        found = self.nearest(counts) if counts and self.doc_ids else []
-        if not found:
+        cosines, e = self.nearest(terms(text))
+        if not len(e):
             return self.base, []
-        e = [i for _, i in found]
-        votes = np.array([s for s, _ in found]) ** POWER * self.weights[e]
+        votes = cosines * self.rows[e]
         shrink = SHRINK * self.per_row[e].mean()
         score = (votes @ self.labels[e] + shrink * self.base) / (votes.sum() + shrink)
-        return float(min(1.0, max(0.0, score))), [self.doc_ids[i] for i in e]
+        return float(min(1.0, max(0.0, score))), self.doc_ids[e].tolist()
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] numbers), first[1], ..."""
+    ends = np.cumsum(n)
+    return np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
@@ -165,83 +230,53 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     marks = labels.where(training_row(F.col("doc_id")) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     sizes = {r.y: r.n for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
-        return Index({}, [], float(bool(sizes.get(1))))
+        return Index([], float(bool(sizes.get(1))))
     share = {y: min(1.0, PER_CLASS / n) for y, n in sizes.items()}
     chosen = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0]) * float(1 << 20)
     # About 2 * PER_CLASS ids: a bounded broadcast.
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(marks.where(chosen)), "doc_id").where(F.length("text") <= MAX_SAMPLE_CHARS), "examples")
+    sample = docs.select("doc_id", "text").join(F.broadcast(marks.where(chosen)), "doc_id").select(F.col("doc_id").cast("long"), "y", "text")
 
-    # One example of each group of near copies: their common words are no signs of anything.
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = [_words(t) for t in batch.column(2).to_pylist()]
-            bands = pa.array([_bands(x) if len(x) else [] for x in h], pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands, pa.array([x[:SKETCH].tobytes() for x in h], pa.binary())], ["doc_id", "y", "bands", "sketch"])
-
-    signed = sample.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(signatures, "doc_id long, y int, bands array<binary>, sketch binary").collect()
-    sizes_of = group_copies([(r.doc_id, r.y, [bytes(x) for x in r.bands], np.frombuffer(bytes(r.sketch), np.uint64)) for r in signed])
-    groups = docs.sparkSession.createDataFrame(list(sizes_of.items()), "doc_id long, copies long")
-    sample = sample.join(F.broadcast(groups), "doc_id")
-
-    def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("pos", "neg", "pos_rows", "neg_rows")
-        seen: dict[str, Counter] = {k: Counter() for k in names}
-        for batch in batches:
-            for text, y, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for t in _terms(text):
-                    seen["pos" if y else "neg"][t] += 1
-                    seen["pos_rows" if y else "neg_rows"][t] += copies
-        terms = list(seen["pos"] | seen["neg"])
-        if terms:
-            yield pa.RecordBatch.from_arrays([pa.array(terms), *(pa.array([seen[k][t] for t in terms], pa.int64()) for k in names)], ["term", *names])
-
-    have = {r.y: r for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows")).collect()}
-    counted = sample.select("text", "y", "copies").mapInArrow(document_counts, "term string, pos long, neg long, pos_rows long, neg_rows long").groupBy("term")
-    counted = counted.agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "pos_rows", "neg_rows")])
-
-    def chosen_terms(pos: str, neg: str, p: int, n: int) -> dict[str, float]:
-        a, b, all_ = F.col(pos), F.col(neg), float(p + n)
-        signs = counted.where((a >= MIN_COUNT) & (a * max(n, 1) >= ODDS * b * max(p, 1)))
-        ln = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-        both = (a + b).cast("double")
-        rest = F.lit(all_) - both
-        g2 = 2 * (ln(a.cast("double"), both * p / all_) + ln(b.cast("double"), both * n / all_) + ln(p - a.cast("double"), rest * p / all_) + ln(n - b.cast("double"), rest * n / all_))
-        rows = signs.withColumn("g2", g2).where(F.col("g2") >= G2).orderBy(F.desc("g2"), "term").limit(MAX_FEATURES).select("term", (a + b).alias("df")).collect()
-        return {r.term: 1 + math.log(all_ / r.df) for r in rows}
-
-    of = lambda y, what: have[y][what] if y in have else 0
-    # Where the groups are too few to tell anything, their rows are what there is to learn from.
-    idf = chosen_terms("pos", "neg", of(1, "n"), of(0, "n")) or chosen_terms("pos_rows", "neg_rows", of(1, "rows"), of(0, "rows"))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, y, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                c = {t: k for t, k in _terms(text).items() if t in idf}
-                rows.append((doc_id, y, copies, list(c), list(c.values())))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.string())), pa.array([r[4] for r in rows], pa.list_(pa.int64()))], ["doc_id", "y", "copies", "terms", "counts"])
-
-    rows = sample.select(F.col("doc_id").cast("long"), "text", "y", "copies").mapInArrow(vectors, "doc_id long, y int, copies long, terms array<string>, counts array<long>").collect()
-    examples = [(r.doc_id, r.y, r.copies / share[r.y], dict(zip(r.terms, r.counts, strict=True))) for r in rows]
-    plain = [(y, w) for _, y, w, c in examples if not c]
-    base = (sum(w for y, w in plain if y) + 0.01) / (sum(w for _, w in plain) + 1)
-    return Index(idf, examples, base, (1 / share[0], 1 / share[1]))
+            for doc_id, y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                c = terms(text)
+                h = _hashes(c)
+                row = {"doc_id": doc_id, "y": y, "bands": _bands(h) if len(h) else [], "sketch": h[:SKETCH].tobytes(), "words": list(c), "counts": list(c.values())}
+                yield pa.RecordBatch.from_pylist([row], schema)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("bands", pa.list_(pa.binary())), ("sketch", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+    got = sample.mapInArrow(read, "doc_id long, y int, bands array<binary>, sketch binary, words array<string>, counts array<long>").toArrow()  # the bounded sample
+    keys = list(zip(*(got[c].to_pylist() for c in ("doc_id", "y", "bands")), [np.frombuffer(x, np.uint64) for x in got["sketch"].to_pylist()], strict=True))
+    # One example of each group of near copies: their common words are no signs of anything.
+    copies = group_copies(keys)
+    examples, seen = [], set()
+    for i in sorted(range(got.num_rows), key=lambda i: keys[i][0]):
+        doc_id, y = keys[i][:2]
+        if doc_id in copies and doc_id not in seen:
+            seen.add(doc_id)
+            words, counts = got["words"][i].as_py(), got["counts"][i].as_py()
+            examples.append((doc_id, y, copies[doc_id] / share[y], dict(zip(words, counts, strict=True))))
+    return Index(examples, sizes[1] / (sizes[0] + sizes[1]), (1 / share[0], 1 / share[1]))
 
 
 def rate(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
-    """docs plus toxicity (0 to 1) and evidence (doc_ids of the neighbours, nearest first); those names must be free.
+    """docs plus toxicity (0 to 1) and evidence (doc_ids of the neighbours, nearest first); columns of those names are
+    replaced.
 
-    Null and empty texts get the score of texts without features, and no evidence. Only text is looked at;
-    equal texts get equal scores. Without labels of both classes nothing can be learned: the score is then the
-    one class seen, or 0.
+    Null and empty texts, and those without a known word, get the index's base and no evidence. Only text is
+    looked at; equal texts get equal scores; rows come as they are, repeated or not. Without labels of both classes
+    nothing can be learned: the score is then the one class seen, or 0.
     """
-    held = docs.sparkSession.sparkContext.broadcast(index)
+    docs = replaced(docs, "toxicity", "evidence")
+    held = docs.sparkSession.sparkContext.broadcast(index)  # of PER_CLASS examples
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            got = [m.score(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], [*batch.schema.names, "toxicity", "evidence"])
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                got = [m.score(t) for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], [*part.schema.names, "toxicity", "evidence"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxicity", DoubleType()), StructField("evidence", ArrayType(LongType()))]))

@@ -1,4 +1,7 @@
+import math
+import pickle
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -27,24 +30,55 @@ def test_language_edge_cases(spark):
     assert langid.identify(odd.limit(0), m).count() == 0
 
 
-def test_nearest_equals_brute_force():
+def brute_force(examples, share_rows, text):
+    """Cosines of a text with all examples, from the definitions: {doc_id: cosine}."""
+    n = [sum(y == k for _, y, _, _ in examples) for k in (0, 1)]
+    rows = [n[k] * share_rows[k] for k in (0, 1)]
+    weight = {}
+    for w in {w for *_, c in examples for w in c}:
+        df = [sum(w in c for _, y, _, c in examples if y == k) for k in (0, 1)]
+        g2 = 0
+        for k in (0, 1):
+            for x, of_all in ((df[k] + 0.5, df[0] + df[1] + 1), (n[k] + 1 - df[k] - 0.5, n[0] + n[1] + 2 - df[0] - df[1] - 1)):
+                g2 += 2 * x * math.log(x / ((n[k] + 1) * of_all / (n[0] + n[1] + 2)))
+        weight[w] = math.log((rows[0] + rows[1] + 1) / (df[0] * share_rows[0] + df[1] * share_rows[1])) * math.sqrt(max(g2, 1e-6))
+
+    def vector(c):
+        v = {w: (1 + math.log(k)) * weight[w] for w, k in c.items() if w in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    q = vector(Counter(text.lower().split()))
+    return {d: sum(x * q.get(w, 0) for w, x in vector(c).items()) for d, _, _, c in examples}
+
+
+def test_nearest_and_votes_equal_brute_force():
     rng = random.Random(1)
-    idf = {f"t{i}": 1 + rng.random() * 5 for i in range(40)}
-    some = lambda: {t: rng.randint(1, 4) for t in rng.sample(sorted(idf), rng.randint(1, 6))}
-    index = toxicity.Index(idf, [(i, rng.randint(0, 1), 1.0, some()) for i in range(900)], 0.1)
-    dense = np.zeros((900, 40))
-    for t, row in enumerate(index.postings):
-        for b, p in enumerate(row):
-            if p is not None:
-                dense[b * toxicity.BLOCK + p[0], t] = p[1]
-    for _ in range(200):
-        q = some()
-        ids, w = index.vector(q)
-        cos = np.round(dense[:, ids] @ w, 12)
-        want = sorted(((-c, i) for i, c in enumerate(cos) if c > 1e-12))[: toxicity.NEIGHBOURS]
-        got = index.nearest(q)
-        assert [i for _, i in got] == [i for _, i in want] or np.allclose([s for s, _ in got], [-c for c, _ in want], atol=1e-11)
-        assert np.allclose([s for s, _ in got], [-c for c, _ in want], atol=1e-11)
+    words = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(60)]
+    some = lambda y: Counter(rng.choices(words[20 * y : 40 + 20 * y], [1 / (i + 1) for i in range(40)], k=rng.randint(1, 25)))
+    examples = [(i, y, rng.choice((1.0, 2.0, 5.0)), some(y)) for i in range(900) for y in [int(rng.random() < 0.4)]]
+    index = toxicity.Index(examples, 0.2, (4.0, 2.0))
+    labels, rows = {d: y for d, y, _, _ in examples}, {d: w for d, _, w, _ in examples}
+    for _ in range(150):
+        text = " ".join(some(rng.randint(0, 1)).elements()) + " unknown"
+        cos = brute_force(examples, (4.0, 2.0), text)
+        got, at = index.nearest(toxicity.terms(text))
+        want = sorted((c for c in cos.values() if c > 1e-12), reverse=True)[: toxicity.NEIGHBOURS]
+        assert np.allclose(got, want, atol=1e-9)
+        assert np.allclose(got, [cos[index.doc_ids[i]] for i in at], atol=1e-9)
+        score, evidence = index.score(text)
+        assert evidence == [index.doc_ids[i] for i in at] and len(set(evidence)) == len(evidence)
+        votes = sum(cos[d] * rows[d] for d in evidence)
+        shrink = toxicity.SHRINK * sum((4.0, 2.0)[labels[d]] for d in evidence) / len(evidence)
+        assert abs(score - (sum(cos[d] * rows[d] * labels[d] for d in evidence) + shrink * index.base) / (votes + shrink)) < 1e-9
+
+
+def test_blocks_are_skipped_and_ties_are_stable():
+    examples = [(i, i % 2, 1.0, Counter({f"w{chr(97 + i // 200)}": 1, "toxic" if i % 2 else "clean": 1})) for i in range(2000)]
+    index = pickle.loads(pickle.dumps(toxicity.Index(examples, 0.5)))
+    got = index.nearest(Counter({"wc": 1, "toxic": 1}))
+    assert np.allclose(got[0], 1) and all(400 <= index.doc_ids[i] < 600 and index.doc_ids[i] % 2 for i in got[1])
+    assert got[1].tolist() == sorted(got[1].tolist()) == index.nearest(Counter({"toxic": 1, "wc": 1}))[1].tolist()
 
 
 def test_toxicity_on_labels(spark):
@@ -78,7 +112,7 @@ def test_toxicity_of_repeated_rows(spark):
     got = {(r.doc_id, (r.text or "")[:6]): r.toxicity for r in toxicity.rate(odd, index).collect()}
     assert got[3, "idiot "] > 0.5 and got[3, "IDIOT!"] > 0.5 and max(got[1, ""], got[2, ""], got[None, "fine"]) < 0.3
     trained = {r.doc_id for r in labels.where(training_row(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct().collect()}
-    assert index.weights.tolist() == [sum(i % 2 for i in trained)]
+    assert dict(zip(index.labels, index.rows, strict=True)) == {1: sum(i % 2 for i in trained), 0: sum(1 - i % 2 for i in trained)}
 
 
 def test_toxic_row_like_a_clean_one_stays(spark):
@@ -94,7 +128,7 @@ def test_toxic_row_like_a_clean_one_stays(spark):
 def test_groups_of_copies():
     texts = ["a b c d e f g h i j", "a b c d e f g h i k", "a b c d e f g h k l", "a b c d e f g h i j", "v w x y z", "", ""]
     labels = [1, 1, 1, 0, 1, 1, 1]
-    signs = [toxicity._words(t) for t in texts]
+    signs = [toxicity._hashes(toxicity.terms(t)) for t in texts]
     # Row 1 is nearer than LIKE to row 0; row 2 only to row 1, which was dropped; row 3 is of the other label.
     one_band = [[b"same"] if len(h) else [] for h in signs]
     rows = [(i, y, b, h) for i, (y, b, h) in enumerate(zip(labels, one_band, signs, strict=True))]
@@ -111,3 +145,10 @@ def test_rare_toxic_words_are_features(spark):
     new = spark.createDataFrame([(i, f"good day {word(i)}") for i in range(70)] + [(70, "good day")], "doc_id long, text string")
     got = {r.doc_id: r.toxicity for r in toxicity.rate(new, index).collect()}
     assert sum(got[i] >= toxicity.THRESHOLD for i in range(70)) >= 60 and got[70] < toxicity.THRESHOLD
+
+
+def test_clashing_names_are_replaced(spark):
+    docs = spark.createDataFrame([(i, "you idiot scum" if i % 2 else "a nice day", "en", 9, "e") for i in range(40)], "doc_id long, text string, lang string, TOXICITY int, evidence string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    got = toxicity.rate(docs, index)
+    assert got.columns == ["doc_id", "text", "lang", "toxicity", "evidence"] and got.where("toxicity > 0.5").count() == 20
