@@ -1,14 +1,14 @@
 """Operator 3: SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut where no piece can span: before each run of spaces, and at characters that stand in no piece of
-several characters. Documents lie in chunks of neighbouring rows, and each chunk sends its distinct words to the
-tasks that have those words. There every distinct word of the corpus is encoded once: its substrings up to the
-longest piece are exploded, equi-joined to the piece table (of fixed size, so broadcast) and grouped by word into
-a lattice, and aggregate() folds the lattice into the segmentation. Segmentations go back to their chunks by a
-join on the word, and are written as a table with a folder for each chunk, from which the task that encodes a
-chunk reads its dictionary. No task holds more than a chunk's words, and nothing that is broadcast grows with
-the data. Words of more than LONG characters alone are folded where they are read, by the same rule with a heap,
-as the fold over a lattice copies its state at each merge.
+Texts are cut into words where no piece can span: before runs of spaces and before line ends; a longer stretch also
+at characters that stand in no piece of several characters. Documents lie in chunks of neighbouring rows, and each
+chunk sends its distinct words to the tasks that have those words. There every distinct word of the corpus is
+encoded once: its substrings up to the longest piece are exploded, equi-joined to the piece table (of fixed size, so
+broadcast) and grouped by word into a lattice, and aggregate() folds the lattice into the segmentation. Segmentations
+go back to their chunks by a join on the word, and are written as a table with a folder for each chunk, from which the
+task that encodes a chunk reads its dictionary. No task holds more than a chunk's words, and nothing that is broadcast
+grows with the data. Words of more than LONG characters alone are folded where they are read, by the same rule with a
+heap, as the fold over a lattice copies its state at each merge.
 
 The fold is the model's own rule. For a unigram model that is Viterbi, the path of the greatest sum of scores.
 The model at hand is a BPE model, whose library merges the best-scored adjacent pair until none is left; the
@@ -22,7 +22,7 @@ import heapq
 import re
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,8 @@ from .common import filesystem, free, replaced, shared_dir, written
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text to a chunk, on average, and to a slice that a task encodes at once.
 CHUNK_BYTES, SLICE_BYTES = 1 << 25, 1 << 21
-LONG, CACHE = 500, 20_000
+#: A stretch of more characters is cut further; a word of more is no lattice.
+STRETCH, LONG = 64, 500
 SPACE = "▁"
 _NORMAL, _BYTE = 1, 6
 UNIGRAM, BPE = 1, 2
@@ -53,7 +54,6 @@ class Model:
     raw: list[bytes]  # by id, what it decodes to
     cut: str = ""  # pattern of words
     longest: int = 1
-    cache: dict[str, list[int]] = field(default_factory=dict)
 
     def segment(self, word: str) -> list[str]:
         """The pieces and single characters of a word by the model's rule."""
@@ -136,8 +136,8 @@ def load(path: str = DEFAULT_MODEL) -> Model:
     ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == _NORMAL}
     byte_ids = [i for i, p in enumerate(proto.pieces) if p.type == _BYTE]
     raw = [bytes([byte_ids.index(i)]) if p.type == _BYTE else p.piece.replace(SPACE, " ").encode() if p.type == _NORMAL else b"" for i, p in enumerate(proto.pieces)]
-    if any(SPACE in p.lstrip(SPACE) or " " in p for p in ids) or len(byte_ids) != 256:
-        raise ValueError("only models whose pieces have spaces in front and that fall back to bytes are supported")
+    if any(SPACE in p.lstrip(SPACE) or " " in p or "\n" in p[1:] or "\n" in p and len(p) > 1 for p in ids) or len(byte_ids) != 256:
+        raise ValueError("only models whose pieces have spaces in front, no line ends, and that fall back to bytes are supported")
     inner = sorted({c for p in ids if len(p) > 1 for c in p} - {SPACE})
     letters = "[" + "".join(f"\\u{ord(c):04X}" if ord(c) < 65536 else f"\\U{ord(c):08X}" for c in inner) + "]"
     cut = f"{SPACE}+{letters}*|{letters}+|(?s:.)"
@@ -147,8 +147,31 @@ def load(path: str = DEFAULT_MODEL) -> Model:
     return model
 
 
-def _marked(text: str) -> str:
-    return SPACE + text.replace(" ", SPACE) if text else ""
+class Cutter:
+    """Cuts texts into words, named by keys: what follows the space for a word with one in front, the word itself if it
+    starts with a line end, and two line ends and the word for any other. That is what split() gives, at its speed."""
+
+    def __init__(self, cut: str) -> None:
+        self.stretches = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*").findall
+        self.fine = re.compile(cut).findall
+
+    def keys(self, text: str) -> list[str]:
+        if not text:
+            return []
+        out = text.replace("\n", " \n").split(" ")
+        if "" in out or SPACE in text:  # runs of spaces, which stay together
+            out = [key(w) for w in self.stretches(SPACE + text.replace(" ", SPACE))]
+        if len(max(out, key=len)) > STRETCH:
+            out = [k for o in out for k in ([o] if len(o) <= STRETCH else map(key, self.fine(word(o))))]
+        return out
+
+
+def key(w: str) -> str:
+    return w[1:] if w[0] == SPACE else w if w[0] == "\n" else "\n\n" + w
+
+
+def word(k: str) -> str:
+    return k[2:] if k[:2] == "\n\n" else k if k[:1] == "\n" else SPACE + k
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
@@ -184,19 +207,18 @@ def fold(lattices: DataFrame, kind: int) -> DataFrame:
     return cuts.select("word", F.expr("array_join(transform(slice(c, 2, size(c)), (x, i) -> substring(word, get(c, i) + 1, x - get(c, i))), ' ')").alias("pieces"))
 
 
-def _words_of_chunks(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(chunk, text) -> (chunk, word): words of 2 to LONG characters, each once for a run of one chunk's rows."""
-    cut = model.cut
+def _keys_of_chunks(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(chunk, text) -> (chunk, key): the keys of all words, each once for a run of one chunk's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen, at = re.compile(cut).findall, set(), None
+        cut, seen, at = Cutter(pattern).keys, set(), None
 
         def rows() -> Iterator[pa.RecordBatch]:
-            words = sorted(w for w in seen if 2 <= len(w) <= LONG)  # neighbours share their beginnings, which compresses
+            keys = sorted(seen)  # neighbours share their beginnings, which compresses
             seen.clear()
-            for i in range(0, len(words), 1 << 16):
-                part = words[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int64()), pa.array(part, pa.string())], ["chunk", "word"])
+            for i in range(0, len(keys), 1 << 16):
+                part = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at, np.int64)), pa.array(part, pa.string())], ["chunk", "key"])
 
         for batch in batches:
             for chunk, part in _runs(batch, 0):
@@ -206,7 +228,7 @@ def _words_of_chunks(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 for s in _slices(part.column(1)):
                     for t in s.to_pylist():
                         if t:
-                            seen.update(find(_marked(t)))
+                            seen.update(cut(t))
         yield from rows()
 
     return run
@@ -252,8 +274,12 @@ def dictionaries(chunked: DataFrame, model: Model, text: str, chunk: str) -> str
     """Writes (chunk, pieces): the segmented words of each chunk, in a folder of its own. Returns the table's path."""
     spark = chunked.sparkSession
     path = f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
-    pairs = chunked.select(F.col(chunk).alias("chunk"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_words_of_chunks(model), "chunk long, word string").repartition("word")
-    segmented = fold(lattice(pairs.select("word").distinct(), model), model.kind)
+    pairs = chunked.select(F.col(chunk).alias("chunk"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_keys_of_chunks(model.cut), "chunk long, key string")
+    pairs = pairs.select("chunk", F.expr(f"case when startswith(key, '\\n\\n') then substring(key, 3) when startswith(key, '\\n') then key else concat('{SPACE}', key) end").alias("word"))
+    pairs = pairs.where(f"length(word) between 2 and {LONG}").repartition("word")
+    # The condition keeps the chunk in this side's rows too, so that both sides are one exchange, made once.
+    words = pairs.groupBy("word").agg(F.min("chunk").alias("some")).where("some is not null").select("word")
+    segmented = fold(lattice(words, model), model.kind)
     # A word has one row for each chunk that it is in, so no key stands out, however common the word.
     found = pairs.join(segmented, "word", "left").select("chunk", F.coalesce("pieces", F.array_join(F.split("word", ""), " ")).alias("pieces"))
     found.repartition("chunk").write.partitionBy("chunk").parquet(path)
@@ -261,38 +287,47 @@ def dictionaries(chunked: DataFrame, model: Model, text: str, chunk: str) -> str
 
 
 class _Dictionary(dict):
-    """Places of words in a table of ids: those of a chunk, and characters and very long words as they come."""
+    """Places of words, by key, in a table of ids: those of a chunk, and characters and very long words as they come.
+
+    A key enters on its first use, so that the common ones, which come early, lie together in memory.
+    """
 
     def __init__(self, model: Model, files, path: str) -> None:
         super().__init__()
-        self.model = model
+        self.model, self.more = model, []
         try:
-            pieces = pq.read_table(path, columns=["pieces"], filesystem=files, partitioning=None)["pieces"].to_pylist()
+            pieces = pq.read_table(path, columns=["pieces"], filesystem=files, partitioning=None)["pieces"].combine_chunks()
         except FileNotFoundError:
-            pieces = []
-        known: dict[str, list[int]] = {}
-        flat, ends = [], []
-        for p in pieces:
-            self[p.replace(" ", "")] = len(ends)
-            for x in p.split(" "):
-                if (i := known.get(x)) is None:
-                    i = known[x] = model.of(x)
-                flat += i
-            ends.append(len(flat))
-        self.flat, self.ends = np.array(flat, np.int32), np.array([0, *ends], np.int64)
-        self.more: list[np.ndarray] = []
-
-    def __missing__(self, word: str) -> int:
-        if 1 < len(word) <= LONG:
-            raise KeyError(f"a word that its chunk's dictionary lacks: {word}")
-        ids = [i for s in self.model.segment(word) for i in self.model.of(s)]
-        self.more.append(np.array(ids, np.int32))
-        place = self[word] = len(self.ends) + len(self.more) - 2
+            pieces = pa.array([], pa.string())
+        pieces = pieces.chunk(0) if isinstance(pieces, pa.ChunkedArray) else pieces
+        self.rest = {key(w): i for i, w in enumerate(pc.replace_substring(pieces, " ", "").to_pylist())}
+        lists = pc.split_pattern(pieces, " ")
+        parts = lists.flatten()
+        known = pa.array(list(model.ids), pa.string())
+        at = pc.fill_null(pc.index_in(parts, value_set=known), -1).to_numpy()
+        ids = np.fromiter(model.ids.values(), np.int32, len(model.ids))[at]
+        size = np.ones(len(at), np.int64)
+        if len(odd := np.flatnonzero(at < 0)):  # characters that are no piece
+            of = [model.of(c) for c in parts.take(pa.array(odd)).to_pylist()]
+            size[odd] = [len(x) for x in of]
+            ids = np.repeat(ids, size)
+            ids[np.concatenate([np.arange(e - n, e) for e, n in zip(np.cumsum(size)[odd].tolist(), size[odd].tolist(), strict=True)])] = [i for x in of for i in x]
+        self.flat = ids
+        self.ends = np.concatenate(([0], np.cumsum(size)))[lists.offsets.to_numpy()] if len(lists) else np.zeros(1, np.int64)
+
+    def __missing__(self, k: str) -> int:
+        if (place := self.rest.pop(k, None)) is None:
+            w = word(k)
+            if 1 < len(w) <= LONG:
+                raise KeyError(f"a word that its chunk's dictionary lacks: {w}")
+            self.more.append(np.array([i for s in self.model.segment(w) for i in self.model.of(s)], np.int32))
+            place = len(self.ends) + len(self.more) - 2
+        self[k] = place
         return place
 
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and after each word the number of ids so far."""
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
         if self.more:
             self.flat = np.concatenate([self.flat, *self.more])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(m) for m in self.more])])
@@ -306,20 +341,20 @@ class Encoder:
     """Encodes the texts of chunks, whose dictionaries lie below path. Holds one chunk's dictionary."""
 
     def __init__(self, model: Model, path: str) -> None:
-        self.model, self.find, self.chunk = model, re.compile(model.cut).findall, None
+        self.model, self.cut, self.chunk = model, Cutter(model.cut).keys, None
         self.files, self.path = filesystem(path)
 
     def batch(self, chunk: int, texts: pa.Array) -> pa.ListArray:
         if chunk != self.chunk:
             self.words = None  # let go of one before the next is read
             self.words, self.chunk = _Dictionary(self.model, self.files, f"{self.path}/chunk={chunk}"), chunk
-        words: list[str] = []
+        keys: list[str] = []
         ends = [0]
         for t in texts.to_pylist():
             if t:
-                words += self.find(_marked(t))
-            ends.append(len(words))
-        ids, after = self.words.ids(words)
+                keys += self.cut(t)
+            ends.append(len(keys))
+        ids, after = self.words.ids(keys)
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], after))[ends].astype(np.int32)), pa.array(ids, pa.int32()))
 
 
