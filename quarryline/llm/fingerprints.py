@@ -8,19 +8,22 @@ maxima), so the share of equal samples estimates it, with a standard deviation o
 has its own r, b and c.
 
 Values and sample ids are packed into one long, so that sampling is a hash aggregation of plain minima, a row
-for every PER_ROW samples of a shingle: the shingles of a text are generated and aggregated within the task that
+for every PER_ROW samples of a shingle (code for more at once gets too large to be compiled well): the shingles of a text are generated and aggregated within the task that
 holds the text. A text and its edited form share most shingles; one that weighs the same in both is drawn for once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import SPACE
 
-SHINGLE, SAMPLES, PER_ROW = 5, 32, 8
+SHINGLE, SAMPLES, PER_ROW = 5, 32, 4
+CELLS, STEPS = 1024, 32
 #: Documents to a bucket of neighbouring ids, about.
 BUCKET_ROWS = 256
 QUANTILES = 128
@@ -52,21 +55,49 @@ def weighted_shingles(df: DataFrame, texts: list[str], out: str) -> DataFrame:
     return df.select(*keep, F.expr(f"array_compact(transform(__r, (x, j) -> case when {again} then null else struct(cast(if({both}, 3, x.h & 3) as int) as side, shiftright(x.h, 2) as t, x.w as w) end))").alias(out))
 
 
+def _gamma_quantile(u: float) -> float:
+    """Of Gamma(2, 1), whose distribution function is 1 - (1 + c) exp(-c)."""
+    low, high = 0.0, 64.0
+    for _ in range(60):
+        c = (low + high) / 2
+        low, high = (c, high) if -math.expm1(-c) - c * math.exp(-c) < u else (low, c)
+    return (low + high) / 2
+
+
+def _tables(spark: SparkSession) -> tuple[Column, Column, Column]:
+    """Tables as subqueries of one row: -ln at the middles of CELLS cells; quantiles of Gamma(2, 1) at squares of i / CELLS; exp(-i / STEPS)."""
+    logs = [-math.log((i + 0.5) / CELLS) for i in range(CELLS)]
+    gamma = [_gamma_quantile((i / CELLS) ** 2) for i in range(CELLS)] + [_gamma_quantile(1 - 0.5 / CELLS)]
+    powers = [math.exp(-i / STEPS) for i in range(48 * STEPS)]
+    row = spark.createDataFrame([(logs, gamma, powers)], "l array<double>, g array<double>, e array<double>")
+    return tuple(row.select(c).scalar() for c in ("l", "g", "e"))
+
+
 def samples(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows(keys, t, w) -> (keys, g, m): m has the minima of samples g * PER_ROW and so on, whose bits 31 and up are the
-    value, the others say which shingle and step it was; null for a text without shingles."""
-    unit = lambda h, low, bits: (F.shiftrightunsigned(h, low).bitwiseAND((1 << bits) - 1) + 0.5) / float(1 << bits)  # noqa: E731  in (0, 1)
+    value, the others say which shingle and step it was; null for a text without shingles.
+
+    A sample's draws come from one hash: 32 bits for c, by interpolation between quantiles; twice 10 for r, the sum of
+    two exponential draws; 12 for b. Spark's logarithms are slow, so these come from tables, and values are compared as
+    c exp(-r (t - b + 1)), which orders them as its logarithm does.
+    """
+    logs, gamma, powers = _tables(rows.sparkSession)
+    bits = lambda h, low, n: F.shiftrightunsigned(h, low).bitwiseAND((1 << n) - 1)
     each = range(PER_ROW)
     rows = rows.select(*keys, "t", F.log(F.col("w").cast("double")).alias("lw"), F.explode(F.array(*[F.lit(g) for g in range(SAMPLES // PER_ROW)])).alias("g"))
-    rows = rows.select(*keys, "g", "t", "lw", *[F.xxhash64("t", F.col("g") * PER_ROW + (k - 2 * SAMPLES)).alias(f"h{k}") for k in each])
-    rows = rows.select(*keys, "g", "t", "lw", *[x for k in each for x in ((-F.log(unit(F.col(f"h{k}"), 0, 21) * unit(F.col(f"h{k}"), 21, 21))).alias(f"r{k}"), unit(F.col(f"h{k}"), 42, 22).alias(f"b{k}"))])
-    rows = rows.select(*keys, "g", "t", *[x for k in each for x in (f"r{k}", f"b{k}", F.floor(F.col("lw") / F.col(f"r{k}") + F.col(f"b{k}")).alias(f"s{k}"), F.xxhash64("t", F.col("g") * PER_ROW + k).alias(f"h{k}"))])
+    rows = rows.select(*keys, "g", "t", "lw", *[F.xxhash64("t", F.col("g") * PER_ROW + k).alias(f"h{k}") for k in each])
+    rows = rows.select(*keys, "g", "t", "lw", *[x for k in each for h in [F.col(f"h{k}")] for x in (
+        h, (F.get(logs, bits(h, 32, 10).cast("int")) + F.get(logs, bits(h, 42, 10).cast("int"))).alias(f"r{k}"),
+        ((F.shiftrightunsigned(h, 52) + 0.5) / 4096.0).alias(f"b{k}"), (F.sqrt((bits(h, 0, 32) + 0.5) / float(1 << 32)) * float(CELLS)).alias(f"c{k}"))])
+    rows = rows.select(*keys, "g", "t", *[x for k in each for x in (f"h{k}", f"c{k}", f"r{k}", f"b{k}", F.floor(F.col("lw") / F.col(f"r{k}") + F.col(f"b{k}")).alias(f"s{k}"))])
+    rows = rows.select(*keys, "g", "t", *[x for k in each for x in (f"h{k}", f"s{k}", f"c{k}", F.col(f"c{k}").cast("int").alias(f"i{k}"), (F.col(f"r{k}") * (F.col(f"s{k}") - F.col(f"b{k}") + 1) * float(STEPS)).alias(f"x{k}"))])
     out = []
     for k in each:
-        h, step = F.col(f"h{k}"), F.col(f"s{k}")
-        value = 64 - F.col(f"r{k}") * (step - F.col(f"b{k}") + 1) + F.log(-F.log(unit(h, 0, 32) * unit(h, 32, 32)))
-        which = F.shiftrightunsigned(h, 33).bitwiseXOR(step * 40503).bitwiseAND(_ID)
-        out.append(F.min(F.when(F.col("t").isNotNull(), F.shiftleft((value * float(1 << 24)).cast("long"), 31).bitwiseOR(which))).alias(f"m{k}"))
+        i, x, d = F.col(f"i{k}"), F.col(f"x{k}").cast("int"), (F.col(f"x{k}") - F.floor(f"x{k}")) / float(STEPS)
+        low = F.get(gamma, i)
+        value = (low + (F.col(f"c{k}") - i) * (F.get(gamma, i + 1) - low)) * F.get(powers, x) * (1 - d * (1 - d / 2.0 * (1 - d / 3.0)))
+        which = F.shiftrightunsigned(f"h{k}", 33).bitwiseXOR(F.col(f"s{k}") * 40503).bitwiseAND(_ID)
+        out.append(F.min(F.when(F.col("t").isNotNull(), F.shiftleft((value * float(1 << 27)).cast("long"), 31).bitwiseOR(which))).alias(f"m{k}"))
     return rows.groupBy(*keys, "g").agg(*out).select(*keys, "g", F.array(*[f"m{k}" for k in each]).alias("m"))
 
 
