@@ -4,9 +4,10 @@ Examples are a bounded sample of labelled training rows, PER_CLASS of each class
 text is the TF-IDF vector of all its words that stand in any example, each weighted besides by how much its
 document frequency in the examples depends on the class (square root of the G2 statistic): plain TF-IDF is about
 the subject, and finds but a part of the toxic texts. Neighbours are the NEIGHBOURS examples of greatest cosine,
-found exactly: postings are cut into blocks of examples, each with its greatest weight per word, which bounds the
-cosine of a whole block; blocks of the greatest bounds are scored first, then all whose bounds reach the neighbours
-found. Near copies of one label are one example, weighted by their number. Votes are weighted by the cosine and by
+found exactly. Postings are cut into blocks of neighbouring examples with the greatest weight of each word, so a
+block's maxima bound its cosines: the blocks of the greatest bounds are scored first, then all whose bounds reach the
+neighbours found. The few words that stand in a large share of the examples have postings almost everywhere; their
+lists are rows of a matrix, which is multiplied with a batch of texts at once. Near copies of one label are one example, weighted by their number. Votes are weighted by the cosine and by
 how many labelled rows an example stands for, and shrunk a little towards the base, which texts without known words
 get: the share of toxic rows, less what the absence of all significantly toxic words tells against it. The neighbours
 are the evidence.
@@ -14,6 +15,7 @@ are the evidence.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -30,9 +32,10 @@ from .common import replaced, training_row
 
 PER_CLASS = 3000
 #: Near copies: word sets this alike. Two that are share a band with a probability of 0.985 at 0.8 and 0.9998 at 0.9.
-LIKE, BANDS, BAND_ROWS, SKETCH = 0.8, 8, 4, 1024
-#: FIRST blocks are scored before their result bounds the others.
-NEIGHBOURS, SHRINK, BLOCK, FIRST = 30, 1.0, 64, 6
+LIKE, BANDS, BAND_ROWS, SKETCH = 0.8, 8, 4, 512
+#: FIRST blocks are scored before their result bounds the others. A word in more than FREQUENT of the examples is a row
+#: of the matrix; texts meet it BATCH at a time (always as many, so that equal texts get equal results).
+NEIGHBOURS, SHRINK, BLOCK, FIRST, FREQUENT, BATCH = 30, 1.0, 64, 6, 0.05, 64
 #: G2 from which a word's absence counts in the base.
 SIGNIFICANT = 15.0
 THRESHOLD = 0.3
@@ -119,7 +122,8 @@ def base_rate(share: float, pos: np.ndarray, neg: np.ndarray, n_pos: float, n_ne
 class Index:
     """Inverted lists over example vectors, in blocks of neighbouring examples with block maxima.
 
-    Entries (word, block) lie in order; entry i has the postings cut[i] to cut[i + 1] and the greatest weight top[i].
+    Entries (word, block) lie in order of words: word t has the entries of_term[t] to of_term[t + 1]. Entry i has the
+    postings cut[i] to cut[i + 1] and the greatest weight top[i]. Frequent words have none, but the row[t] of the matrix.
     """
 
     def __init__(self, examples: list[tuple[int, int, float, dict[str, int]]], share: float, per_row: tuple[float, float] = (1.0, 1.0)) -> None:
@@ -151,18 +155,24 @@ class Index:
         self.labels, self.rows = np.array([x[3] for x in vectors], float), np.array([x[4] for x in vectors], float)
         self.per_row = np.where(self.labels > 0, per_row[1], per_row[0])
         self.blocks = -(-len(vectors) // BLOCK)
-        size = [len(x[0]) for x in vectors]
+        n = len(vectors)
         term = np.concatenate([x[0] for x in vectors] or [np.zeros(0, np.int64)])
-        at = np.repeat(np.arange(len(vectors)), size)
         value = np.concatenate([x[1] for x in vectors] or [np.zeros(0)])
+        at = np.repeat(np.arange(n, dtype=np.int32), [len(x[0]) for x in vectors])
+        frequent = np.flatnonzero(df.sum(0) > max(BLOCK, FREQUENT * n))
+        self.row = np.full(len(ids), -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.matrix = np.zeros((len(frequent), self.blocks * BLOCK))
+        often = self.row[term] >= 0
+        self.matrix[self.row[term[often]], at[often]] = value[often]
         order = np.lexsort((at, term))
-        term, self.at, self.value = term[order], at[order].astype(np.int32), value[order]
-        entry = term * max(1, self.blocks) + self.at // BLOCK
-        first = np.flatnonzero(np.diff(entry, prepend=-1))
-        self.cut = np.append(first, len(entry))
-        self.top = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
-        self.block_of = (self.at[first] // BLOCK).astype(np.int32)
-        self.of_term = np.searchsorted(term[first], np.arange(len(ids) + 1))
+        order = order[~often[order]]
+        term, self.at, self.value = term[order], at[order], value[order]
+        entry = np.flatnonzero(np.diff(term * max(1, self.blocks) + self.at // BLOCK, prepend=-1))
+        self.cut = np.append(entry, len(term))
+        self.top = np.maximum.reduceat(self.value, entry) if len(entry) else np.zeros(0)
+        self.block_of = self.at[entry] // BLOCK
+        self.of_term = np.searchsorted(term[entry], np.arange(len(ids) + 1))
 
     def __getstate__(self) -> dict:
         return {k: pa.array(v) if k == "words" else v for k, v in self.__dict__.items() if k != "ids"}
@@ -171,52 +181,68 @@ class Index:
         self.__dict__.update(state | {"words": state["words"].to_pylist()})
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Known words of a text and their weights, of length 1; both empty if there are none."""
+        """Known words of a text, in order, and their weights, of length 1; both empty if there are none."""
         if "ids" not in self.__dict__:
             self.ids = {w: i for i, w in enumerate(self.words)}
-        get = self.ids.get
-        found = [(i, n) for w, n in counts.items() if (i := get(w)) is not None]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        pairs = np.array(sorted(found), np.int64)
-        v = (1 + np.log(pairs[:, 1])) * self.weight[pairs[:, 0]]
-        return pairs[:, 0], v / np.linalg.norm(v)
-
-    def nearest(self, counts: dict[str, int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k greatest cosines above 0 (to 12 places) and their examples, of equal cosines the first examples."""
-        t, w = self.vector(counts)
-        a, n = self.of_term[t], self.of_term[t + 1] - self.of_term[t]
-        entries, by = _ranges(a, n), np.repeat(w, n)  # each (word, block) with the text's weight of the word
-        if not len(entries):
-            return np.zeros(0), np.zeros(0, np.int64)
+        t = np.fromiter(map(self.ids.get, counts, itertools.repeat(-1)), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))[t >= 0]
+        t = t[t >= 0]
+        if not len(t):
+            return t, n
+        order = np.argsort(t)
+        t = t[order]
+        v = (1 + np.log(n[order])) * self.weight[t]
+        return t, v / np.linalg.norm(v)
+
+    def nearest(self, texts: list[dict[str, int]], k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text (its words' counts) the k greatest cosines above 0 (to 12 places) and their examples, of equal
+        cosines the first examples."""
+        for i in range(0, len(texts), BATCH):
+            vectors = [self.vector(c) for c in texts[i : i + BATCH]]
+            query = np.zeros((BATCH, len(self.matrix)))
+            for q, (t, w) in zip(query, vectors, strict=False):
+                r = self.row[t]
+                q[r[r >= 0]] = w[r >= 0]
+            for scores, (t, w) in zip(query @ self.matrix, vectors, strict=False):
+                rare = self.row[t] < 0
+                yield self._finish(scores, t[rare], w[rare], k)
+
+    def _finish(self, scores: np.ndarray, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """scores: what frequent words give each example; t, w: the others."""
+        n = self.of_term[t + 1] - self.of_term[t]
+        entries, by = _ranges(self.of_term[t], n), np.repeat(w, n)  # each (word, block) with the text's weight of the word
         block = self.block_of[entries]
-        bounds = np.bincount(block, by * self.top[entries], self.blocks)
-        scores = np.zeros(self.blocks * BLOCK)
-        chosen = np.zeros(self.blocks, bool)
-        chosen[np.argsort(-bounds, kind="stable")[:FIRST]] = True
-        self._score(scores, entries[chosen[block]], by[chosen[block]])
-        reached = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        rest = ~chosen & (bounds >= max(reached - 1e-9, 1e-12))
-        self._score(scores, entries[rest[block]], by[rest[block]])
-        scores = np.round(scores, 12)
-        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        hits = np.flatnonzero(scores >= max(least, 1e-12))
-        hits = hits[np.argsort(-scores[hits], kind="stable")[:k]]
-        return scores[hits], hits
-
-    def _score(self, scores: np.ndarray, entries: np.ndarray, by: np.ndarray) -> None:
+        bounds = np.bincount(block, by * self.top[entries], self.blocks) + scores.reshape(-1, BLOCK).max(1)
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        self._add(scores, entries[first[block]], by[first[block]])
+        whole = np.repeat(first, BLOCK)
+        known = scores[whole]
+        reached = np.partition(known, -k)[-k] if len(known) > k else 0.0
+        rest = ~first & (bounds >= max(reached - 1e-9, 1e-12))
+        self._add(scores, entries[rest[block]], by[rest[block]])
+        found = np.flatnonzero(np.repeat(first | rest, BLOCK) & (scores >= max(reached - 1e-9, 1e-12)))
+        cosines = np.round(scores[found], 12)
+        best = np.argsort(-cosines, kind="stable")[:k]
+        return cosines[best], found[best]
+
+    def _add(self, scores: np.ndarray, entries: np.ndarray, by: np.ndarray) -> None:
         n = self.cut[entries + 1] - self.cut[entries]
         p = _ranges(self.cut[entries], n)
         scores += np.bincount(self.at[p], self.value[p] * np.repeat(by, n), len(scores))
 
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        cosines, e = self.nearest(terms(text))
-        if not len(e):
-            return self.base, []
-        votes = cosines * self.rows[e]
-        shrink = SHRINK * self.per_row[e].mean()
-        score = (votes @ self.labels[e] + shrink * self.base) / (votes.sum() + shrink)
-        return float(min(1.0, max(0.0, score))), self.doc_ids[e].tolist()
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """Score and evidence of each text."""
+        out = []
+        for cosines, e in self.nearest([terms(t) for t in texts]):
+            if not len(e):
+                out.append((self.base, []))
+                continue
+            votes = cosines * self.rows[e]
+            shrink = SHRINK * self.per_row[e].mean()
+            score = (votes @ self.labels[e] + shrink * self.base) / (votes.sum() + shrink)
+            out.append((float(min(1.0, max(0.0, score))), self.doc_ids[e].tolist()))
+        return out
 
 
 def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -274,9 +300,9 @@ def rate(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                got = [m.score(t) for t in part.column(at).to_pylist()]
+            for i in range(0, batch.num_rows, BATCH):
+                part = batch.slice(i, BATCH)
+                got = m.score(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], [*part.schema.names, "toxicity", "evidence"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxicity", DoubleType()), StructField("evidence", ArrayType(LongType()))]))

@@ -62,11 +62,11 @@ def test_nearest_and_votes_equal_brute_force():
     for _ in range(150):
         text = " ".join(some(rng.randint(0, 1)).elements()) + " unknown"
         cos = brute_force(examples, (4.0, 2.0), text)
-        got, at = index.nearest(toxicity.terms(text))
+        (got, at), = index.nearest([toxicity.terms(text)])
         want = sorted((c for c in cos.values() if c > 1e-12), reverse=True)[: toxicity.NEIGHBOURS]
         assert np.allclose(got, want, atol=1e-9)
         assert np.allclose(got, [cos[index.doc_ids[i]] for i in at], atol=1e-9)
-        score, evidence = index.score(text)
+        (score, evidence), = index.score([text])
         assert evidence == [index.doc_ids[i] for i in at] and len(set(evidence)) == len(evidence)
         votes = sum(cos[d] * rows[d] for d in evidence)
         shrink = toxicity.SHRINK * sum((4.0, 2.0)[labels[d]] for d in evidence) / len(evidence)
@@ -76,9 +76,9 @@ def test_nearest_and_votes_equal_brute_force():
 def test_blocks_are_skipped_and_ties_are_stable():
     examples = [(i, i % 2, 1.0, Counter({f"w{chr(97 + i // 200)}": 1, "toxic" if i % 2 else "clean": 1})) for i in range(2000)]
     index = pickle.loads(pickle.dumps(toxicity.Index(examples, 0.5)))
-    got = index.nearest(Counter({"wc": 1, "toxic": 1}))
+    got, again = index.nearest([Counter({"wc": 1, "toxic": 1}), Counter({"toxic": 1, "wc": 1})])
     assert np.allclose(got[0], 1) and all(400 <= index.doc_ids[i] < 600 and index.doc_ids[i] % 2 for i in got[1])
-    assert got[1].tolist() == sorted(got[1].tolist()) == index.nearest(Counter({"toxic": 1, "wc": 1}))[1].tolist()
+    assert got[1].tolist() == sorted(got[1].tolist()) == again[1].tolist()
 
 
 def test_toxicity_on_labels(spark):
