@@ -25,7 +25,8 @@ TURN, TEXT, END = b"<|turn|>", b"<|text|>", b"<|end|>"
 #: Control strings without their first character.
 _TAILS = r"(\|turn\|>|\|text\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)"
 ESCAPE, UNESCAPE = rf"([<\[])(\\*){_TAILS}", rf"([<\[])\\(\\*){_TAILS}"
-_BLOCK = 1 << 20
+#: Bytes copied by one scatter index; bytes of text to an output batch, if it has more than one conversation.
+_BLOCK, _BATCH_BYTES = 1 << 20, 1 << 28
 FORMATTED = "conv_id long, n_turns long, formatted string, loss_starts array<long>, loss_lengths array<long>"
 
 
@@ -89,9 +90,16 @@ def assemble(ids: list, roles: pa.Array, texts: pa.Array) -> pa.RecordBatch:
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.Table] = []  # rows of the conversation that goes on
 
-    def done() -> pa.RecordBatch:
-        t = pa.concat_tables(held).combine_chunks()
-        return assemble(t["conv_id"].to_pylist(), t["role"].combine_chunks(), t["text"].combine_chunks())
+    def done() -> Iterator[pa.RecordBatch]:
+        t = pa.concat_tables(held)
+        ids = t["conv_id"].to_pylist()
+        sizes = np.cumsum(pc.add(pc.binary_length(t["text"]), pc.binary_length(t["role"])).to_numpy().astype(np.int64))
+        begin, spent = 0, 0
+        for i in range(1, len(ids) + 1):
+            if i == len(ids) or ids[i] != ids[i - 1] and sizes[i - 1] - spent >= _BATCH_BYTES:
+                part = t.slice(begin, i - begin)
+                yield assemble(ids[begin:i], pa.chunked_array(part["role"].chunks, pa.string()), pa.chunked_array(part["text"].chunks, pa.string()))
+                begin, spent = i, sizes[i - 1]
 
     for batch in batches:
         if not batch.num_rows:
@@ -100,15 +108,15 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = next((i for i in range(len(ids) - 1, 0, -1) if ids[i] != ids[i - 1]), 0)
         if held and (cut or held[-1]["conv_id"][-1].as_py() != ids[0]):
             if held[-1]["conv_id"][-1].as_py() != ids[0]:
-                yield done()
+                yield from done()
                 held = []
         if cut:
             held.append(table.slice(0, cut))
-            yield done()
+            yield from done()
             held = []
         held.append(table.slice(cut))
     if held:
-        yield done()
+        yield from done()
 
 
 def format_chat(turns: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ A word that training has seen adds its log frequency in each language. An unseen
 its character 5-grams (with marks at both ends) that are known, or else of its 4-grams, and so on down to single
 characters. The posterior over languages, each as likely beforehand, gives prediction and score.
 
-The model is fitted on a bounded sample of labelled rows: about PER_LANGUAGE documents of each language, of at
-most MAX_SAMPLE_CHARS characters, chosen by a hash of the id. Its size is bounded by WORDS and GRAMS per
-language, so it is broadcast. Texts are scored whole, an Arrow batch at a time.
+The model is fitted on a bounded sample of labelled rows: the PER_LANGUAGE documents of each language whose ids have
+the least hashes (and those that tie with the last). It holds the WORDS commonest words and the GRAMS commonest
+n-grams of each order of each language, so its size is bounded and it is broadcast. Texts are scored whole.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.window import Window as W
 
-from .common import training_row
+from .common import replaced, training_row
 
-PER_LANGUAGE, MAX_SAMPLE_CHARS, WORDS, GRAMS, ORDERS = 600, 100_000, 40_000, 10_000, (5, 4, 3, 2, 1)
+PER_LANGUAGE, WORDS, GRAMS, ORDERS = 600, 40_000, 10_000, (5, 4, 3, 2, 1)
 #: A language with fewer training documents is not learned.
 MIN_DOCUMENTS = 3
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -72,15 +73,12 @@ def _log_frequencies(counts: dict[str, dict[str, int]], languages: list[str], mo
 
 
 def fit(docs: DataFrame) -> Model:
-    """docs(doc_id, text, lang). Only training rows with a lang and a text count."""
-    rows = docs.where(training_row(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect() if r.n >= MIN_DOCUMENTS}
-    languages = sorted(sizes)
-    if not languages:
-        return Model([], {}, {n: {} for n in ORDERS})
-    share = F.coalesce(*[F.when(F.col("lang") == lang, min(1.0, PER_LANGUAGE / n)) for lang, n in sizes.items()], F.lit(0.0))
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < share * float(1 << 20)
-    sample = rows.where(chosen & (F.length("text") <= MAX_SAMPLE_CHARS)).select("lang", "text")
+    """docs(doc_id, text, lang). Only training rows with a lang and a text count; a language of fewer than MIN_DOCUMENTS
+    of them is not learned."""
+    rows = docs.where(training_row(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", F.lit("language")).alias("h"))
+    ranked = rows.select("lang", "h").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= PER_LANGUAGE)
+    limits = ranked.groupBy("lang").agg(F.max("h").alias("limit"), F.max("r").alias("n")).where(F.col("n") >= MIN_DOCUMENTS)
+    sample = rows.join(limits, "lang").where("h <= limit").select("lang", "text")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -92,10 +90,12 @@ def fit(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
     counted = sample.mapInArrow(tokens, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {lang: {} for lang in languages}
+    counts: dict[str, dict[str, int]] = {}
     for lang, word, n in counted.toPandas().itertuples(index=False):  # of the bounded sample
-        counts[lang][word] = int(n)
-    languages = [lang for lang in languages if counts[lang]]
+        counts.setdefault(lang, {})[word] = int(n)
+    languages = sorted(counts)
+    if not languages:
+        return Model([], {}, {n: {} for n in ORDERS})
     grams = {}
     for order in ORDERS:
         by: dict[str, Counter] = {lang: Counter() for lang in languages}
@@ -105,23 +105,25 @@ def fit(docs: DataFrame) -> Model:
                 for i in range(len(marked) - order + 1):
                     by[lang][marked[i : i + order]] += n
         grams[order] = _log_frequencies(by, languages, GRAMS)
-    frequent = {lang: {w: n for w, n in counts[lang].items() if n > 1 or len(counts[lang]) < 1000} for lang in languages}
-    return Model(languages, _log_frequencies(frequent, languages, WORDS), grams)
+    return Model(languages, _log_frequencies(counts, languages, WORDS), grams)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs plus lang_pred and lang_score (0 to 1); those names must be free.
+    """docs plus lang_pred and lang_score (0 to 1); columns of those names are replaced.
 
     Text that is null or has no letter, or a model without languages: `und`, 0. Ties go to the first language
     in alphabetical order. The rows come as they are, repeated or not; only text is looked at.
     """
+    docs = replaced(docs, "lang_pred", "lang_score")
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            got = [m.predict(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                got = [m.predict(t) for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*part.schema.names, "lang_pred", "lang_score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]))

@@ -19,11 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import written
+from .common import replaced, written
 
 #: A slot table of up to this many rows is broadcast; a longer one is written out by block and joined by key.
 BROADCAST_ROWS = 100_000
 SEED = 17
+RESULTS = ("mix_block", "mix_slot", "mix_position")
 
 
 def _key(source: Column) -> Column:
@@ -85,11 +86,13 @@ def mix_order(docs: DataFrame, parts: dict[str, int], default_parts: int = 4, bl
     Every row comes out once: nothing is repeated or left out to reach a weight. Within a source, rows come
     in the order of a hash of row_id, then of row_id, then of the whole row's hash (equal rows are
     interchangeable). Any number of sources. Null sources form one source; null ids are ids like others. Empty in, empty out. docs
-    may have any other columns but the three mix_ ones.
+    may have any other columns; those named as the three are replaced.
     """
-    clash = {"mix_block", "mix_slot", "mix_position"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    if any(c.lower().startswith("__mix_") for c in docs.columns):  # as one struct they meet none of the names in use here
+        kept = replaced(docs, *RESULTS).columns
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{source}`").alias("source"), F.col(f"`{row_id}`").alias("row_id"))
+        return mix_order(rows, parts, default_parts, block_rows, "source", "row_id", buckets).select("row.*", *RESULTS)
+    docs = replaced(docs, *RESULTS)
     own = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(*own, _key(F.col(source)).alias("__mix_key"), F.xxhash64(F.lit(SEED), F.col(row_id)).alias("__mix_h"))
     rows = rows.withColumn("__mix_bucket", F.pmod(F.shiftrightunsigned("__mix_h", 20), F.lit(buckets)).cast("int"))
@@ -119,4 +122,8 @@ def mix_order(docs: DataFrame, parts: dict[str, int], default_parts: int = 4, bl
 
 def mix(docs: DataFrame, parts: dict[str, int], default_parts: int = 4, block_rows: int = 16, source: str = "source", row_id: str = "doc_id") -> DataFrame:
     """The rows of docs, same columns, in mixed order: range-partitioned and sorted, so files written from it are in order."""
-    return mix_order(docs, parts, default_parts, block_rows, source, row_id).repartitionByRange(F.col("mix_position")).sortWithinPartitions("mix_position").drop("mix_block", "mix_slot", "mix_position")
+    clash = any(c.lower() in RESULTS for c in docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{source}`").alias("source"), F.col(f"`{row_id}`").alias("row_id")) if clash else docs
+    out = mix_order(rows, parts, default_parts, block_rows, "source", "row_id") if clash else mix_order(docs, parts, default_parts, block_rows, source, row_id)
+    out = out.repartitionByRange(F.col("mix_position")).sortWithinPartitions("mix_position")
+    return out.select("row.*") if clash else out.drop(*RESULTS)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, words, written
 
 WINDOW = 5
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_letters", "n_lines", "n_dup_lines", "n_stutter", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
 #: Bounds of the votes: (SQL for junk, SQL for fine); neither: the rule abstains.
 RULES = {
@@ -102,14 +103,19 @@ def label_model(patterns: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without text, with the counts, base_failed, p_fine (0 to 1) and kept.
+    """docs without text, with the counts, base_failed, p_fine (0 to 1) and kept (see COUNTS); columns of those names are
+    replaced, and any others are kept, whatever their names.
 
     base_failed: fewer than ten words, or more than a fifth of them within repeated five-word windows. kept:
     not base_failed and p_fine >= 0.5. Texts that are null, empty or without words fail the base; equal texts
     get equal verdicts; an empty table gives an empty one.
     """
-    f = written(features(docs, text).withColumn("pattern", pattern()), "quality")
+    names = [*COUNTS, "base_failed", "p_fine", "kept"]
+    others = [c for c in docs.columns if c != text and c.lower() not in names]
+    # As one struct they meet none of the names in use here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("__rest") if others else F.lit(0).alias("__rest"), F.col(f"`{text}`").alias("text"))
+    f = written(features(rows).withColumn("pattern", pattern()), "quality")
     post = label_model(f.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
     out = f.join(F.broadcast(post), "pattern")  # 3 ** 7 rows at most
     out = out.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_fine") >= 0.5))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_fine") >= 0.5)).select(*(["__rest.*"] if others else []), *names)

@@ -58,11 +58,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def _dictionary(records: list[bytes]) -> bytes:
-    """Empty if the records are too few or too small to train on."""
+    """Trained on the records; of few or small ones, which can't be trained on, their own bytes are the dictionary."""
     try:
-        return zstandard.train_dictionary(DICT_BYTES, records, k=256, d=8).as_bytes() if len(records) >= 8 else b""
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(DICT_BYTES, records, k=256, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(records)[:DICT_BYTES]
 
 
 class _Archive:
@@ -89,10 +89,9 @@ class _Archive:
 
     def _open(self) -> None:
         raw = _dictionary(self.held)
-        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw))
         self.out = self.files.open_output_stream(self.path, compression=None)  # else it compresses by file name
-        if raw:
-            self.out.write(struct.pack("<II", _SKIPPABLE, len(raw)) + raw)
+        self.out.write(struct.pack("<II", _SKIPPABLE, len(raw)) + raw)
         info = b"software: quarryline\r\nformat: WARC File Format 1.1\r\n"
         self.out.write(self.compressor.compress(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {_DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n"))
         for data in self.held:

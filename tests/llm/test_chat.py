@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from quarryline.llm import chat, queries
 
 from .helpers import same
@@ -37,3 +39,12 @@ def test_empty(spark):
 def test_query_equals_sql(spark):
     d = "/root/testdata/sf0.01"
     same(queries.op10_chat(spark, d), queries.SQL["op10_chat"], d)
+
+
+def test_large_conversations_share_a_batch(spark, monkeypatch):
+    """Conversations that are large together are put out in several batches."""
+    batch = pa.RecordBatch.from_pydict({"conv_id": [1, 1, 2, 3, 3, 4], "role": ["user", "assistant"] * 3, "text": ["a" * 900, "b", "c" * 1200, "d", "e" * 50, "f"]})
+    want = pa.Table.from_batches(chat._format(iter([batch])))
+    monkeypatch.setattr(chat, "_BATCH_BYTES", 1000)
+    parts = list(chat._format(iter([batch])))
+    assert len(parts) > len(list(want.to_batches())) and pa.Table.from_batches(parts).to_pylist() == want.to_pylist() and want.num_rows == 4

@@ -1,6 +1,7 @@
 import math
 import pickle
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -30,6 +31,57 @@ def test_language_edge_cases(spark):
     assert langid.identify(odd.limit(0), m).count() == 0
 
 
+def test_language_equals_brute_force(spark):
+    """Predictions from the definitions: log frequencies of known words, else the mean over known n-grams of the longest order that has any."""
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "efgha"}
+    rows = [(i, " ".join(word(letters[lang]) for _ in range(rng.randint(1, 30))), lang) for i in range(300) for lang in [rng.choice(sorted(letters))]]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {lang: Counter() for lang in letters}
+    for d, t, lang in rows:
+        if zlib.crc32(str(d).encode()) % 4 != 2:
+            counts[lang].update(t.split())
+    langs = sorted(counts)
+
+    def grams(n):
+        out = {lang: Counter() for lang in langs}
+        for lang in langs:
+            for w, k in counts[lang].items():
+                for i in range(len(w) + 3 - n):
+                    out[lang][f"^{w}$"[i : i + n]] += k
+        return out
+
+    table = {n: grams(n) for n in (5, 4, 3, 2, 1)}
+    logs = lambda by, x: [math.log((by[lang][x] + 0.5) / (sum(by[lang].values()) + 1)) for lang in langs]
+
+    def of(w):
+        if any(w in counts[lang] for lang in langs):
+            return logs(counts, w)
+        for n, by in table.items():
+            known = [logs(by, g) for g in (f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)) if any(g in by[lang] for lang in langs)]
+            if known:
+                return [sum(x) / len(known) for x in zip(*known)]
+        return [0.0] * len(langs)
+
+    texts = [" ".join(word("abcdefghijk") for _ in range(rng.randint(1, 12))) for _ in range(150)] + ["zzz", "abcd zzz"]
+    got = langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+    for r in got:
+        total = [sum(x) for x in zip(*[of(w) for w in texts[r.doc_id].split()])]
+        best = max(range(len(langs)), key=lambda i: (total[i], -i))
+        score = 1 / sum(math.exp(x - total[best]) for x in total)
+        assert abs(r.lang_score - score) < 1e-9 and (r.lang_pred == langs[best] or abs(sorted(total)[-1] - sorted(total)[-2]) < 1e-9)
+
+
+def test_language_ties_names_and_repeats(spark):
+    rows = [(i, "same words", lang) for i in range(60) for lang in ("xx", "yy")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, "same words", 5, "s")] * 2, "doc_id long, text string, Lang_Pred int, lang_score string")
+    got = langid.identify(docs, model)
+    assert got.columns == ["doc_id", "text", "lang_pred", "lang_score"]
+    assert [(r.lang_pred, round(r.lang_score, 9)) for r in got.collect()] == [("xx", 0.5)] * 2
+
+
 def brute_force(examples, share_rows, text):
     """Cosines of a text with all examples, from the definitions: {doc_id: cosine}."""
     n = [sum(y == k for _, y, _, _ in examples) for k in (0, 1)]

@@ -71,3 +71,15 @@ def test_more_than_512_sources(spark):
 def test_long_slot_table_is_joined_by_block(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
     check(spark, [(i, "a" if i % 3 == 0 else "b" if i % 7 == 1 else None if i % 11 == 2 else f"c{i % 4}", "x", None) for i in range(400)])
+
+
+def test_clashing_names(spark):
+    rows = [(i, f"s{i % 3}", i, "a", "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, Mix_Slot long, `__mix_key` string, `__mix_s_k` string")
+    plain = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, source string")
+    got = mixing.mix_order(docs, {"s0": 2}, 1, 4)
+    assert got.columns == ["doc_id", "source", "__mix_key", "__mix_s_k", "mix_block", "mix_slot", "mix_position"]
+    assert {r.doc_id: r.mix_slot for r in got.collect()} == {r.doc_id: r.mix_slot for r in mixing.mix_order(plain, {"s0": 2}, 1, 4).collect()}
+    mixed = mixing.mix(docs, {"s0": 2}, 1, 4)
+    assert mixed.columns == docs.columns and sorted(map(tuple, mixed.collect())) == rows
+    assert [r.doc_id for r in mixed.collect()] == [r.doc_id for r in mixing.mix(plain, {"s0": 2}, 1, 4).collect()]

@@ -78,3 +78,13 @@ def test_query_against_labels(spark):
     lab = got.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where(~F.col("base_failed"))
     hit = {(r.quality, r.kept): r["count"] for r in lab.groupBy("quality", "kept").count().collect()}
     assert hit.get((1, False), 0) <= 0.01 * hit[(1, True)] and hit.get((0, True), 0) <= 0.2 * hit.get((0, False), 1)
+
+
+def test_judge_with_clashing_names(spark):
+    text = "Plain words make up this text and it goes on for a while without trouble of any kind."
+    df = spark.createDataFrame([(1, text, 5, "p", [1], "k", 2.5), (2, None, 6, "q", None, None, None)], "doc_id long, text string, N_words int, pattern string, windows array<int>, `__words` string, kept double")
+    got = quality.judge(df)
+    assert got.columns[:4] == ["doc_id", "pattern", "windows", "__words"] and got.columns[4:] == [*quality.COUNTS, "base_failed", "p_fine", "kept"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert (rows[1].pattern, rows[1].windows, rows[1]["__words"], rows[1].n_words, rows[1].kept) == ("p", [1], "k", 18, True)
+    assert (rows[2].pattern, rows[2].n_words, rows[2].kept) == ("q", 0, False)

@@ -50,3 +50,9 @@ def test_empty(spark):
 def test_query_equals_sql(spark):
     d = "/root/testdata/sf0.01"
     same(queries.op7_warc(spark, d), queries.SQL["op7_warc"], d)
+
+
+def test_few_records_and_long_ones(spark):
+    rows = [(1, "http://h/é", None), (2, None, "漢" * 3_000_000), (3, "u", "x" * 1500)]
+    got = {r.page_id: r for r in warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))).collect()}
+    assert {k: bytes(r.payload).decode() for k, r in got.items()} == {1: "", 2: rows[1][2], 3: rows[2][2]} and got[1].url == "http://h/é"
