@@ -74,7 +74,7 @@ def _tables(spark: SparkSession) -> tuple[Column, Column, Column]:
 
 
 def samples(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows(keys, t, w) -> (keys, g, m): m has the minima of samples g * PER_ROW and so on, whose bits 31 and up are the
+    """rows(keys, t, w) -> (keys, g, t, m): the greatest t; m has the minima of samples g * PER_ROW and so on, whose bits 31 and up are the
     value, the others say which shingle and step it was; null for a text without shingles.
 
     A sample's draws come from one hash: 32 bits for c, by interpolation between quantiles; twice 10 for r, the sum of
@@ -98,7 +98,7 @@ def samples(rows: DataFrame, keys: list[str]) -> DataFrame:
         value = (low + (F.col(f"c{k}") - i) * (F.get(gamma, i + 1) - low)) * F.get(powers, x) * (1 - d * (1 - d / 2.0 * (1 - d / 3.0)))
         which = F.shiftrightunsigned(f"h{k}", 33).bitwiseXOR(F.col(f"s{k}") * 40503).bitwiseAND(_ID)
         out.append(F.min(F.when(F.col("t").isNotNull(), F.shiftleft((value * float(1 << 27)).cast("long"), 31).bitwiseOR(which))).alias(f"m{k}"))
-    return rows.groupBy(*keys, "g").agg(*out).select(*keys, "g", F.array(*[f"m{k}" for k in each]).alias("m"))
+    return rows.groupBy(*keys, "g").agg(F.max("t").alias("t"), *out).select(*keys, "g", "t", F.array(*[f"m{k}" for k in each]).alias("m"))
 
 
 def signature(found: str, sides: tuple[int, ...] = (0,)) -> Column:
@@ -108,16 +108,20 @@ def signature(found: str, sides: tuple[int, ...] = (0,)) -> Column:
     return F.expr(f"transform(flatten(transform(sequence(0, {SAMPLES // PER_ROW - 1}), g -> {of})), v -> cast(coalesce(v & {_ID}, 0) as int))")
 
 
-def fingerprint(df: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
-    """df(keys, texts), up to three -> (keys, sig0, sig1, ...): arrays of SAMPLES sample ids, all 0 for a text without words (or null).
+def fingerprint(df: DataFrame, keys: list[str], texts: list[str], same: tuple[str, ...] = ()) -> DataFrame:
+    """df(keys, same, texts), up to three texts -> (keys, same, sig0, sig1, ...): arrays of SAMPLES sample ids, all 0 for a
+    text without words (or null).
 
-    The keys must tell the rows apart. If df is partitioned by some of them, nothing is shuffled.
+    The keys must tell the rows apart, and all rows are looked up by them, so they should be short. same are other
+    columns, longs; each comes along as a row of its own, like a shingle, of a side from 8 on. If df is partitioned by some
+    of the keys, nothing is shuffled.
     """
-    rows = weighted_shingles(df.select(*keys, *texts), texts, "__terms")
-    rows = rows.select(*keys, F.explode_outer("__terms").alias("__x")).select(*keys, F.coalesce("__x.side", F.lit(0)).alias("side"), "__x.t", "__x.w")
-    found = samples(rows, [*keys, "side"]).groupBy(*keys).agg(F.collect_list(F.struct("side", "g", "m")).alias("__m"))
+    rows = weighted_shingles(df.select(*keys, *same, *texts), texts, "__terms")
+    more = [F.struct(F.lit(8 + i).alias("side"), F.col(c).cast("long").alias("t"), F.lit(1).alias("w")) for i, c in enumerate(same)]
+    rows = rows.select(*keys, F.explode_outer(F.concat("__terms", F.array(*more)) if same else F.col("__terms")).alias("__x")).select(*keys, F.coalesce("__x.side", F.lit(0)).alias("side"), "__x.t", "__x.w")
+    found = samples(rows, [*keys, "side"]).groupBy(*keys).agg(F.collect_list(F.struct("side", "g", "t", "m")).alias("__m"))
     both = {0: (0, 3), 1: (1, 3), 2: (2,)}
-    return found.select(*keys, *[signature("__m", both[i]).alias(f"sig{i}") for i in range(len(texts))])
+    return found.select(*keys, *[F.expr(f"get(filter(__m, x -> x.side = {8 + i}), 0).t").alias(c) for i, c in enumerate(same)], *[signature("__m", both[i]).alias(f"sig{i}") for i in range(len(texts))])
 
 
 def as_string(sig: Column) -> Column:
@@ -175,7 +179,10 @@ def with_edited(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     rows = rows.select("b", "rn", "doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.expr("left(text, length(text) - length(text) div 4)"), F.expr("left(next, cast(length(text) div 4 as int))")).alias("edited"), F.when(F.col("last"), F.col("next")).alias("far"))
     # The next document's fingerprint is found among the range's own, but for the last one's.
-    rows = rows.withColumn("sha", F.sha2("edited", 256)).withColumn("last", F.col("far").isNotNull())
-    sigs = fingerprint(rows, ["b", "rn", "doc_id", "n_chars", "sha", "last"], ["text", "edited", "far"])
-    out = sigs.withColumn("next_sig", F.when(F.col("last"), F.col("sig2")).otherwise(F.lead("sig0").over(W.partitionBy("b").orderBy("rn"))))
+    rows = rows.withColumn("sha", F.sha2("edited", 256)).withColumn("last", F.col("far").isNotNull().cast("long"))
+    parts = [f"sha{i}" for i in range(4)]
+    rows = rows.select("*", *[F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("long").alias(p) for i, p in enumerate(parts)])
+    sigs = fingerprint(rows, ["b", "rn"], ["text", "edited", "far"], ("doc_id", "n_chars", "last", *parts))
+    sigs = sigs.withColumn("sha", F.lower(F.concat(*[F.lpad(F.hex(p), 16, "0") for p in parts])))
+    out = sigs.withColumn("next_sig", F.when(F.col("last") == 1, F.col("sig2")).otherwise(F.lead("sig0").over(W.partitionBy("b").orderBy("rn"))))
     return out.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), as_string(F.col("sig0")).alias("fingerprint"), as_string(F.col("sig1")).alias("edited_fingerprint"), likeness(F.col("sig0"), F.col("sig1")).alias("near_edited"), likeness(F.col("sig0"), F.col("next_sig")).alias("near_next"))
