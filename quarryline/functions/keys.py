@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .idents import word_components
 
+# Request methods.
+METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
 #: Stands for a parameter while nested braces are reduced.
 _HOLE = "\u0001"
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Parts of lower-case paths that mark tests and generated code.
 TEST_MARKERS = ("/test/", "/tests/", "/testing/", "/testdata/", "/__tests__/", "/mocks/", "/mock/", "/fixtures/", "/vendor/", "/node_modules/", "_test.", ".test.", ".spec.")
 GENERATED_MARKERS = ("/genproto/", "/generated/", ".pb.go", ".pb.cc", ".pb.h", "_pb2.", "_pb2_", "_pb.js", "_pb.d.ts", ".proto")
-SYNTHETIC_TRAFFIC = ("locustfile", "loadgen", "loadtest", "benchmarks", "gatling", "jmeter")
+SYNTHETIC_TRAFFIC = ("locustfile", "loadgen", "load-gen", "load_gen", "loadtest", "load-test", "load_test", "/benchmarks/", "/gatling/", "/jmeter/")
 
 
 def _contains_any(path: Column, marks: tuple[str, ...]) -> Column:
@@ -32,7 +32,8 @@ def is_penalty_path(path: Column) -> Column:
 
 
 def is_synthetic_traffic(path: Column) -> Column:
-    return _contains_any(path, SYNTHETIC_TRAFFIC)
+    """Of the path as it is: a folder at its very start has no slash before it and is no sign."""
+    return reduce(or_, [F.lower(path).contains(m) for m in SYNTHETIC_TRAFFIC])
 
 
 def matches(eq: dict | None = None, within: dict | None = None, without: dict | None = None, fold: tuple | None = None, contains_fold: tuple | None = None, suffix: tuple | None = None, line: tuple | None = None) -> Column:

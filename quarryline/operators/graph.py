@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,10 @@ from pyspark.sql.window import Window as W
 def _cut(df: DataFrame) -> DataFrame:
     """The rows from a table in the shared checkpoint folder, so that loops don't grow lineage."""
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = (root or "file:///tmp/checkpoints").rstrip("/")  # one machine, as in tests
     path = f"{root}/quarryline-graph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -30,15 +34,15 @@ def distances(edges: DataFrame, start: DataFrame, depth: int = 10, directed: boo
     """edges(src, dst), start(node) -> (node, distance): breadth first, each node once. A frontier per step, joined
     to the edges and rid of nodes seen; it stops when a frontier is empty."""
     links = edges.select("src", "dst")
-    links = (links if directed else links.union(edges.select("dst", "src"))).distinct()
+    links = _cut((links if directed else links.union(edges.select("dst", "src"))).distinct())  # read at every step
     frontier = _cut(start.select("node").distinct().withColumn("distance", F.lit(0)))
-    seen = frontier
+    seen = frontier  # a table for each distance
     for d in range(1, depth + 1):
         step = links.join(frontier, links["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(seen, "node", "left_anti").withColumn("distance", F.lit(d)))
+        frontier = _cut(step.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d)))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     return seen
 
 
@@ -69,6 +73,9 @@ def expand(edges: DataFrame, start: DataFrame, hops: int = 2, cap: int = 24) ->
         step = front.join(links, front["far"] == links["a"]).select("node", F.col("b").alias("far")).distinct().join(seen.select("node", "far"), ["node", "far"], "left_anti").withColumn("distance", F.lit(d))
         front = _cut(step)
         seen = seen.unionByName(front)
+        # Who has cap already needs nothing farther.
+        full = seen.where("distance > 0").groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cap).select("node")
+        front = front.join(full, "node", "left_anti")
     rank = F.row_number().over(W.partitionBy("node").orderBy("distance", "far"))
     return seen.where("distance > 0").withColumn("__n", rank).where(F.col("__n") <= cap).drop("__n")
 

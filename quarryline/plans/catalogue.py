@@ -49,10 +49,14 @@ def content_hash_dups(spark, d):
     return h.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("""WITH now AS (SELECT doc_id, sha256(text) AS hash, source FROM documents), before AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || ' ' ELSE text END) AS hash FROM documents WHERE doc_id % 11 <> 0)
+SELECT doc_id, source FROM now WHERE NOT EXISTS (SELECT 1 FROM before WHERE before.doc_id = now.doc_id AND before.hash = now.hash)""")
 def incremental_changed(spark, d):
-    """Customers as files, their orders as index entries: those not indexed yet."""
-    return incremental.changed(_t(spark, d, "customer"), _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_name")
+    """Documents as files; the index has an older text of every seventh and lacks every eleventh: those to index."""
+    docs, text = _t(spark, d, "documents"), F.col("text")
+    old = F.when(F.col("doc_id") % 7 == 0, F.concat(text, F.lit(" "))).otherwise(text)
+    before = docs.where("doc_id % 11 <> 0").select("doc_id", F.sha2(old, 256).alias("hash"))
+    return incremental.changed(docs.select("doc_id", F.sha2(text, 256).alias("hash"), "source"), before, ["doc_id", "hash"]).select("doc_id", "source")
 
 
 @query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM supplier s JOIN nation n ON s_nationkey = n_nationkey JOIN part p ON p_size = n_nationkey WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey)")
@@ -118,10 +122,18 @@ def filter_builder_multi(spark, d):
     return _t(spark, d, "part").where(cond).select("p_partkey", "p_name")
 
 
-@query("""SELECT page_id, (p LIKE '%/test/%' OR p LIKE '%/tests/%' OR contains(p, '_test.') OR contains(p, '.test.') OR contains(p, '.spec.')) AS is_test, (contains(p, '.proto') OR contains(p, '.pb.go')) AS is_generated
-FROM (SELECT page_id, '/' || lower(url) AS p FROM pages)""")
+_FOLDERS = ["src", "Test", "tests", "latest", "testing", "testdata", "__tests__", "mocks", "mock", "fixtures", "vendor", "node_modules", "genproto", "generated", "load-gen", "load_test", "gatling", "lib/jmeter"]
+_FILES = ["a.go", "a_test.go", "a.test.ts", "a.spec.js", "contest.go", "a.pb.go", "a.pb.cc", "a.pb.h", "a_pb2.py", "a_pb2_grpc.py", "a_pb.js", "a_pb.d.ts", "a.proto", "locustfile.py", "LoadGen.java"]
+
+
+@query(f"""WITH p AS (SELECT page_id, {_FOLDERS}[1 + page_id % {len(_FOLDERS)}] || '/' || {_FILES}[1 + (page_id // 3) % {len(_FILES)}] AS path FROM pages), q AS (SELECT *, lower(path) AS l, '/' || lower(path) AS a FROM p)
+SELECT page_id, path, regexp_matches(a, '/(test|tests|testing|testdata|__tests__|mocks|mock|fixtures|vendor|node_modules)/|_test[.]|[.]test[.]|[.]spec[.]') AS is_test,
+regexp_matches(a, '/(genproto|generated)/|[.]pb[.](go|cc|h)|_pb2[._]|_pb[.](js|d[.]ts)|[.]proto') AS is_generated, regexp_matches(l, 'locustfile|load[-_]?(gen|test)|/(benchmarks|gatling|jmeter)/') AS is_synthetic FROM q""")
 def penalty_paths(spark, d):
-    return _t(spark, d, "pages").select("page_id", predicates.is_test_path(F.col("url")).alias("is_test"), predicates.is_generated_path(F.col("url")).alias("is_generated"))
+    """Paths of all kinds, made of the pages' ids."""
+    pick = lambda names, i: F.get(F.array(*[F.lit(n) for n in names]), (i % len(names)).cast("int"))
+    p = _t(spark, d, "pages").select("page_id", F.concat_ws("/", pick(_FOLDERS, F.col("page_id")), pick(_FILES, F.expr("page_id div 3"))).alias("path"))
+    return p.select("*", predicates.is_test_path(F.col("path")).alias("is_test"), predicates.is_generated_path(F.col("path")).alias("is_generated"), predicates.is_synthetic_traffic(F.col("path")).alias("is_synthetic"))
 
 
 @query("SELECT lang, count(*) AS n FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING bool_or(lang = 'es') AND avg(n_chars) > 100) GROUP BY lang")
@@ -170,12 +182,12 @@ def table_name_plural(spark, d):
     return _t(spark, d, "part").select("p_name").distinct().select("p_name", keys.table_name(F.concat(F.lit("*models."), F.initcap("p_name"))).alias("table_name"))
 
 
-@query(r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark),
+@query(r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
 s AS (SELECT w, CASE WHEN w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%ing' THEN left(w, length(w) - 3) WHEN w LIKE '%ed' THEN left(w, length(w) - 2) WHEN w LIKE '%ss' THEN w WHEN w LIKE '%es' THEN left(w, length(w) - 2) WHEN w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END AS t FROM w),
 e AS (SELECT w, CASE WHEN t LIKE '%e' THEN left(t, length(t) - 1) ELSE t END AS t FROM s)
 SELECT CASE WHEN length(w) < 5 OR length(t) < 4 THEN w ELSE t END AS stem, count(*) AS n FROM e GROUP BY 1""")
 def stem_words(spark, d):
-    w = _t(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    w = _t(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
     return w.select(idents.stem_word(F.col("w")).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -219,8 +231,8 @@ def table_match_tiers(spark, d):
 
 @query("""WITH c AS (SELECT p_partkey AS call_id, CASE WHEN p_size % 4 = 0 THEN '' WHEN p_size % 4 = 1 THEN 'B' || p_size ELSE p_brand END AS service, p_type AS method FROM part),
 i AS (SELECT min(p_partkey) AS impl_id, CASE WHEN p_size % 2 = 0 THEN 'pkg.' ELSE '' END || p_brand AS impl_service, p_type AS method FROM part GROUP BY 2, 3),
-m AS (SELECT call_id, impl_id, CASE WHEN service = impl_service THEN 0 WHEN suffix(impl_service, '.' || service) OR suffix(service, '.' || impl_service) THEN 1 WHEN service = '' THEN 2 END AS tier FROM c JOIN i USING (method)),
-b AS (SELECT *, min(tier) OVER (PARTITION BY call_id) AS l FROM m WHERE tier IS NOT NULL)
+m AS (SELECT call_id, impl_id, CASE WHEN service = '' THEN 2 WHEN service = impl_service THEN 0 WHEN suffix(impl_service, '.' || service) THEN 1 ELSE 2 END AS tier FROM c JOIN i USING (method)),
+b AS (SELECT *, min(tier) OVER (PARTITION BY call_id) AS l FROM m)
 SELECT call_id, min(impl_id) AS impl_id, tier, CASE WHEN count(*) = 1 AND tier < 2 THEN 0.95 ELSE 0.7 END::DOUBLE AS confidence FROM b WHERE tier = l GROUP BY call_id, tier""")
 def rpc_match_tiers(spark, d):
     p = _t(spark, d, "part")
@@ -337,30 +349,29 @@ def callee_round_robin(spark, d):
     return r.select("l_suppkey", "l_orderkey", "l_linenumber", F.col("round").cast("long").alias("round"))
 
 
-def _sparse(spark, d):
-    li = _t(spark, d, "lineitem").where("l_quantity = 50")
-    return li.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+def _sold(spark, d):
+    return _t(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
 
 
-_EDGES = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity = 50), u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e)"
+_EDGES = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e)"
 
 
 @query(f"WITH {_EDGES}, n AS (SELECT 's' || s_suppkey AS node FROM supplier) SELECT node, 'in' AS direction, src AS far FROM n JOIN e ON dst = node")
 def neighbors(spark, d):
-    return graph.neighbors(_sparse(spark, d), _t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node")))
+    return graph.neighbors(_sold(spark, d), _t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node")))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, r(node, distance) AS (SELECT 's1', 0 UNION SELECT b, distance + 1 FROM r JOIN u ON a = node WHERE distance < 4)
 SELECT node, min(distance)::INT AS distance FROM r GROUP BY node""")
 def shortest_path_bfs(spark, d):
-    return graph.distances(_sparse(spark, d), spark.createDataFrame([("s1",)], "node string"), 4, directed=False)
+    return graph.distances(_sold(spark, d), spark.createDataFrame([("s1",)], "node string"), 4, directed=False)
 
 
 @query(f"""WITH {_EDGES}, n AS (SELECT 's' || s_suppkey AS node FROM supplier), h AS (SELECT node, b AS far, 1 AS k FROM n JOIN u ON a = node UNION SELECT node, y.b, 2 FROM n JOIN u x ON x.a = node JOIN u y ON y.a = x.b),
 m AS (SELECT node, far, min(k) AS distance FROM h WHERE far <> node GROUP BY ALL)
 SELECT node, far, distance::INT AS distance FROM m QUALIFY row_number() OVER (PARTITION BY node ORDER BY distance, far) <= 24""")
 def expand_khop(spark, d):
-    return graph.expand(_sparse(spark, d), _t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node")), 2)
+    return graph.expand(_sold(spark, d), _t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node")), 2)
 
 
 @query()
@@ -413,7 +424,7 @@ def dominant_symbol(spark, d):
 
 
 _TERMS = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')"
-_BM25 = f"""q AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS.format(x="text")}[1:8]) AS term FROM benchmark),
+_BM25 = f"""q AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS.format(x="text")}) AS term FROM benchmark),
 k AS (SELECT doc_id, {_TERMS.format(x="text")} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM k),
 h AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM k), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM h WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 s AS (SELECT query_id, doc_id AS doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY ALL),
@@ -421,8 +432,8 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 
 
 def _questions(spark, d):
-    """The first eight words of each benchmark text."""
-    b = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(keyword.standard_tokens(F.col("text")), 1, 8)).alias("term"))
+    """All words of each benchmark text."""
+    b = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(keyword.standard_tokens(F.col("text"))).alias("term"))
     return b.distinct()
 
 

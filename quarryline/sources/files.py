@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 # Languages by file name extension.
-LANGUAGES = {"go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "cs": "csharp", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "proto": "proto", "sql": "sql", "yaml": "yaml", "yml": "yaml", "json": "json", "properties": "properties", "md": "markdown"}
+LANGUAGES = {"go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "cs": "csharp", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "proto": "proto", "sql": "sql", "yaml": "yaml", "yml": "yaml", "json": "json", "properties": "properties", "env": "properties", "toml": "toml", "md": "markdown", "rst": "rst", "txt": "text"}
 #: File names that make their folder a service, by priority.
 MANIFESTS = {"docker-compose.yml": 1, "docker-compose.yaml": 1, "main.go": 2, "go.mod": 3, "pom.xml": 3, "build.gradle": 3, "build.gradle.kts": 3, "package.json": 3, "pyproject.toml": 3, "requirements.txt": 3, "Dockerfile": 3}
 
@@ -31,13 +33,20 @@ def ignored(path: Column, globs: list[str]) -> Column:
 
 
 def scan(spark: SparkSession, root: str, repo: str, globs: list[str] = ()) -> DataFrame:
-    """Files of known languages below root: (repo_id, path, language, content, hash, size)."""
+    """Files of known languages below root: (repo_id, path, language, content, hash, size).
+
+    Paths are listed and chosen first, a scan that opens no file; then the chosen files are read.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    base = re.escape(spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/"))
     rel = F.regexp_replace(F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/"), f"^{base}/", "")
-    df = raw.select(F.lit(repo).alias("repo_id"), rel.alias("path"), "content", F.col("length").alias("size"))
-    df = df.withColumn("language", language(F.col("path"))).where(F.col("language").isNotNull() & ~ignored(F.col("path"), list(globs)))
-    return df.select("repo_id", "path", "language", F.decode("content", "utf-8").alias("content"), F.sha2("content", 256).alias("hash"), "size")
+    listed = raw.select(F.col("path").alias("file"), rel.alias("path")).withColumn("language", language(F.col("path")))
+    chosen = listed.where(F.col("language").isNotNull() & ~ignored(F.col("path"), list(globs)))
+    paths = [r.file for r in chosen.select("file").collect()]  # of one repository
+    if not paths:
+        return spark.createDataFrame([], "repo_id string, path string, language string, content string, hash string, size long")
+    df = spark.read.format("binaryFile").load(paths).withColumn("rel", rel)
+    return df.select(F.lit(repo).alias("repo_id"), F.col("rel").alias("path"), language(F.col("rel")).alias("language"), F.decode("content", "utf-8").alias("content"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size"))
 
 
 def services(files: DataFrame) -> DataFrame:

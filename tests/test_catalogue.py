@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from quarryline.plans import catalogue
+from quarryline.plans import catalogue, estate  # noqa: F401
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 D = "/root/testdata/sf0.001"
