@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +72,35 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_last = None
+
+
+class Held:
+    """A bounded value for all tasks, broadcast. A worker process serves many stages: it keeps the value that its last
+    task used, and none of earlier stages beside it."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self.shared = spark.sparkContext.broadcast(value)
+
+    @property
+    def value(self):
+        global _last
+        if _last is not None and _last is not self.shared:
+            _last.__dict__.pop("_value", None)  # the broadcast's copy in this process; its file stays
+            tidy()
+        _last = self.shared
+        return self.shared.value
+
+
+def tidy() -> None:
+    """Gives free memory of this worker process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with every C library
+        pass
+
+
 def words(text: Column) -> Column:
     """Words of a text, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

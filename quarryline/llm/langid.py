@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-from .common import replaced, training_row
+from .common import Held, replaced, training_row
 
 PER_LANGUAGE, WORDS, GRAMS, ORDERS = 600, 40_000, 10_000, (5, 4, 3, 2, 1)
 #: A language with fewer training documents is not learned.
@@ -115,7 +115,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     in alphabetical order. The rows come as they are, repeated or not; only text is looked at.
     """
     docs = replaced(docs, "lang_pred", "lang_score")
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = Held(docs.sparkSession, model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

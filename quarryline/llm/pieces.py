@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import filesystem, free, replaced, shared_dir, written
+from .common import Held, filesystem, free, replaced, shared_dir, tidy, written
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text to a chunk, on average, and to a slice that a task encodes at once.
-CHUNK_BYTES, SLICE_BYTES = 1 << 25, 1 << 21
+CHUNK_BYTES, SLICE_BYTES = 20 << 20, 1 << 21
 #: A stretch of more characters is cut further; a word of more is no lattice.
 STRETCH, LONG = 64, 500
 SPACE = "▁"
@@ -230,6 +230,7 @@ def _keys_of_chunks(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                         if t:
                             seen.update(cut(t))
         yield from rows()
+        tidy()
 
     return run
 
@@ -390,7 +391,7 @@ def _over_chunks(docs: DataFrame, model: Model, text: str, keep: list[str], fiel
     spark: SparkSession = docs.sparkSession
     rows, chunk = _chunked(docs, text)
     path = dictionaries(rows, model, text, chunk)
-    held = spark.sparkContext.broadcast(model)  # of fixed size
+    held = Held(spark, model)  # of fixed size
     rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.col(chunk), F.col(f"`{text}`").cast("string").alias(free("__text", [*keep, chunk])))
     at, names = len(keep), [*keep, *(f.name for f in fields)]
 
@@ -403,6 +404,8 @@ def _over_chunks(docs: DataFrame, model: Model, text: str, keep: list[str], fiel
                     rest = part.slice(i, len(texts)).columns[:at]
                     i += len(texts)
                     yield pa.RecordBatch.from_arrays([*rest, *work(encoder, decoder, chunk_, texts)], names)
+        encoder = None
+        tidy()
 
     return rows.mapInArrow(run, StructType([*rows.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, *fields]))
 
@@ -432,7 +435,7 @@ def decode(tokens: DataFrame, model: Model, ids: str = "token_ids") -> DataFrame
     """tokens plus decoded, the text: the leading space that encoding adds is taken off. Null ids: null. A column
     decoded is replaced."""
     tokens = replaced(tokens, "decoded")
-    at, held = tokens.columns.index(ids), tokens.sparkSession.sparkContext.broadcast(model)
+    at, held = tokens.columns.index(ids), Held(tokens.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(held.value)

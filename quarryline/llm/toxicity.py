@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import replaced, training_row
+from .common import Held, replaced, training_row
 
 PER_CLASS = 3000
 #: Near copies: word sets this alike. Two that are share a band with a probability of 0.985 at 0.8 and 0.9998 at 0.9.
@@ -126,41 +127,40 @@ class Index:
     postings cut[i] to cut[i + 1] and the greatest weight top[i]. Frequent words have none, but the row[t] of the matrix.
     """
 
-    def __init__(self, examples: list[tuple[int, int, float, dict[str, int]]], share: float, per_row: tuple[float, float] = (1.0, 1.0)) -> None:
-        """examples: (doc_id, label, rows it stands for, counts of words); share: of toxic rows; per_row: rows that one
-        sampled row of label 0, 1 stands for."""
-        self.words = sorted({w for *_, c in examples for w in c})
-        ids = {w: i for i, w in enumerate(self.words)}
-        examples = [(d, y, w, np.array([ids[t] for t in c], np.int64), np.array(list(c.values()), float)) for d, y, w, c in examples if c]
-        df = np.zeros((2, len(ids)))
-        for _, y, _, t, _ in examples:
-            df[y, t] += 1
-        n = [sum(1 for e in examples if e[1] == y) for y in (0, 1)]
+    def __init__(self, doc_ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, words: pa.ListArray, counts: np.ndarray, share: float, per_row: tuple[float, float] = (1.0, 1.0)) -> None:
+        """Examples: ids, labels, rows that each stands for, its words and, in their order, counts; share: of toxic rows;
+        per_row: rows that one sampled row of label 0, 1 stands for."""
+        encoded = words.flatten().dictionary_encode()
+        order = pc.sort_indices(encoded.dictionary).to_numpy()
+        self.words = encoded.dictionary.take(pa.array(order)).to_pylist()
+        term = np.argsort(order)[encoded.indices.to_numpy()]
+        size = np.diff(words.offsets.to_numpy())
+        example, toxic = np.repeat(np.arange(len(size)), size), labels == 1
+        of = lambda weight: np.array([np.bincount(term[pick], weight[example[pick]], len(self.words)) for pick in (~toxic[example], toxic[example])])
+        df, n = of(np.ones(len(size))), [int(((size > 0) & (toxic == y)).sum()) for y in (False, True)]
         self.weight = weights(df[1], df[0], n[1], n[0], per_row)
         self.base = share
         if 0 < share < 1:  # by sampled rows, copies included: where these are few groups, rows are what there is to learn from
-            copies = np.zeros((2, len(ids)))
-            for _, y, w, t, _ in examples:
-                copies[y, t] += w / per_row[y]
-            rows = [sum(e[2] for e in examples if e[1] == y) / per_row[y] for y in (0, 1)]
-            self.base = base_rate(share, copies[1], copies[0], rows[1], rows[0])
-        vectors = []
-        for d, y, w, t, c in examples:
-            order = np.argsort(t)
-            v = (1 + np.log(c[order])) * self.weight[t[order]]
-            vectors.append((t[order], v / np.linalg.norm(v), d, y, w))
-        # Alike examples side by side, so that blocks have tight bounds.
-        vectors.sort(key=lambda x: (x[3], x[0][np.argmax(x[1])], -x[1].max(), x[2]))
-        self.doc_ids = np.array([x[2] for x in vectors], np.int64)
-        self.labels, self.rows = np.array([x[3] for x in vectors], float), np.array([x[4] for x in vectors], float)
+            copies = rows / np.where(toxic, per_row[1], per_row[0])
+            seen = of(copies)
+            all_ = [copies[(size > 0) & (toxic == y)].sum() for y in (False, True)]
+            self.base = base_rate(share, seen[1], seen[0], all_[1], all_[0])
+        value = (1 + np.log(counts)) * self.weight[term]
+        value = value / np.sqrt(np.bincount(example, value * value, len(size)))[example]
+        # Alike examples side by side, so that blocks have tight bounds: by label, then the heaviest word.
+        heaviest = np.lexsort((term, -value, example))
+        first = heaviest[np.flatnonzero(np.diff(example[heaviest], prepend=-1))]
+        with_words = np.flatnonzero(size > 0)
+        ranked = with_words[np.lexsort((doc_ids[with_words], -value[first], term[first], labels[with_words]))]
+        place = np.full(len(size), -1, np.int32)
+        place[ranked] = np.arange(len(ranked), dtype=np.int32)
+        at = place[example]
+        self.doc_ids, self.labels, self.rows = doc_ids[ranked].astype(np.int64), labels[ranked].astype(float), rows[ranked].astype(float)
         self.per_row = np.where(self.labels > 0, per_row[1], per_row[0])
-        self.blocks = -(-len(vectors) // BLOCK)
-        n = len(vectors)
-        term = np.concatenate([x[0] for x in vectors] or [np.zeros(0, np.int64)])
-        value = np.concatenate([x[1] for x in vectors] or [np.zeros(0)])
-        at = np.repeat(np.arange(n, dtype=np.int32), [len(x[0]) for x in vectors])
+        n = len(ranked)
+        self.blocks = -(-n // BLOCK)
         frequent = np.flatnonzero(df.sum(0) > max(BLOCK, FREQUENT * n))
-        self.row = np.full(len(ids), -1, np.int32)
+        self.row = np.full(len(self.words), -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
         self.matrix = np.zeros((len(frequent), self.blocks * BLOCK))
         often = self.row[term] >= 0
@@ -172,7 +172,7 @@ class Index:
         self.cut = np.append(entry, len(term))
         self.top = np.maximum.reduceat(self.value, entry) if len(entry) else np.zeros(0)
         self.block_of = self.at[entry] // BLOCK
-        self.of_term = np.searchsorted(term[entry], np.arange(len(ids) + 1))
+        self.of_term = np.searchsorted(term[entry], np.arange(len(self.words) + 1))
 
     def __getstate__(self) -> dict:
         return {k: pa.array(v) if k == "words" else v for k, v in self.__dict__.items() if k != "ids"}
@@ -256,7 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     marks = labels.where(training_row(F.col("doc_id")) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     sizes = {r.y: r.n for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
-        return Index([], float(bool(sizes.get(1))))
+        none = np.zeros(0)
+        return Index(none, none, none, pa.array([], pa.list_(pa.string())), none, float(bool(sizes.get(1))))
     share = {y: min(1.0, PER_CLASS / n) for y, n in sizes.items()}
     chosen = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0]) * float(1 << 20)
     # About 2 * PER_CLASS ids: a bounded broadcast.
@@ -272,17 +273,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
 
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("bands", pa.list_(pa.binary())), ("sketch", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
     got = sample.mapInArrow(read, "doc_id long, y int, bands array<binary>, sketch binary, words array<string>, counts array<long>").toArrow()  # the bounded sample
-    keys = list(zip(*(got[c].to_pylist() for c in ("doc_id", "y", "bands")), [np.frombuffer(x, np.uint64) for x in got["sketch"].to_pylist()], strict=True))
+    got = got.combine_chunks()
+    ids, y = got["doc_id"].to_numpy(), got["y"].to_numpy()
     # One example of each group of near copies: their common words are no signs of anything.
-    copies = group_copies(keys)
-    examples, seen = [], set()
-    for i in sorted(range(got.num_rows), key=lambda i: keys[i][0]):
-        doc_id, y = keys[i][:2]
-        if doc_id in copies and doc_id not in seen:
-            seen.add(doc_id)
-            words, counts = got["words"][i].as_py(), got["counts"][i].as_py()
-            examples.append((doc_id, y, copies[doc_id] / share[y], dict(zip(words, counts, strict=True))))
-    return Index(examples, sizes[1] / (sizes[0] + sizes[1]), (1 / share[0], 1 / share[1]))
+    copies = group_copies([(int(d), int(k), b.as_py(), np.frombuffer(s.as_py(), np.uint64)) for d, k, b, s in zip(ids, y, got["bands"], got["sketch"], strict=True)])
+    first = {int(d): i for i, d in reversed(list(enumerate(ids))) if int(d) in copies}  # of a repeated id the first row
+    kept = np.array(sorted(first.values(), key=lambda i: ids[i]), np.int64)
+    words = got["words"].chunk(0).take(pa.array(kept)) if len(kept) else pa.array([], pa.list_(pa.string()))
+    counts = got["counts"].chunk(0).take(pa.array(kept)).flatten().to_numpy() if len(kept) else np.zeros(0)
+    rows = np.array([copies[int(ids[i])] / share[int(y[i])] for i in kept])
+    return Index(ids[kept], y[kept], rows, words, counts, sizes[1] / (sizes[0] + sizes[1]), (1 / share[0], 1 / share[1]))
 
 
 def rate(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
@@ -294,7 +294,7 @@ def rate(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     nothing can be learned: the score is then the one class seen, or 0.
     """
     docs = replaced(docs, "toxicity", "evidence")
-    held = docs.sparkSession.sparkContext.broadcast(index)  # of PER_CLASS examples
+    held = Held(docs.sparkSession, index)  # of PER_CLASS examples
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

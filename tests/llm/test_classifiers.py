@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarryline.llm import langid, queries, toxicity
@@ -82,6 +83,12 @@ def test_language_ties_names_and_repeats(spark):
     assert [(r.lang_pred, round(r.lang_score, 9)) for r in got.collect()] == [("xx", 0.5)] * 2
 
 
+def index_of(examples, *rest):
+    ids, labels, rows, counts = zip(*examples)
+    words = pa.array([list(c) for c in counts], pa.list_(pa.string()))
+    return toxicity.Index(np.array(ids), np.array(labels), np.array(rows), words, np.array([n for c in counts for n in c.values()]), *rest)
+
+
 def brute_force(examples, share_rows, text):
     """Cosines of a text with all examples, from the definitions: {doc_id: cosine}."""
     n = [sum(y == k for _, y, _, _ in examples) for k in (0, 1)]
@@ -109,7 +116,7 @@ def test_nearest_and_votes_equal_brute_force():
     words = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(60)]
     some = lambda y: Counter(rng.choices(words[20 * y : 40 + 20 * y], [1 / (i + 1) for i in range(40)], k=rng.randint(1, 25)))
     examples = [(i, y, rng.choice((1.0, 2.0, 5.0)), some(y)) for i in range(900) for y in [int(rng.random() < 0.4)]]
-    index = toxicity.Index(examples, 0.2, (4.0, 2.0))
+    index = index_of(examples, 0.2, (4.0, 2.0))
     labels, rows = {d: y for d, y, _, _ in examples}, {d: w for d, _, w, _ in examples}
     for _ in range(150):
         text = " ".join(some(rng.randint(0, 1)).elements()) + " unknown"
@@ -127,7 +134,7 @@ def test_nearest_and_votes_equal_brute_force():
 
 def test_blocks_are_skipped_and_ties_are_stable():
     examples = [(i, i % 2, 1.0, Counter({f"w{chr(97 + i // 200)}": 1, "toxic" if i % 2 else "clean": 1})) for i in range(2000)]
-    index = pickle.loads(pickle.dumps(toxicity.Index(examples, 0.5)))
+    index = pickle.loads(pickle.dumps(index_of(examples, 0.5)))
     got, again = index.nearest([Counter({"wc": 1, "toxic": 1}), Counter({"toxic": 1, "wc": 1})])
     assert np.allclose(got[0], 1) and all(400 <= index.doc_ids[i] < 600 and index.doc_ids[i] % 2 for i in got[1])
     assert got[1].tolist() == sorted(got[1].tolist()) == again[1].tolist()
