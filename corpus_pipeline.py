@@ -1,12 +1,17 @@
-"""The corpus pipeline: STAGES in order, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: STAGES in order, each written as Parquet and read again as the next one's documents.
+
+Rows with a null, empty or letterless text go in the first stage; of rows with one id the third keeps one; a null source
+is a source of its own; other columns are kept up to the last stage, whatever their names. No documents, no rows out.
+"""
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import langid, mixing, queries, simhash, toxicity
@@ -16,22 +21,33 @@ from quarryline.llm.common import shared_dir, table
 MIN_LANGUAGE_SCORE = 0.5
 
 
+def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], condition: Column, results: set[str]) -> DataFrame:
+    """The rows of docs whose judgement meets the condition, with all their columns, those named as results included."""
+    if results.isdisjoint(c.lower() for c in docs.columns):
+        return judge(docs).where(condition).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judge(docs.select(F.struct("*").alias("row"), "text")).where(condition).select("row.*")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language. Null, empty and letterless texts go."""
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    out = langid.identify(docs, model)
-    return out.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    known = (F.col("lang_pred") != "und") & (F.col("lang_score") >= MIN_LANGUAGE_SCORE)
+    return _kept(docs, lambda d: langid.identify(d, model), known, {"lang_pred", "lang_score"})
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is under the threshold; without labels of both classes, all or (if all are toxic) none."""
     index = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.rate(docs, index).where(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    return _kept(docs, lambda d: toxicity.rate(d, index), F.col("toxicity") < toxicity.THRESHOLD, {"toxicity", "evidence"})
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the least id; equal ids are one document."""
     return simhash.deduplicate(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in mixed order."""
     return mixing.mix(docs, queries.PARTS, queries.DEFAULT_PARTS, queries.BLOCK_ROWS)
 
 
