@@ -47,12 +47,22 @@ def weighted_shingles(df: DataFrame, texts: list[str], out: str) -> DataFrame:
     sides = [f"__s{i}" for i in range(len(texts))]
     df = _hashes(df, texts, sides)
     # The last two bits tell the sides apart, so that equal shingles of several sides are neighbours.
-    df = df.select(*keep, F.expr(f"sort_array(concat({', '.join(f'transform({s}, h -> h & -4L | {i}L)' for i, s in enumerate(sides))}))").alias("__s"))
-    df = df.select(*keep, "__s", F.expr("case when size(__s) = 0 then cast(array() as array<int>) else filter(sequence(0, size(__s) - 1), i -> i = size(__s) - 1 or get(__s, i) <> get(__s, i + 1)) end").alias("__e"))
-    df = df.select(*keep, F.expr("transform(__e, (p, j) -> struct(get(__s, p) as h, p - coalesce(get(__e, j - 1), -1) as w))").alias("__r"))
+    marks = ", ".join(f"transform({s}, h -> h & -4L | {i}L)" for i, s in enumerate(sides))
+    df = df.select(*keep, F.expr(f"sort_array(concat({marks}))").alias("__s"))
+    # A shingle's last place gives its row, with the distance to its first as weight. Where none occurs twice on a side, all
+    # weights are 1, which spares the looking back.
+    last = "i = n - 1 or get(__s, i) <> get(__s, i + 1)"
+    df = df.select(*keep, "__s", F.size("__s").alias("__n"), (F.size(F.array_distinct("__s")) < F.size("__s")).alias("__twice"))
+    ends = f"case when __n = 0 then cast(array() as array<int>) when __twice then filter(sequence(0, __n - 1), i -> {last.replace('n - 1', '__n - 1')}) end"
+    df = df.select(*keep, "__s", "__n", F.expr(ends).alias("__e"))
+    runs = "transform(__e, (p, j) -> struct(get(__s, p) as h, p - coalesce(get(__e, j - 1), -1) as w))"
+    df = df.select(*keep, "__s", "__n", F.expr(f"case when __e is not null then {runs} end").alias("__r"))
     both = "get(__r, j + 1).h = (x.h | 1L) and get(__r, j + 1).w = x.w and x.h & 3 = 0"
     again = "get(__r, j - 1).h = (x.h & -2L) and get(__r, j - 1).w = x.w and x.h & 3 = 1"
-    return df.select(*keep, F.expr(f"array_compact(transform(__r, (x, j) -> case when {again} then null else struct(cast(if({both}, 3, x.h & 3) as int) as side, shiftright(x.h, 2) as t, x.w as w) end))").alias(out))
+    many = f"array_compact(transform(__r, (x, j) -> case when {again} then null else struct(cast(if({both}, 3, x.h & 3) as int) as side, shiftright(x.h, 2) as t, x.w as w) end))"
+    # Of sides 0 and 1 both have the shingle if the next (or the one before) differs in the last bit only.
+    once = "transform(__s, (h, i) -> if(h & 3 = 1 and get(__s, i - 1) <=> (h & -2L), null, struct(if(h & 3 = 0 and get(__s, i + 1) <=> (h | 1L), 3, cast(h & 3 as int)) as side, shiftright(h, 2) as t, 1 as w)))"
+    return df.select(*keep, F.expr(f"case when __r is not null then {many} else array_compact({once}) end").alias(out))
 
 
 def _gamma_quantile(u: float) -> float:
