@@ -13,10 +13,9 @@ def line_windows(files: DataFrame, keys: list[str], text: str, lines: int = 60,
     step = lines - overlap
     df = files.select(*keys, F.split(text, "\n").alias("__l"))
     last = F.greatest(F.ceil((F.size("__l") - lines) / F.lit(step)), F.lit(0)).cast("int")
-    df = df.select(*keys, "__l", F.explode(F.sequence(F.lit(0), last)).alias("ordinal"))
-    start = F.col("ordinal") * step
-    end = F.least(start + lines, F.size("__l"))
-    return df.select(*keys, "ordinal", (start + 1).alias("start_line"), end.alias("end_line"), F.array_join(F.slice("__l", start + 1, end - start), "\n").alias("chunk"))
+    # Windows are cut before they become rows, so that no row carries the whole file.
+    window = lambda i: F.struct(i.alias("ordinal"), (i * step + 1).alias("start_line"), F.least(i * step + lines, F.size("__l")).alias("end_line"), F.array_join(F.slice("__l", i * step + 1, lines), "\n").alias("chunk"))
+    return df.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), last), window)).alias("__w")).select(*keys, "__w.*")
 
 
 def best_overlap(left: DataFrame, right: DataFrame, on: list[str], order: list, bin_lines: int = 64) -> DataFrame:

@@ -24,10 +24,10 @@ def nearest(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k:
     read for each query, so that what is shuffled is bounded by tasks * queries * k. Filters belong on vectors.
     """
     pairs = vectors.select(F.col(vec_id).alias("doc"), F.col(vector).alias("__v")).join(F.broadcast(queries), F.lit(True))
-    scored = pairs.select("query_id", F.struct((-F.round(cosine(F.col("__v"), F.col("q")), digits)).alias("s"), "doc").alias("h"), F.spark_partition_id().alias("__p"))
-    best = scored.groupBy("query_id", "__p").agg(F.slice(F.array_sort(F.collect_list("h")), 1, k).alias("h"))
-    best = best.select("query_id", F.explode("h").alias("h")).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("h")))
-    return best.where(F.col("rank") <= k).select("query_id", F.col("h.doc").alias("doc"), (-F.col("h.s")).alias("score"), "rank")
+    scored = pairs.select("query_id", "doc", F.round(cosine(F.col("__v"), F.col("q")), digits).alias("score"))
+    # Spark puts a limit by query into each task before the shuffle, as only the first k ranks are asked for.
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def rrf(sources: list[tuple[DataFrame, float]], digits: int = 8) -> DataFrame:

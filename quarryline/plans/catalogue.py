@@ -152,6 +152,15 @@ def symbol_lookup_tiers(spark, d):
     return top.select("p_partkey", "p_name", F.row_number().over(W.orderBy(*order)).cast("long").alias("rank"))
 
 
+@query("""WITH w AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents), c AS (SELECT doc_id, unnest(range(0, greatest(ceil((n - 10) / 8), 0)::INT + 1)) AS ordinal, n FROM w),
+x AS (SELECT doc_id, ordinal, ordinal * 8 + 1 AS start_line, least(ordinal * 8 + 10, n) AS end_line FROM c)
+SELECT doc_id, ordinal::INT AS ordinal, start_line::INT AS start_line, end_line::INT AS end_line FROM x WHERE start_line <= 15 AND end_line >= 15 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start_line DESC, end_line) = 1""")
+def line_containment(spark, d):
+    """Of the windows around line 15 of a document the innermost."""
+    w = chunks.line_windows(_t(spark, d, "documents"), ["doc_id"], "text", 10, 2).drop("chunk").where(predicates.matches(line=("start_line", "end_line", 15)))
+    return resolve.best(w, ["doc_id"], [F.desc("start_line"), F.col("end_line")]).select("doc_id", "ordinal", F.col("start_line").cast("int"), F.col("end_line").cast("int"))
+
+
 @query(r"""WITH s AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') AS host, regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', '') AS p FROM pages)
 SELECT page_id, host, 'http:GET /' || regexp_replace(regexp_extract(p, '^[^?#]*'), '^/+|/+$', '', 'g') AS key FROM s""")
 def http_key_normalize(spark, d):
@@ -429,6 +438,14 @@ k AS (SELECT doc_id, {_TERMS.format(x="text")} AS t FROM documents), st AS (SELE
 h AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM k), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM h WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 s AS (SELECT query_id, doc_id AS doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY ALL),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s QUALIFY rank <= 10)"""
+# A second field, of the source's name, with a boost of 2.
+_MULTI = f"""{_BM25},
+k2 AS (SELECT doc_id, {_TERMS.format(x="source")} AS t FROM documents), st2 AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM k2),
+q2 AS (SELECT DISTINCT query_id, term FROM q UNION SELECT item_id, 'src' || item_id % 20 FROM benchmark),
+tf2 AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM k2) WHERE term IN (SELECT term FROM q2) GROUP BY ALL), df2 AS (SELECT term, count(*) AS df FROM tf2 GROUP BY term),
+u AS (SELECT query_id, doc_id AS doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY ALL
+ UNION ALL SELECT query_id, doc_id, 2 * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) FROM tf2 JOIN df2 USING (term) JOIN q2 USING (term), st2 GROUP BY ALL),
+mf AS (SELECT query_id, doc, round(sum(score), 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(score), 4) DESC, doc) AS rank FROM u GROUP BY query_id, doc QUALIFY rank <= 10)"""
 
 
 def _questions(spark, d):
@@ -437,6 +454,20 @@ def _questions(spark, d):
     return b.distinct()
 
 
+def _truth(spark, d):
+    """(query_id, doc): documents that hold a benchmark text as it is. A text's longest word (of equals the first in
+    order) with white space on both sides stands in every document that holds the text, so it is the join key; a text
+    without one is compared with all. The words of a document are looked up in the few keys before anything is shuffled."""
+    b = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
+    inner = F.filter(F.split(F.regexp_extract("needle", r"(?s)^\S*\s(.*)\s\S*$", 1), r"\s+"), lambda w: w != "")
+    b = b.withColumn("key", F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"])
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    words = docs.select("doc", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key")).join(b.where("key is not null").select("key").distinct(), "key", "left_semi")
+    found = words.join(b, "key").join(docs, "doc").where(F.contains("text", F.col("needle"))).select("query_id", "doc")
+    rest = b.where("key is null")
+    return found if rest.isEmpty() else found.union(docs.join(rest, F.contains(docs["text"], rest["needle"])).select("query_id", "doc"))
+
+
 def _bm25(spark, d):
     return keyword.top_k(keyword.scores(_t(spark, d, "documents"), "doc_id", keyword.standard_tokens(F.col("text")), _questions(spark, d)), 10)
 
@@ -446,6 +477,47 @@ def bm25_topk(spark, d):
     return _bm25(spark, d).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _multi(spark, d):
+    docs = _t(spark, d, "documents")
+    names = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("term"))
+    text = keyword.scores(docs, "doc_id", keyword.standard_tokens(F.col("text")), _questions(spark, d))
+    source = keyword.scores(docs, "doc_id", keyword.standard_tokens(F.col("source")), _questions(spark, d).union(names).distinct(), 2.0)
+    return keyword.top_k(text.unionByName(source).groupBy("query_id", "doc").agg(F.sum("score").alias("score")), 10)
+
+
+@query(f"WITH {_MULTI} SELECT query_id, doc, score, rank FROM mf")
+def bm25_multifield(spark, d):
+    """Two fields, each with statistics of its own, summed: the text, and the source, which questions name."""
+    return _multi(spark, d).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {_BM25}, f AS (SELECT s.query_id, s.doc, s.score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s JOIN documents ON doc = doc_id WHERE lang IN ('en', 'de') AND source <> 'src0' QUALIFY rank <= 10) SELECT * FROM f")
+def bm25_filtered(spark, d):
+    """Filters choose among the hits; the statistics are those of the whole index."""
+    docs = _t(spark, d, "documents")
+    allowed = docs.where(predicates.matches(within={"lang": ["en", "de"]}, without={"source": ["src0"]})).select(F.col("doc_id").alias("doc"))
+    hits = keyword.scores(docs, "doc_id", keyword.standard_tokens(F.col("text")), _questions(spark, d)).join(allowed, "doc", "left_semi")
+    return keyword.top_k(hits, 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {_MULTI}, tr AS (SELECT DISTINCT item_id AS query_id, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+a AS (SELECT query_id, min(rank) AS first_a FROM bm JOIN tr USING (query_id, doc) GROUP BY 1), b AS (SELECT query_id, min(rank) AS first_b FROM mf JOIN tr USING (query_id, doc) GROUP BY 1)
+SELECT query_id, first_a, first_b, CASE WHEN coalesce(first_b, 99) < coalesce(first_a, 99) THEN 'better' WHEN coalesce(first_b, 99) > coalesce(first_a, 99) THEN 'worse' ELSE 'same' END AS verdict FROM a FULL JOIN b USING (query_id)""")
+def ab_compare(spark, d):
+    """One field against two: the first accepted document of each question in both runs."""
+    truth = _truth(spark, d)
+    first = lambda hits: hits.join(truth, ["query_id", "doc"]).groupBy("query_id").agg(F.min("rank").cast("long").alias("first"))
+    return evaluation.compare(first(_bm25(spark, d)), first(_multi(spark, d)))
+
+
+@query(f"""WITH {_BM25}, m AS (SELECT bm.*, sqrt(doc + 1) AS model, max(score) FILTER (rank <= 4) OVER w AS hi, min(score) FILTER (rank <= 4) OVER w AS lo, max(score) FILTER (rank > 4) OVER w AS tail, max(sqrt(doc + 1)) FILTER (rank <= 4) OVER w AS mh, min(sqrt(doc + 1)) FILTER (rank <= 4) OVER w AS ml FROM bm WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, doc, round(CASE WHEN rank > 4 OR mh = ml THEN score ELSE greatest(lo, coalesce(tail, lo)) + (hi - greatest(lo, coalesce(tail, lo))) * (model - ml) / (mh - ml) END, 5) AS blended FROM m""")
+def rerank_blend(spark, d):
+    """The first four hits of each question, ordered anew by a stand-in for a model that scores documents by their id."""
+    hits = _bm25(spark, d).withColumn("model", F.sqrt(F.col("doc") + 1.0))
+    return fusion.rerank_blend(hits, 4).select("query_id", "doc", F.round("blended", 5).alias("blended"))
+
+
 _VECTOR = """qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
 sc AS (SELECT query_id, vec_id AS doc, round(list_sum(list_transform(list_zip(embedding, q), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE)))), 5) AS score FROM embeddings, qv),
 ve AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM sc QUALIFY rank <= 10)"""
@@ -462,6 +534,14 @@ def vector_topk(spark, d):
     return _vectors(spark, d).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"WITH {_VECTOR}, f AS (SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM sc JOIN embeddings ON doc = vec_id WHERE label NOT IN (0, 3) QUALIFY rank <= 5) SELECT * FROM f")
+def vector_topk_filtered(spark, d):
+    """Filters hold before the neighbours are taken, so that there are as many as asked for."""
+    e = _t(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return fusion.nearest(e.where(predicates.matches(without={"label": [0, 3]})), "vec_id", "embedding", q, 5, 5).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"WITH {_BM25}, {_VECTOR}, x AS (SELECT query_id, doc, 1 / (60 + rank) AS x FROM bm UNION ALL SELECT query_id // 50, doc, 1 / (60 + rank) FROM ve) SELECT query_id, doc, round(sum(x), 8) AS fused FROM x GROUP BY ALL")
 def rrf_fusion(spark, d):
     vec = _vectors(spark, d).withColumn("query_id", F.expr("query_id div 50"))
@@ -495,8 +575,6 @@ i AS (SELECT query_id, list_sum(list_transform(range(1, least(count(*), 10) + 1)
 a AS (SELECT item_id, first, dcg, idcg FROM benchmark LEFT JOIN g ON item_id = g.query_id LEFT JOIN i ON item_id = i.query_id)
 SELECT round(avg((coalesce(first, 99) <= 1)::INT), 6) AS recall_1, round(avg((coalesce(first, 99) <= 5)::INT), 6) AS recall_5, round(avg((coalesce(first, 99) <= 10)::INT), 6) AS recall_10, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(coalesce(dcg / idcg, 0)), 6) AS ndcg10, sum((first IS NULL)::INT)::BIGINT AS missed, count(*) AS n FROM a""")
 def recall_mrr(spark, d):
-    """Ground truth: the documents that hold a benchmark text. The benchmark is a stated set of questions, so it is
-    broadcast, and each document is searched where it is read."""
-    b = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
-    truth = _t(spark, d, "documents").join(F.broadcast(b), F.contains(F.col("text"), F.col("needle"))).select("query_id", F.col("doc_id").alias("doc"))
-    return evaluation.metrics(_bm25(spark, d), truth, b.select("query_id"), (1, 5, 10))
+    """Ground truth: the documents that hold a benchmark text."""
+    b = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    return evaluation.metrics(_bm25(spark, d), _truth(spark, d), b, (1, 5, 10))
