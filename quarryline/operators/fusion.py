@@ -1,4 +1,4 @@
-"""Vectors, fusion, reranking, merging and budgets."""
+"""Vectors, fusion, reranking, merging and budgets."""
 
 from __future__ import annotations
 
@@ -52,6 +52,29 @@ def convex(sources: list[tuple[DataFrame, float]], digits: int = 8) -> DataFrame
     return all_.groupBy("query_id", "doc").agg(F.round(F.sum("x"), digits).alias("fused"))
 
 
+def cluster(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """hits(keys, source, rank, doc, start_line, end_line, worth) -> one row per cluster: (keys, doc, start_line,
+    end_line, score, sources). The keys are a question and a file.
+
+    Hits come source by source, in rank order. Each joins the cluster that its document opened, or else the first one without
+    a hit of its source whose shown hit it overlaps, or opens a cluster. A cluster shows its hit of the best rank, the first of
+    equals, and its score is what its hits are worth together. What is folded is a question's hits in one file.
+    """
+    at = "get(filter(sequence(0, size(kept) - 1), i -> {}), 0)"
+    own, near = "get(kept, i).opened = h.doc", "not array_contains(get(kept, i).sources, h.source) and get(kept, i).start_line <= h.end_line and h.start_line <= get(kept, i).end_line"
+    found = f"if(size(kept) = 0, null, coalesce({at.format(own)}, {at.format(near)}))"
+    new = "struct(h.doc as opened, h.doc as doc, h.start_line as start_line, h.end_line as end_line, h.rank as rank, h.worth as score, array(h.source) as sources)"
+    shown = lambda c: f"if(h.rank < c.rank, h.{c}, c.{c}) as {c}"
+    joined = f"struct(c.opened as opened, {shown('doc')}, {shown('start_line')}, {shown('end_line')}, least(h.rank, c.rank) as rank, c.score + h.worth as score, array_union(c.sources, array(h.source)) as sources)"
+    # A one-element array binds the place, so that it's found once.
+    step = f"(kept, h) -> get(transform(array({found}), p -> if(p is null, concat(kept, array({new})), transform(kept, (c, i) -> if(i = p, {joined}, c)))), 0)"
+    item = F.struct("source", "rank", "doc", "start_line", "end_line", F.col("worth").cast("double").alias("worth"))
+    folded = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"))
+    first = new.replace("h.", "get(all, 0).")
+    folded = folded.withColumn("k", F.expr(f"aggregate(slice(all, 2, size(all)), array({first}), {step})"))
+    return folded.select(*keys, F.explode("k").alias("k")).select(*keys, "k.doc", "k.start_line", "k.end_line", "k.score", "k.sources")
+
+
 def rerank_blend(hits: DataFrame, top_n: int) -> DataFrame:
     """hits(query_id, doc, score, rank, model): the first top_n take, in the model's order, scores spread evenly as
     the model's are, between the greatest of the head and the greater of its least and the tail's greatest."""

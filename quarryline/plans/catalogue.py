@@ -555,6 +555,17 @@ def convex_fusion(spark, d):
     return fusion.convex([(_bm25(spark, d), 0.5), (vec, 0.5)], 6)
 
 
+@query()
+def fusion_overlap_cluster(spark, d):
+    """Two sources cut documents into unlike windows and rank them by length and by place: windows that overlap are one hit."""
+    docs = _t(spark, d, "documents")
+    a = chunks.line_windows(docs, ["doc_id"], "text", 10, 2).select("*", F.lit(0).alias("source"), F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc(F.length("chunk")), "ordinal")).alias("rank"))
+    b = chunks.line_windows(docs, ["doc_id"], "text", 16, 0).select("*", F.lit(1).alias("source"), (F.col("ordinal") + 1).alias("rank"))
+    hits = a.unionByName(b).select("doc_id", "source", "rank", F.concat_ws("-", "start_line", "end_line").alias("doc"), "start_line", "end_line", (1 / (fusion.RRF_K + F.col("rank"))).alias("worth"))
+    out = fusion.cluster(hits, ["doc_id"])
+    return out.select("doc_id", "doc", "start_line", "end_line", F.round("score", 8).alias("fused"), F.size("sources").alias("n_sources"))
+
+
 @query()
 def merge_spans(spark, d):
     """Overlapping windows of each document, ranked by length: kept and widened spans."""

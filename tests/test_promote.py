@@ -1,8 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quarryline import api
 from quarryline.functions import idents, keys, predicates
-from quarryline.operators import graph, incremental, promote
+from quarryline.operators import fusion, graph, incremental, promote
 
 
 def one(spark, col, **values):
@@ -58,3 +60,28 @@ def test_engine(spark):
         raise AssertionError
     except api.BadRequest:
         pass
+
+
+def test_clusters_equal_brute_force(spark):
+    rng, rows = random.Random(2), []
+    for file in range(40):
+        for source in range(3):
+            for rank in range(1, rng.randint(1, 6)):
+                start = rng.randint(1, 40)
+                end = start + rng.randint(0, 12)
+                rows.append((file, source, rank, f"{start}-{end}", start, end, rng.random()))
+    got = {}
+    for r in fusion.cluster(spark.createDataFrame(rows, "file int, source int, rank int, doc string, start_line int, end_line int, worth double"), ["file"]).collect():
+        got.setdefault(r.file, []).append((r.doc, round(r.score, 9), sorted(r.sources)))
+    for file in range(40):
+        kept = []
+        for _, source, rank, doc, start, end, worth in sorted(r for r in rows if r[0] == file):
+            c = next((c for c in kept if c["opened"] == doc), None) or next((c for c in kept if source not in c["sources"] and c["span"][0] <= end and start <= c["span"][1]), None)
+            if c is None:
+                kept.append({"opened": doc, "doc": doc, "span": (start, end), "rank": rank, "score": worth, "sources": {source}})
+                continue
+            if rank < c["rank"]:
+                c.update(doc=doc, span=(start, end), rank=rank)
+            c["score"] += worth
+            c["sources"].add(source)
+        assert got.get(file, []) == [(c["doc"], round(c["score"], 9), sorted(c["sources"])) for c in kept]
