@@ -4,8 +4,8 @@ A word that training has seen adds its log frequency in each language. An unseen
 its character 5-grams (with marks at both ends) that are known, or else of its 4-grams, and so on down to single
 characters. The posterior over languages, each as likely beforehand, gives prediction and score.
 
-The model is fitted on a bounded sample of labelled rows: the PER_LANGUAGE documents of each language whose ids have
-the least hashes (and those that tie with the last). It holds the WORDS commonest words and the GRAMS commonest
+The model is fitted on a bounded sample of labelled rows: about PER_LANGUAGE documents of each language, chosen by a
+hash of the id. It holds the WORDS commonest words and the GRAMS commonest
 n-grams of each order of each language, so its size is bounded and it is broadcast. Texts are scored whole.
 """
 
@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-from pyspark.sql.window import Window as W
 
-from .common import Held, replaced, training_row
+from .common import Held, replaced, training_row, written
 
 PER_LANGUAGE, WORDS, GRAMS, ORDERS = 600, 40_000, 10_000, (5, 4, 3, 2, 1)
 #: A language with fewer training documents is not learned.
@@ -76,9 +75,10 @@ def fit(docs: DataFrame) -> Model:
     """docs(doc_id, text, lang). Only training rows with a lang and a text count; a language of fewer than MIN_DOCUMENTS
     of them is not learned."""
     rows = docs.where(training_row(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", F.lit("language")).alias("h"))
-    ranked = rows.select("lang", "h").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= PER_LANGUAGE)
-    limits = ranked.groupBy("lang").agg(F.max("h").alias("limit"), F.max("r").alias("n")).where(F.col("n") >= MIN_DOCUMENTS)
-    sample = rows.join(limits, "lang").where("h <= limit").select("lang", "text")
+    # Written, so that Spark knows its size, a row for each language, and texts need no shuffle.
+    sizes = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCUMENTS), "languages")
+    share = F.least(F.lit(1.0), PER_LANGUAGE / F.col("n"))
+    sample = rows.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 20)) < share * float(1 << 20)).select("lang", "text")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
