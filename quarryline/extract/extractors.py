@@ -103,7 +103,7 @@ class _File:
                     self.spans.append((line, end, m["name"]))
                 else:
                     self.spans.append((line, end, qualified))
-                self.unit(kind, m["name"], qualified, line, end, text[at:].split("\n", 1)[0].strip()[:200])
+                self.unit(kind, m["name"], qualified, line, end, text[at:].split("\n", 1)[0].strip())
         base, entities, stubs = "", {}, {}
         for kind, pattern, conf in rules.SITES[self.language]:
             for m in pattern.finditer(text):
@@ -231,7 +231,7 @@ class _File:
                     if not re.search(r"\.(publish|subscribe|message|payload|bindings|description)\b", k):
                         self.unit("topic_channel", m[1], f"topic:{m[1]}", i, i)
         for k, v, i in [x for x in found if x[1]][:MAX_CONFIG_KEYS]:
-            self.unit("config_key", k, f"config:{k}", i, i, v[:200])
+            self.unit("config_key", k, f"config:{k}", i, i, v)
 
     def read(self) -> list[dict]:
         if self.language in rules.DEFINITIONS:
@@ -249,7 +249,7 @@ def extract_file(repo: str, path: str, language: str, text: str) -> list[dict]:
     try:
         rows = _File(repo, path, language, text or "").read()
     except Exception as e:  # one odd file must not stop the scan; the row says which and why
-        rows = [{"record": "error", "kind": type(e).__name__, "name": "", "qualified": "", "start_line": 0, "end_line": 0, "src_name": "", "confidence": 0.0, "detail": str(e)[:200]}]
+        rows = [{"record": "error", "kind": type(e).__name__, "name": "", "qualified": "", "start_line": 0, "end_line": 0, "src_name": "", "confidence": 0.0, "detail": str(e)}]
     return [{"repo_id": repo, "file_path": path} | r for r in rows]
 
 

@@ -9,8 +9,6 @@ from .idents import word_components
 
 # Request methods.
 METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
-#: Stands for a parameter while nested braces are reduced.
-_HOLE = "\u0001"
 
 
 def trim_query(path: Column) -> Column:
@@ -22,12 +20,16 @@ def is_path_param(segment: Column) -> Column:
 
 
 def reduce_segment(segment: Column) -> Column:
-    """Parameters of a path segment become {}; an unclosed brace takes the rest, a stray closing one goes."""
-    inner = segment
-    for _ in range(4):  # nested groups
-        inner = F.regexp_replace(inner, r"\{[^{}]*\}", _HOLE)
-    inner = F.regexp_replace(F.regexp_replace(inner, r"\{.*$", _HOLE), r"\}", "")
-    return F.when(segment.rlike(r"^[:<\[]|^\*{1,2}$"), F.lit("{}")).when(~segment.contains("{"), segment).otherwise(F.replace(inner, F.lit(_HOLE), F.lit("{}")))
+    """Parameters of a path segment become {}, however deep their braces; an unclosed brace takes the rest, a stray closing one goes."""
+
+    def step(s: Column, c: Column) -> Column:
+        out, depth = s["out"], s["depth"]
+        state = lambda o, d: F.struct(o.alias("out"), d.alias("depth"))
+        plain = lambda x: F.when(depth == 0, F.concat(out, x)).otherwise(out)
+        return F.when(c == "{", state(plain(F.lit("{}")), depth + 1)).when(c == "}", state(out, F.greatest(depth - 1, F.lit(0)))).otherwise(state(plain(c), depth))
+
+    holes = F.aggregate(F.split(segment, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("depth")), step, lambda s: s["out"])
+    return F.when(segment.rlike(r"^[:<\[]|^\*{1,2}$"), F.lit("{}")).when(~segment.contains("{"), segment).otherwise(holes)
 
 
 def reduce_path(path: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import uuid
 
@@ -10,6 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+_folders: set[str] = set()
+
+
+def _forget(spark, folder: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM may be gone by now; the folder then stays
+        pass
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """The rows from a table in the shared checkpoint folder, so that loops don't grow lineage."""
     spark = df.sparkSession
@@ -17,7 +29,11 @@ def _cut(df: DataFrame) -> DataFrame:
     if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     root = (root or "file:///tmp/checkpoints").rstrip("/")  # one machine, as in tests
-    path = f"{root}/quarryline-graph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = f"{root}/quarryline-graph-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_forget, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

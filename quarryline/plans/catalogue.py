@@ -168,10 +168,10 @@ def http_key_normalize(spark, d):
     return s.select("page_id", "u.host", keys.http_key(F.lit(" get "), F.col("u.path")).alias("key"))
 
 
-_ROUTES = ["/pets/{id:[0-9]{2}}", "/a/:id/b", "/x/<int:id>", "/y/[slug]", "/z/*/**", "/u/{id}N{t}/p", "/{open", "/s}t", "/plain/path"]
+_ROUTES = ["/deep/{a{b{c{d{e{f}}}}}}/x{1}}y", "/pets/{id:[0-9]{2}}", "/a/:id/b", "/x/<int:id>", "/y/[slug]", "/z/*/**", "/u/{id}N{t}/p", "/{open", "/s}t", "/plain/path"]
 
 
-@query("SELECT * FROM (VALUES ('/pets/{id:[0-9]{2}}', '/pets/{}'), ('/a/:id/b', '/a/{}/b'), ('/x/<int:id>', '/x/{}'), ('/y/[slug]', '/y/{}'), ('/z/*/**', '/z/{}/{}'), ('/u/{id}N{t}/p', '/u/{}N{}/p'), ('/{open', '/{}'), ('/s}t', '/s}t'), ('/plain/path', '/plain/path')) t(path, reduced)")
+@query("SELECT * FROM (VALUES ('/deep/{a{b{c{d{e{f}}}}}}/x{1}}y', '/deep/{}/x{}y'), ('/pets/{id:[0-9]{2}}', '/pets/{}'), ('/a/:id/b', '/a/{}/b'), ('/x/<int:id>', '/x/{}'), ('/y/[slug]', '/y/{}'), ('/z/*/**', '/z/{}/{}'), ('/u/{id}N{t}/p', '/u/{}N{}/p'), ('/{open', '/{}'), ('/s}t', '/s}t'), ('/plain/path', '/plain/path')) t(path, reduced)")
 def reduce_route_params(spark, d):
     df = spark.createDataFrame([(r,) for r in _ROUTES], "path string")
     return df.select("path", keys.reduce_path(F.col("path")).alias("reduced"))
