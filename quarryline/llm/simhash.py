@@ -168,7 +168,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fp, component_id), a row per row.
 
-    component_id is the least doc_id reachable over links; null only if all ids of a component are. Texts
+    Ids are longs; others are cast, so one that is no number counts as null. component_id is the least doc_id reachable
+    over links; null only if all ids of a component are. Texts
     that are null, empty or without words have fingerprint 0, linked like any other. Repeated rows stay.
     """
     fps = written(fingerprints(docs), "fingerprints")
