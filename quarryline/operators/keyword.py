@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.idents import token_components
 
 K1, B = 1.2, 0.75
+#: Cells (documents times questions) that are summed at once.
+CELLS = 1 << 20
 
 
 def standard_tokens(text: Column) -> Column:
@@ -26,18 +34,85 @@ def postings(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
     return df.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc", "tf", "dl")
 
 
-def scores(docs: DataFrame, doc_id: str, tokens: Column, queries: DataFrame, boost: float = 1.0) -> DataFrame:
-    """queries(query_id, term), distinct -> (query_id, doc, score). Only postings of query terms are built: a
-    broadcast of the distinct terms filters before anything is shuffled, if it is small enough for Spark to do so."""
+def _found(tokens: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each term in a row: the row, the term's place, how often it stands there."""
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = pc.fill_null(pc.index_in(tokens.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    key, tf = np.unique((np.repeat(np.arange(len(tokens)), lengths) * len(terms) + at)[at >= 0], return_counts=True)
+    return key // len(terms), key % len(terms), tf
+
+
+def _counts(terms: pa.Array):
+    """Tokens -> (term, n): documents with the term at a place; at -1 all rows, at -2 those that are not null, at -3 their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, rows, whole, length = np.zeros(len(terms), np.int64), 0, 0, 0
+        for batch in batches:
+            t = batch.column(0)
+            df += np.bincount(_found(t, terms)[1], minlength=len(terms))
+            rows, whole, length = rows + len(t), whole + len(t) - t.null_count, length + len(t.flatten())
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, -3, *at], pa.int64()), pa.array([rows, whole, length, *df[at]], pa.int64())], ["at", "n"])
+
+    return run
+
+
+def _sums(terms: pa.Array, idf: np.ndarray, avgdl: float, starts: np.ndarray, asked: np.ndarray, ids: pa.Array, k: int | None, margin: float):
+    """(doc, length, tokens) -> (query_id, doc, score). Term i is asked by questions asked[starts[i] : starts[i + 1]]. With k, what
+    can't be among a question's k best of the whole stays out: what k documents at hand exceed by more than the margin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // max(1, len(ids)))
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                doc, dl, tokens = batch.slice(i, step).columns
+                row, term, tf = _found(tokens, terms)
+                dl = pc.fill_null(dl, 0).to_numpy()[row]
+                part = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+                n = starts[term + 1] - starts[term]
+                question = asked[np.repeat(starts[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                cells = np.bincount(np.repeat(row, n) * len(ids) + question, np.repeat(part, n), len(doc) * len(ids))
+                hits = cells != 0  # a term that is found adds more than 0
+                if k and k < len(doc):
+                    each = cells.reshape(len(doc), len(ids))
+                    hits &= (each >= np.partition(each, len(doc) - k, axis=0)[len(doc) - k] - margin).ravel()
+                hit = np.flatnonzero(hits)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit % len(ids))), doc.take(pa.array(hit // len(ids))), pa.array(cells[hit])], ["query_id", "doc", "score"])
+
+    return run
+
+
+def scores(docs: DataFrame, doc_id: str, tokens: Column, queries: DataFrame, boost: float = 1.0, k: int | None = None, digits: int = 4) -> DataFrame:
+    """queries(query_id, term), distinct -> (query_id, doc, score). Documents that no term meets are left out; with k, also
+    some that top_k of k and digits would leave out anyhow, those of equal rounded scores never.
+
+    The questions (a user's, not a table that grows) and the statistics of their terms come to the driver at once. Each
+    document is then scored for all of them where it is read: neither postings nor scores are shuffled. Rows of one id
+    and length are one document; if there are any, their tokens are put together first.
+    """
     df = docs.select(F.col(doc_id).alias("doc"), tokens.alias("__t"))
-    stats = df.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("__t")).alias("avgdl"))
-    terms = queries.select("term").distinct()
-    hits = df.select("doc", F.size("__t").alias("dl"), F.explode("__t").alias("term")).join(terms, "term", "left_semi")
-    hits = hits.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df_.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats: one row
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.join(idf, "term").join(queries, "term").groupBy("query_id", "doc").agg((boost * F.sum(part)).alias("score"))
+    out = T.StructType([queries.schema["query_id"], df.schema["doc"], T.StructField("score", T.DoubleType())])
+    pairs = queries.where("term is not null").toArrow()
+    words, ids = pairs["term"].combine_chunks().dictionary_encode(), pairs["query_id"].combine_chunks().dictionary_encode("encode")
+    terms, ids, term, asked = words.dictionary, ids.dictionary, words.indices.to_numpy(), ids.indices.to_numpy()
+    if not len(terms):
+        return df.sparkSession.createDataFrame([], out)
+    count = lambda rows: {r.at: r.n for r in rows.select("__t").mapInArrow(_counts(terms), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    n = found = count(df)
+    repeated = not df.groupBy("doc").count().where("count > 1").isEmpty()
+    if repeated:
+        df = df.groupBy("doc", F.size("__t").alias("dl")).agg(F.flatten(F.collect_list("__t")).alias("__t"))
+        found = count(df)
+    else:
+        df = df.withColumn("dl", F.size("__t"))
+    by = np.array([found.get(i, 0) for i in range(len(terms))])
+    idf = np.log(1 + (n.get(-1, 0) - by + 0.5) / (by + 0.5))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
+    asked = asked[np.argsort(term, kind="stable")]
+    scored = df.select("doc", "dl", "__t").mapInArrow(_sums(terms, idf, n.get(-3, 0) / max(1, n.get(-2, 0)), starts, asked, ids, None if repeated else k, 2 * 10.0**-digits / boost), out)
+    if repeated:
+        scored = scored.groupBy("query_id", "doc").agg(F.sum("score").alias("score"))
+    return scored.withColumn("score", boost * F.col("score"))
 
 
 def top_k(hits: DataFrame, k: int, digits: int = 4) -> DataFrame:
