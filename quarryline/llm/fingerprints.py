@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import SPACE
+from .common import SPACE, written
 
 SHINGLE, SAMPLES, PER_ROW = 5, 32, 4
 CELLS, STEPS = 1024, 32
@@ -83,9 +83,10 @@ def _tables(spark: SparkSession) -> tuple[Column, Column, Column]:
     return tuple(row.select(c).scalar() for c in ("l", "g", "e"))
 
 
-def samples(rows: DataFrame, keys: list[str]) -> DataFrame:
+def samples(rows: DataFrame, keys: list[str], drawn: Column | None = None) -> DataFrame:
     """rows(keys, t, w) -> (keys, g, t, m): the greatest t; m has the minima of samples g * PER_ROW and so on, whose bits 31 and up are the
-    value, the others say which shingle and step it was; null for a text without shingles.
+    value, the others say which shingle and step it was; null for a text without shingles. Rows that are not drawn for, but only
+    carry their t, come out for g = 0 alone.
 
     A sample's draws come from one hash: 32 bits for c, by interpolation between quantiles; twice 10 for r, the sum of
     two exponential draws; 12 for b. Spark's logarithms are slow, so these come from tables, and values are compared as
@@ -93,19 +94,19 @@ def samples(rows: DataFrame, keys: list[str]) -> DataFrame:
     """
     logs, gamma, powers = _tables(rows.sparkSession)
     bits = lambda h, low, n: F.shiftrightunsigned(h, low).bitwiseAND((1 << n) - 1)
-    each = range(PER_ROW)
-    rows = rows.select(*keys, "t", F.log(F.col("w").cast("double")).alias("lw"), F.explode(F.array(*[F.lit(g) for g in range(SAMPLES // PER_ROW)])).alias("g"))
+    each, each_g = range(PER_ROW), F.array(*[F.lit(g) for g in range(SAMPLES // PER_ROW)])
+    rows = rows.select(*keys, "t", F.log(F.col("w").cast("double")).alias("lw"), F.explode(each_g if drawn is None else F.when(drawn, each_g).otherwise(F.array(F.lit(0)))).alias("g"))
     rows = rows.select(*keys, "g", "t", "lw", *[F.xxhash64("t", F.col("g") * PER_ROW + k).alias(f"h{k}") for k in each])
     rows = rows.select(*keys, "g", "t", "lw", *[x for k in each for h in [F.col(f"h{k}")] for x in (
         h, (F.get(logs, bits(h, 32, 10).cast("int")) + F.get(logs, bits(h, 42, 10).cast("int"))).alias(f"r{k}"),
-        ((F.shiftrightunsigned(h, 52) + 0.5) / 4096.0).alias(f"b{k}"), (F.sqrt((bits(h, 0, 32) + 0.5) / float(1 << 32)) * float(CELLS)).alias(f"c{k}"))])
+        ((F.shiftrightunsigned(h, 52) + 0.5) * (1 / 4096.0)).alias(f"b{k}"), (F.sqrt((bits(h, 0, 32) + 0.5) * (1 / float(1 << 32))) * float(CELLS)).alias(f"c{k}"))])
     rows = rows.select(*keys, "g", "t", *[x for k in each for x in (f"h{k}", f"c{k}", f"r{k}", f"b{k}", F.floor(F.col("lw") / F.col(f"r{k}") + F.col(f"b{k}")).alias(f"s{k}"))])
     rows = rows.select(*keys, "g", "t", *[x for k in each for x in (f"h{k}", f"s{k}", f"c{k}", F.col(f"c{k}").cast("int").alias(f"i{k}"), (F.col(f"r{k}") * (F.col(f"s{k}") - F.col(f"b{k}") + 1) * float(STEPS)).alias(f"x{k}"))])
     out = []
     for k in each:
-        i, x, d = F.col(f"i{k}"), F.col(f"x{k}").cast("int"), (F.col(f"x{k}") - F.floor(f"x{k}")) / float(STEPS)
+        i, x, d = F.col(f"i{k}"), F.col(f"x{k}").cast("int"), (F.col(f"x{k}") - F.col(f"x{k}").cast("int")) * (1 / float(STEPS))
         low = F.get(gamma, i)
-        value = (low + (F.col(f"c{k}") - i) * (F.get(gamma, i + 1) - low)) * F.get(powers, x) * (1 - d * (1 - d / 2.0 * (1 - d / 3.0)))
+        value = (low + (F.col(f"c{k}") - i) * (F.get(gamma, i + 1) - low)) * F.get(powers, x) * (1 - d * (1 - d * 0.5 * (1 - d * (1 / 3.0))))
         which = F.shiftrightunsigned(f"h{k}", 33).bitwiseXOR(F.col(f"s{k}") * 40503).bitwiseAND(_ID)
         out.append(F.min(F.when(F.col("t").isNotNull(), F.shiftleft((value * float(1 << 27)).cast("long"), 31).bitwiseOR(which))).alias(f"m{k}"))
     return rows.groupBy(*keys, "g").agg(F.max("t").alias("t"), *out).select(*keys, "g", "t", F.array(*[f"m{k}" for k in each]).alias("m"))
@@ -129,7 +130,7 @@ def fingerprint(df: DataFrame, keys: list[str], texts: list[str], same: tuple[st
     rows = weighted_shingles(df.select(*keys, *same, *texts), texts, "__terms")
     more = [F.struct(F.lit(8 + i).alias("side"), F.col(c).cast("long").alias("t"), F.lit(1).alias("w")) for i, c in enumerate(same)]
     rows = rows.select(*keys, F.explode_outer(F.concat("__terms", F.array(*more)) if same else F.col("__terms")).alias("__x")).select(*keys, F.coalesce("__x.side", F.lit(0)).alias("side"), "__x.t", "__x.w")
-    found = samples(rows, [*keys, "side"]).groupBy(*keys).agg(F.collect_list(F.struct("side", "g", "t", "m")).alias("__m"))
+    found = samples(rows, [*keys, "side"], F.col("side") < 8 if same else None).groupBy(*keys).agg(F.collect_list(F.struct("side", "g", "t", "m")).alias("__m"))
     both = {0: (0, 3), 1: (1, 3), 2: (2,)}
     return found.select(*keys, *[F.expr(f"get(filter(__m, x -> x.side = {8 + i}), 0).t").alias(c) for i, c in enumerate(same)], *[signature("__m", both[i]).alias(f"sig{i}") for i in range(len(texts))])
 
@@ -155,10 +156,16 @@ def ranges(docs: DataFrame) -> Column:
         return nulls.cast("long")
     q = F.array(*[F.lit(x).cast("long") for x in stats.q])
     x = F.col("doc_id").cast("long")
-    below, upto = F.size(F.filter(q, lambda v: v < x)), F.size(F.filter(q, lambda v: v <= x))
-    low, high = F.get(q, below - 1).cast("double"), F.get(q, below).cast("double")
-    between = F.when(below == 0, F.lit(0.0)).when(upto == below, below - 1 + (x - low) / (high - low)).otherwise(below.cast("double"))
-    place = F.when(upto > below + 1, below + part * (upto - below - 1)).otherwise(F.coalesce(between, F.lit(float(QUANTILES))))
+
+    def at(below: Column, upto: Column) -> Column:
+        low, high = F.get(q, below - 1).cast("double"), F.get(q, below).cast("double")
+        between = F.when(below == 0, F.lit(0.0)).when(upto == below, below - 1 + (x - low) / (high - low)).otherwise(below.cast("double"))
+        return F.when(upto > below + 1, below + part * (upto - below - 1)).otherwise(F.coalesce(between, F.lit(float(QUANTILES))))
+
+    # How many quantiles are less, or at most x, by halves: 8 looks instead of 129. A one-element array binds both numbers.
+    halves = F.array(*[F.lit(1 << i) for i in range((QUANTILES + 1).bit_length() - 1, -1, -1)])
+    search = lambda before: F.aggregate(halves, F.lit(0), lambda n, step: F.when(before(F.get(q, n + step - 1)), n + step).otherwise(n))
+    place = F.get(F.transform(F.array(F.struct(search(lambda v: v < x).alias("below"), search(lambda v: v <= x).alias("upto"))), lambda s: at(s.below, s.upto)), F.lit(0))
     return F.when(x.isNull(), nulls).otherwise(F.floor(place * (stats.n / QUANTILES / BUCKET_ROWS))).cast("long")
 
 
@@ -177,8 +184,10 @@ def with_edited(docs: DataFrame) -> DataFrame:
     rows = docs.select(bucket.alias("b"), "doc_id", "text", F.xxhash64("text").alias("h")).repartition("b")
     order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("text")]
     head = rows.groupBy("b").agg(F.min_by("text", F.struct(F.col("doc_id").isNotNull(), "doc_id", "h", "text")).alias("far_text"))
-    # The range before each, first within runs of 1,024 ranges, then among the runs; before the first comes the last.
-    runs = docs.select(bucket.alias("b")).distinct().withColumn("run", F.expr("b div 1024 - if(b < 0, 1, 0)"))
+    # The range before each, first within runs of 1,024 ranges, then among the runs; before the first comes the last. The heads, a
+    # row for each range, are written, so that the documents are not read again for the numbers of the ranges.
+    head = written(head, "heads")
+    runs = head.select("b").withColumn("run", F.expr("b div 1024 - if(b < 0, 1, 0)"))
     by_run = runs.groupBy("run").agg(F.max("b").alias("last"))
     by_run = by_run.select("run", F.coalesce(F.lag("last").over(W.orderBy("run")), F.max("last").over(W.orderBy("run").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("before_run"))
     links = runs.withColumn("before", F.lag("b").over(W.partitionBy("run").orderBy("b"))).join(by_run, "run").select("b", F.coalesce("before", "before_run").alias("before"))

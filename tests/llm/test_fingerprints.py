@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quarryline.llm import fingerprints as fp
 
+from ..test_hot_keys import most_rows
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -113,3 +115,12 @@ def test_ranges_stay_small(spark):
     got = df.select("doc_id", F.xxhash64("text").alias("h"), fp.ranges(df).alias("b")).collect()
     order = [r.b for r in sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))]
     assert order == sorted(order) and max(Counter(order).values()) < 6 * fp.BUCKET_ROWS
+
+
+def test_carried_columns_are_not_drawn_for(spark):
+    """Of a text of one shingle and four carried columns, only the shingle has a row for each group of samples."""
+    n = 500
+    df = spark.range(n).selectExpr("id as k", "concat('a text of five words', id % 7) as t", "id as p", "-id as q", "cast(null as long) as r", "7L as s")
+    rows, most = most_rows(fp.fingerprint(df, ["k"], ["t"], ("p", "q", "r", "s")))
+    assert most <= n * (fp.SAMPLES // fp.PER_ROW + 4) and len({tuple(r.sig0) for r in rows}) == 7
+    assert all((r.p, r.q, r.r, r.s) == (r.k, -r.k, None, 7) for r in rows)
