@@ -64,11 +64,11 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
+def written(df: DataFrame, name: str = "t", codec: str = "snappy") -> DataFrame:
     """The rows from a Parquet table in the shared folder: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,23 +1,30 @@
 """Operator 2: main text of HTML pages, by marks and by a suffix array of each host.
 
 A page is parsed once into blocks of text. Scripts, navigation, headers, footers, asides and forms go by element,
-adverts, notices, reader comments and the like by the names of containers. Then regions, that is the body and its
-article and main elements, compete by the amount of their text: a region within that has over two thirds of it is
-entered; one whose own text outweighs the regions within is the story with teasers, which go. Where no region was
-entered, repetition decides: the token streams of the host's pages, with block ends as tokens, are put together;
-their suffixes are dealt out by host and first RUN tokens, sorted, and neighbours from pages of different contents
-compared. The stretches that they share are boilerplate, whose tokens are removed, and the unique runs stay. All
-suffixes that share RUN tokens meet in one task, in order, so it scans them without holding them; a window of RUN
-tokens has about one row for each page, however large the host, and pages of equal contents count once.
+adverts, notices, reader comments and the like by the names of containers. The token streams of what is left of all of
+a host's pages, with block ends as tokens, are put together; their suffixes are dealt out by host and first RUN tokens,
+sorted, and neighbours from pages of different contents compared. The stretches that they share are repeated. Then
+regions, that is the body and its article and main elements, compete by the amount of their text, in which repeated
+text counts a REPEATED-th: a region within that has over two thirds of it is entered; one whose own text outweighs the
+regions within is the story with teasers, which go. Where no region was entered, the tokens of the repeated stretches
+are removed, and the unique runs stay.
+
+All suffixes that share RUN tokens meet in one task, in order, so it scans them without holding them; a window of RUN
+tokens has about one row for each page, however large the host, and pages of equal contents count once. Only suffixes
+whose first RUN tokens may stand on a second page are sorted: before, hashes of all windows, 40 bits of each in sorted
+blocks, are brought together, and those met twice set bits of a map of fixed size. It lets others through as well, the
+more the fuller it is, but none that repeats is left out.
 
 Repetition alone would be wrong here: menus, adverts and footers that differ from page to page would stay, and
-passages that several articles share would go.
+passages that several articles share would go. So an article that was entered keeps them.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -29,10 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Held, written
 
 #: Tokens that a repeated stretch has at least, and to which suffixes are compared.
 RUN, DEPTH = 8, 24
+#: Repeated text counts so many times less. Bits of the map of repeated windows; characters that are hashed at once.
+REPEATED, MAP_BITS, CHARS = 4, 28, 1 << 23
 # HTML element names, and words of class and id names and roles that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -147,16 +156,21 @@ class _Page(HTMLParser):
             self.parts.append(data)
 
 
-def blocks(html: str | None) -> tuple[list[str], bool]:
-    """The blocks of a page and whether they are known to be its article; null html has none."""
+def parse(html: str | None) -> tuple[list[str], list[int], list[int]]:
+    """The blocks of a page that marks leave, the region of each, and the region around each region; null html has none."""
     page = _Page()
     page.feed(html or "")
     page.close()
     page.flush()
     found = [(t, r) for t, r, names in page.blocks if page.void.issuperset(names)]
-    parents, own = page.parents, [0] * len(page.parents)
-    for t, r in found:
-        own[r] += len(t)
+    return [t for t, _ in found], [r for _, r in found], page.parents
+
+
+def story(texts: list[str], regions: list[int], parents: list[int], amounts: list[float]) -> tuple[list[int], bool]:
+    """Places of the blocks of the article, by the amounts of text of the blocks, and whether a region was entered (or there is none)."""
+    own = [0.0] * len(parents)
+    for n, r in zip(amounts, regions, strict=True):
+        own[r] += n
     whole = own[:]
     for r in range(len(parents) - 1, 0, -1):  # regions within come after
         whole[parents[r]] += whole[r]
@@ -172,7 +186,14 @@ def blocks(html: str | None) -> tuple[list[str], bool]:
     inside[at] = True
     for r in range(at + 1, len(parents)):
         inside[r] = inside[parents[r]] and not teasers
-    return [t for t, r in found if inside[r]], at > 0 or not found
+    return [i for i, r in enumerate(regions) if inside[r]], at > 0 or not texts
+
+
+def blocks(html: str | None) -> tuple[list[str], bool]:
+    """The blocks of the article of a page that shares no text with others, and whether a region was entered (or there is none)."""
+    texts, regions, parents = parse(html)
+    kept, known = story(texts, regions, parents, [len(t) for t in texts])
+    return [texts[i] for i in kept], known
 
 
 def host(url: str | None) -> str:
@@ -187,15 +208,20 @@ def stream(texts: list[str]) -> list[str]:
     return [w for t in texts for w in (*t.split(" "), "\n")]
 
 
+def _times(n: int, repeated: list[tuple[int, int]]) -> np.ndarray:
+    """How many of the repeated stretches (place, length) each of n tokens is in."""
+    change = np.zeros(n + 1, np.int64)
+    for at, k in repeated:
+        change[at] += 1
+        change[min(at + k, n)] -= 1
+    return np.cumsum(change)[:n]
+
+
 def unique_runs(texts: list[str], repeated: list[tuple[int, int]]) -> list[str]:
     """Blocks without the tokens of the repeated stretches (place, length)."""
     tokens = stream(texts)
-    change = np.zeros(len(tokens) + 1, np.int64)
-    for at, n in repeated:
-        change[at] += 1
-        change[min(at + n, len(tokens))] -= 1
     out, part = [], []
-    for token, times in zip(tokens, np.cumsum(change), strict=False):
+    for token, times in zip(tokens, _times(len(tokens), repeated), strict=True):
         if token == "\n":
             out += [" ".join(part)] if part else []
             part = []
@@ -204,29 +230,143 @@ def unique_runs(texts: list[str], repeated: list[tuple[int, int]]) -> list[str]:
     return out
 
 
+def main_blocks(texts: list[str], regions: list[int], parents: list[int], repeated: list[tuple[int, int]]) -> list[str]:
+    """A page's article: the blocks of the region that was entered, or else what the repeated stretches leave."""
+    if not repeated:
+        return [texts[i] for i in story(texts, regions, parents, [len(t) for t in texts])[0]]
+    tokens = stream(texts)
+    times = _times(len(tokens), repeated)
+    ends = [i for i, t in enumerate(tokens) if t == "\n"]
+    amounts, at = [], 0
+    for end in ends:
+        amounts.append(sum(len(tokens[i]) / (REPEATED if times[i] else 1) for i in range(at, end)))
+        at = end + 1
+    kept, known = story(texts, regions, parents, amounts)
+    if known:
+        return [texts[i] for i in kept]
+    starts, inside = [0, *(e + 1 for e in ends)], set(kept)
+    gone = [(starts[i], starts[i + 1] - starts[i]) for i in range(len(texts)) if i not in inside]
+    return unique_runs(texts, [*repeated, *gone])
+
+
 _signed = lambda h: h - 2**64 if h >= 2**63 else h
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page: tells apart what counts as different pages, those of other contents."""
+    """row: a number of each page; page: tells apart what counts as different pages, those of other contents."""
+    base, n = uuid.uuid4().int >> 65, 0
     for batch in batches:
         for i in range(0, batch.num_rows, 200):
             part = batch.slice(i, 200)
-            got = [blocks(h) for h in part.column(2).to_pylist()]
-            columns = [part.column(0), part.column(1), pa.array(["\n".join(t) for t, _ in got], pa.string()), pa.array([host(u) for u in part.column(1).to_pylist()], pa.string()), pa.array([None if known else _signed(xxhash.xxh64_intdigest("\n".join(t))) for t, known in got], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "host", "page"])
-
-
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, text) -> (host, page, at, head, tail): a row for each place; shorter suffixes than RUN can't repeat but
-    as a whole page's."""
+            got = [parse(h) for h in part.column(2).to_pylist()]
+            texts = ["\n".join(t) for t, _, _ in got]
+            rows = [(base + n + k) & ((1 << 62) - 1) for k in range(len(got))]
+            n += len(got)
+            columns = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([r for _, r, _ in got], pa.list_(pa.int32())), pa.array([p for _, _, p in got], pa.list_(pa.int32())), pa.array([host(u) for u in part.column(1).to_pylist()], pa.string()), pa.array([_signed(xxhash.xxh64_intdigest(t)) for t in texts], pa.int64()), pa.array(rows, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "regions", "parents", "host", "page", "row"])
+
+
+def _windows(hosts: list[str], texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
+    """The streams of pages, and of each window of RUN tokens in them: its page's place, its own place, a hash of it and the host."""
+    streams = [stream(t.split("\n")) for t in texts]
+    lengths = np.array([len(x) for x in streams], np.int64)
+    words = pa.array([w for x in streams for w in x], pa.string()).dictionary_encode()
+    each = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)[words.indices.to_numpy()]
+    n = np.maximum(lengths - RUN + 1, 0)
+    of = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    first = np.repeat(np.cumsum(lengths) - lengths, n) + at
+    h = np.array([xxhash.xxh64_intdigest(x) for x in hosts], np.uint64)[of]
+    for k in range(RUN):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + each[first + k]
+    for shift in (32, 29):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(0xD6E8FEB86659FD93)
+    return streams, of, at, h ^ (h >> np.uint64(32))
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[int], list[str]]]:
+    """(host, page, text) in lists of about CHARS characters."""
     for batch in batches:
-        for name, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            tokens = stream(text.split("\n"))
-            n = max(1, len(tokens) - RUN + 1)
-            head = [_signed(xxhash.xxh64_intdigest(" ".join(tokens[i : i + RUN]))) for i in range(n)]
-            tail = [" ".join(tokens[i + RUN : i + DEPTH]) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array([page] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(head, pa.int64()), pa.array(tail, pa.string())], ["host", "page", "at", "head", "tail"])
+        hosts, pages, texts = (c.to_pylist() for c in batch.columns)
+        at = size = 0
+        for i, t in enumerate(texts, 1):
+            size += len(t)
+            if size >= CHARS or i == len(texts):
+                yield hosts[at:i], pages[at:i], texts[at:i]
+                at, size = i, 0
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Sorted numbers of 32 bits as differences, their like bytes beside each other, which compresses well."""
+    return np.diff(x, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, text) -> (part, once, more): 40 bits of the windows' hashes, the first 8 as part, those met on one page and on more."""
+    for hosts, _, texts in _portions(batches):
+        _, of, _, h = _windows(hosts, texts)
+        h >>= np.uint64(24)
+        order = np.argsort(h, kind="stable")
+        h, of = h[order], of[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        other = np.concatenate([[False], ~new[1:] & (of[1:] != of[:-1])]) if len(h) else new
+        twice = np.logical_or.reduceat(other, starts) if len(starts) else new
+        h = h[starts]
+        bounds = np.searchsorted(h, np.arange(257, dtype=np.uint64) << np.uint64(32))
+        out = []
+        for p in range(256):
+            x, t = h[bounds[p] : bounds[p + 1]].astype(np.uint32), twice[bounds[p] : bounds[p + 1]]
+            if len(x):
+                out.append((p, _planes(x[~t]), _planes(x[t])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "once", "more"])
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, once, more), by part -> (part, bits): the part's piece of the map of windows that several pages may have."""
+
+    def piece(part: int, once: list[np.ndarray], more: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.sort(np.concatenate(once))
+        bits = np.zeros(1 << (MAP_BITS - 8), bool)
+        for found in (x[1:][x[1:] == x[:-1]], *more):
+            bits[found >> np.uint32(40 - MAP_BITS)] = True
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["part", "bits"])
+
+    last, once, more = None, [], []
+    for batch in batches:
+        for part, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != last and last is not None:
+                yield piece(last, once, more)
+                once, more = [], []
+            last, a, b = part, _numbers(a), _numbers(b)
+            once += [a, b]  # a window of several pages here may be met again
+            more.append(b)
+    if last is not None:
+        yield piece(last, once, more)
+
+
+def _suffixes(held: Held):
+    """(host, page, text) -> (host, page, at, head, tail): a row for each place whose window the map has; shorter suffixes than
+    RUN can't repeat but as a whole page's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(held.value, np.uint8)
+        for hosts, pages, texts in _portions(batches):
+            streams, of, at, h = _windows(hosts, texts)
+            i = h >> np.uint64(64 - MAP_BITS)
+            hit = np.flatnonzero(bits[i >> np.uint64(3)] >> (np.uint8(7) - (i & np.uint64(7)).astype(np.uint8)) & 1)
+            of, at, h = of[hit], at[hit], h[hit].view(np.int64)
+            for k in range(0, len(hit), 10_000):
+                o, a = of[k : k + 10_000].tolist(), at[k : k + 10_000].tolist()
+                tail = [" ".join(streams[x][y + RUN : y + DEPTH]) for x, y in zip(o, a, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([hosts[x] for x in o], pa.string()), pa.array([pages[x] for x in o], pa.int64()), pa.array(a, pa.int64()), pa.array(h[k : k + 10_000]), pa.array(tail, pa.string())], ["host", "page", "at", "head", "tail"])
+
+    return run
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,16 +408,39 @@ def _shared(a: str, b: str) -> int:
     return n
 
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, found) -> the same, stretches that overlap or meet as one."""
+    for batch in batches:
+        out = []
+        for found in batch.column(2).to_pylist():
+            whole: list[dict] = []
+            for x in sorted(found, key=lambda x: x["at"]):
+                if whole and x["at"] <= whole[-1]["at"] + whole[-1]["n"]:
+                    whole[-1]["n"] = max(whole[-1]["n"], x["at"] + x["n"] - whole[-1]["at"])
+                else:
+                    whole.append(x)
+            out.append(whole)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.schema.field(2).type)], ["host", "page", "found"])
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = ["\n".join(unique_runs(t.split("\n"), [(x["at"], x["n"]) for x in found])) if found else t for t, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+        texts = ["\n".join(main_blocks(t.split("\n") if t else [], r, p, [(x["at"], x["n"]) for x in found or ()])) for t, r, p, found in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def repeats(pages: DataFrame) -> DataFrame:
     """pages(host, page, text), distinct -> (host, page, at, n): stretches of n tokens at a place of the page's stream that
     another page of the host has too."""
-    suffixes = pages.select("host", "page", "text").mapInArrow(_suffixes, "host string, page long, at long, head long, tail string")
+    pages = pages.select("host", "page", "text")
+    heads = pages.mapInArrow(_heads, "part int, once binary, more binary")
+    pieces = heads.repartition("part").sortWithinPartitions("part").mapInArrow(_bits, "part int, bits binary").collect()
+    size = 1 << (MAP_BITS - 11)
+    whole = bytearray(256 * size)
+    for r in pieces:
+        whole[r.part * size : (r.part + 1) * size] = zlib.decompress(r.bits)
+    suffixes = pages.mapInArrow(_suffixes(Held(pages.sparkSession, bytes(whole))), "host string, page long, at long, head long, tail string")
     return suffixes.repartition("host", "head").sortWithinPartitions("host", "head", "tail", "page", "at").mapInArrow(_neighbours, "host string, page long, at long, n long")
 
 
@@ -287,15 +450,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     White space within a block is one space, blocks are joined by \\n in page order, character references are
     decoded. Null or empty html, or a page of nothing but boilerplate: empty text. A null or odd url belongs to
     the host ''. Pages of equal contents count as one page, so copies don't erase each other. An article's headings are
-    kept, also those in its own header; the rest of that header goes.
+    kept, also those in its own header; the rest of that header goes. Every page goes through the suffix array.
     """
-    schema = "page_id long, url string, text string, host string, page long"
-    parsed = written(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_parse, schema), "parsed")
-    known = parsed.where("page is null").select("page_id", "url", "text")
-    open_ = parsed.where("page is not null")
-    if open_.isEmpty():
-        return known
-    found = written(repeats(open_.groupBy("host", "page").agg(F.min("text").alias("text"))), "repeats")
+    schema = "page_id long, url string, text string, regions array<int>, parents array<int>, host string, page long, row long"
+    parsed = written(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_parse, schema), "parsed", "zstd")
+    # Written, so that Spark knows how small they are: texts are not shuffled then.
+    firsts = written(parsed.where("text <> ''").groupBy("host", "page").agg(F.min("row").alias("row")).select("row"), "firsts")
+    found = repeats(parsed.join(firsts, "row", "left_semi"))
     of_page = found.groupBy("host", "page").agg(F.collect_list(F.struct("at", "n")).alias("found"))  # no more than a page's tokens
-    cleaned = open_.join(of_page, ["host", "page"], "left").select("page_id", "url", "text", "found").mapInArrow(_clean, "page_id long, url string, text string")
-    return known.union(cleaned)
+    of_page = written(of_page.mapInArrow(_joined, of_page.schema), "repeats")
+    chosen = parsed.join(of_page, ["host", "page"], "left").select("page_id", "url", "text", "regions", "parents", "found")
+    return chosen.mapInArrow(_choose, "page_id long, url string, text string")

@@ -87,3 +87,23 @@ def test_query_on_pages(spark):
         article = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"</?b>|<br>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+
+
+def test_repetition_weighs_regions(spark):
+    """A menu that no mark names outweighs the article; as other pages have it too, the article is entered and keeps what articles share."""
+    menu = " ".join(f"Item{i}" for i in range(300))
+    shared = "a passage of ten words that both of the articles share"
+    html_ = lambda i: f"<div>{menu}</div><article><p>{shared}</p><p>{' '.join(f'own{i}x{k}' for k in range(200))}</p></article>"
+    rows = [(i, f"http://h/{i}", html_(i)) for i in range(4)] + [(9, "http://h/9", html_(0)), (10, "http://alone/1", html_(1))]
+    by = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(by[i].split("\n") == [shared, " ".join(f"own{i}x{k}" for k in range(200))] for i in range(4)) and by[9] == by[0]
+    assert by[10].split("\n")[0] == menu
+    assert html_text.main_blocks(["a b", "c d x", "e f"], [0, 1, 0], [0, 0], [(0, 2), (7, 2)]) == ["c d x"]
+
+
+def test_every_page_meets_the_suffix_array(spark, monkeypatch):
+    met = []
+    repeats = html_text.repeats
+    monkeypatch.setattr(html_text, "repeats", lambda pages: met.extend(pages.select("host", "text").collect()) or repeats(pages))
+    rows = [(i, f"http://h/{i}", f"<article>words of page {i}</article>") for i in range(5)]
+    assert html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).count() == 5 and len(met) == 5
