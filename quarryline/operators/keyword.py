@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.idents import token_components
+from .graph import _cut
 
 K1, B = 1.2, 0.75
 #: Cells (documents times questions) that are summed at once.
@@ -42,31 +43,52 @@ def _found(tokens: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, np.ndarra
     return key // len(terms), key % len(terms), tf
 
 
-def _counts(terms: pa.Array):
-    """Tokens -> (term, n): documents with the term at a place; at -1 all rows, at -2 those that are not null, at -3 their tokens."""
+def _places(terms: pa.Array):
+    """(doc, dl, tokens) -> (doc, dl, tokens' number, null for null ones; places of terms and how often each stands there)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows, whole, length = np.zeros(len(terms), np.int64), 0, 0, 0
         for batch in batches:
-            t = batch.column(0)
-            df += np.bincount(_found(t, terms)[1], minlength=len(terms))
-            rows, whole, length = rows + len(t), whole + len(t) - t.null_count, length + len(t.flatten())
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, -3, *at], pa.int64()), pa.array([rows, whole, length, *df[at]], pa.int64())], ["at", "n"])
+            doc, dl, tokens = batch.columns
+            row, at, tf = _found(tokens, terms)
+            ends = pa.array(np.searchsorted(row, np.arange(len(doc) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (at, tf)]
+            yield pa.RecordBatch.from_arrays([doc, dl, pc.list_value_length(tokens).cast(pa.int64()), *lists], ["doc", "dl", "n", "at", "tf"])
 
     return run
 
 
-def _sums(terms: pa.Array, idf: np.ndarray, avgdl: float, starts: np.ndarray, asked: np.ndarray, ids: pa.Array, k: int | None, margin: float):
-    """(doc, length, tokens) -> (query_id, doc, score). Term i is asked by questions asked[starts[i] : starts[i + 1]]. With k, what
+def _again(at: pa.ListArray, tf: pa.ListArray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What _found gives, from its lists; a term that is listed twice in a row counts both times."""
+    row = np.repeat(np.arange(len(at)), pc.list_value_length(at).to_numpy(zero_copy_only=False))
+    key, to = np.unique(row * terms + at.flatten().to_numpy(), return_inverse=True)
+    return key // terms, key % terms, np.bincount(to, tf.flatten().to_numpy(), len(key)).astype(np.int64)
+
+
+def _counts(terms: int):
+    """(n, at, tf) -> (term, n): documents with the term at a place; at -1 all rows, at -2 those that are not null, at -3 their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, rows, whole, length = np.zeros(terms, np.int64), 0, 0, 0
+        for batch in batches:
+            n, at, tf = batch.columns
+            df += np.bincount(_again(at, tf, terms)[1], minlength=terms)
+            rows, whole, length = rows + len(n), whole + len(n) - n.null_count, length + (pc.sum(n).as_py() or 0)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, -3, *some], pa.int64()), pa.array([rows, whole, length, *df[some]], pa.int64())], ["at", "n"])
+
+    return run
+
+
+def _sums(idf: np.ndarray, avgdl: float, starts: np.ndarray, asked: np.ndarray, ids: pa.Array, k: int | None, margin: float):
+    """(doc, length, places, counts) -> (query_id, doc, score). Term i is asked by questions asked[starts[i] : starts[i + 1]]. With k, what
     can't be among a question's k best of the whole stays out: what k documents at hand exceed by more than the margin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, CELLS // max(1, len(ids)))
         for batch in batches:
             for i in range(0, batch.num_rows, step):
-                doc, dl, tokens = batch.slice(i, step).columns
-                row, term, tf = _found(tokens, terms)
+                doc, dl, at, tf = batch.slice(i, step).columns
+                row, term, tf = _again(at, tf, len(idf))
                 dl = pc.fill_null(dl, 0).to_numpy()[row]
                 part = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
                 n = starts[term + 1] - starts[term]
@@ -87,8 +109,9 @@ def scores(docs: DataFrame, doc_id: str, tokens: Column, queries: DataFrame, boo
     some that top_k of k and digits would leave out anyhow, those of equal rounded scores never.
 
     The questions (a user's, not a table that grows) and the statistics of their terms come to the driver at once. Each
-    document is then scored for all of them where it is read: neither postings nor scores are shuffled. Rows of one id
-    and length are one document; if there are any, their tokens are put together first.
+    document is cut into tokens once, and what it has of those terms is written; from that come the statistics, and the
+    scores for all questions where it is read: neither postings nor scores are shuffled. Rows of one id and length are
+    one document; if there are any, what they have is put together first.
     """
     df = docs.select(F.col(doc_id).alias("doc"), tokens.alias("__t"))
     out = T.StructType([queries.schema["query_id"], df.schema["doc"], T.StructField("score", T.DoubleType())])
@@ -97,19 +120,22 @@ def scores(docs: DataFrame, doc_id: str, tokens: Column, queries: DataFrame, boo
     terms, ids, term, asked = words.dictionary, ids.dictionary, words.indices.to_numpy(), ids.indices.to_numpy()
     if not len(terms):
         return df.sparkSession.createDataFrame([], out)
-    count = lambda rows: {r.at: r.n for r in rows.select("__t").mapInArrow(_counts(terms), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    lists = T.ArrayType(T.IntegerType())
+    df = df.select("doc", F.size("__t").alias("dl"), "__t")
+    written = T.StructType([*df.schema.fields[:2], T.StructField("n", T.LongType()), T.StructField("at", lists), T.StructField("tf", lists)])
+    df = _cut(df.mapInArrow(_places(terms), written))
+    count = lambda rows: {r.at: r.n for r in rows.select("n", "at", "tf").mapInArrow(_counts(len(terms)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
     n = found = count(df)
     repeated = not df.groupBy("doc").count().where("count > 1").isEmpty()
     if repeated:
-        df = df.groupBy("doc", F.size("__t").alias("dl")).agg(F.flatten(F.collect_list("__t")).alias("__t"))
+        of = F.collect_list(F.struct("at", "tf"))  # of one order
+        df = df.groupBy("doc", "dl").agg(F.sum("n").alias("n"), of.alias("x")).select("doc", "dl", "n", F.flatten("x.at").alias("at"), F.flatten("x.tf").alias("tf"))
         found = count(df)
-    else:
-        df = df.withColumn("dl", F.size("__t"))
     by = np.array([found.get(i, 0) for i in range(len(terms))])
     idf = np.log(1 + (n.get(-1, 0) - by + 0.5) / (by + 0.5))
     starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
     asked = asked[np.argsort(term, kind="stable")]
-    scored = df.select("doc", "dl", "__t").mapInArrow(_sums(terms, idf, n.get(-3, 0) / max(1, n.get(-2, 0)), starts, asked, ids, None if repeated else k, 2 * 10.0**-digits / boost), out)
+    scored = df.select("doc", "dl", "at", "tf").mapInArrow(_sums(idf, n.get(-3, 0) / max(1, n.get(-2, 0)), starts, asked, ids, None if repeated else k, 2 * 10.0**-digits / boost), out)
     if repeated:
         scored = scored.groupBy("query_id", "doc").agg(F.sum("score").alias("score"))
     return scored.withColumn("score", boost * F.col("score"))

@@ -1,5 +1,6 @@
 import math
 import random
+import shutil
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -44,3 +45,12 @@ def test_best_without_a_row_for_each_question_and_document(spark):
     questions = spark.range(30).selectExpr("id query_id", "explode(array('a', 'b')) term")
     rows, most = most_rows(keyword.top_k(keyword.scores(docs, "id", keyword.standard_tokens(F.col("t")), questions, k=3), 3))
     assert len(rows) == 90 and most <= n * 5
+
+
+def test_documents_are_cut_into_tokens_once(spark, tmp_path):
+    """Scores come from what was found at first: the documents may be gone by then."""
+    spark.range(50).selectExpr("id", "if(id % 2 = 0, 'a b', 'b') t").write.parquet(str(tmp_path / "docs"))
+    docs, questions = spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame([(1, "a")], "query_id long, term string")
+    got = keyword.scores(docs, "id", keyword.standard_tokens(F.col("t")), questions)
+    shutil.rmtree(tmp_path / "docs")
+    assert {r.doc for r in got.collect()} == set(range(0, 50, 2))
