@@ -9,11 +9,15 @@ text counts a REPEATED-th: a region within that has over two thirds of it is ent
 regions within is the story with teasers, which go. Where no region was entered, the tokens of the repeated stretches
 are removed, and the unique runs stay.
 
-All suffixes that share RUN tokens meet in one task, in order, so it scans them without holding them; a window of RUN
-tokens has about one row for each page, however large the host, and pages of equal contents count once. Only suffixes
-whose first RUN tokens may stand on a second page are sorted: before, hashes of all windows, 40 bits of each in sorted
-blocks, are brought together, and those met twice set bits of a map of fixed size. It lets others through as well, the
-more the fuller it is, but none that repeats is left out.
+All suffixes that share RUN tokens meet in one task, in order. Those of one part of the pages that several of its pages
+have to their full depth know all they can share there; one of them meets the other parts' in their place, so a window
+has about one row for each part, however large the host, and pages of equal contents count once. Only suffixes whose
+first RUN tokens stand on a second page are dealt out: before, hashes of all windows, of as many bits as their number
+asks for, are brought together in sorted blocks, and each block is told which of its hashes were met elsewhere. Hashes
+that clash let a few others through as well, one in 2**SPARE, but none that repeats is left out.
+
+Texts are written once and nowhere shuffled: what concerns a part of them (first pages of their contents, repeated
+windows, stretches) is written by part, and tasks that read the texts read it beside them.
 
 Repetition alone would be wrong here: menus, adverts and footers that differ from page to page would stay, and
 passages that several articles share would go. So an article that was entered keeps them.
@@ -21,10 +25,13 @@ passages that several articles share would go. So an article that was entered ke
 
 from __future__ import annotations
 
+import bisect
+import contextlib
 import functools
+import itertools
 import re
+import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -32,16 +39,22 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Held, written
+from .common import filesystem, shared_dir, written
 
 #: Tokens that a repeated stretch has at least, and to which suffixes are compared.
 RUN, DEPTH = 8, 24
-#: Repeated text counts so many times less. Bits of the map of repeated windows; characters that are hashed at once.
-REPEATED, MAP_BITS, CHARS = 4, 28, 1 << 23
+#: Repeated text counts so many times less. Characters and pages that are hashed, suffixes that are dealt out at once.
+REPEATED, CHARS, PAGES, SUFFIXES = 4, 1 << 23, 1 << 16, 1 << 17
+#: Bits of a window's hash beyond those that number all windows: of windows that nothing repeats, one in 2**SPARE passes for repeated.
+SPARE = 8
 # HTML element names, and words of class and id names and roles that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -234,17 +247,15 @@ def main_blocks(texts: list[str], regions: list[int], parents: list[int], repeat
     """A page's article: the blocks of the region that was entered, or else what the repeated stretches leave."""
     if not repeated:
         return [texts[i] for i in story(texts, regions, parents, [len(t) for t in texts])[0]]
-    tokens = stream(texts)
-    times = _times(len(tokens), repeated)
-    ends = [i for i, t in enumerate(tokens) if t == "\n"]
-    amounts, at = [], 0
-    for end in ends:
-        amounts.append(sum(len(tokens[i]) / (REPEATED if times[i] else 1) for i in range(at, end)))
-        at = end + 1
+    spaces = [t.count(" ") for t in texts]
+    starts = [0, *itertools.accumulate(n + 2 for n in spaces)]
+    times, amounts = _times(starts[-1], repeated), [float(len(t) - n) for t, n in zip(texts, spaces, strict=True)]
+    for i in {i for at, n in repeated for i in range(max(0, bisect.bisect_right(starts, at) - 1), min(len(texts), bisect.bisect_left(starts, at + n)))}:
+        amounts[i] = sum(len(w) / (REPEATED if k else 1) for w, k in zip(texts[i].split(" "), times[starts[i] : starts[i + 1] - 1].tolist(), strict=True))
     kept, known = story(texts, regions, parents, amounts)
     if known:
         return [texts[i] for i in kept]
-    starts, inside = [0, *(e + 1 for e in ends)], set(kept)
+    inside = set(kept)
     gone = [(starts[i], starts[i + 1] - starts[i]) for i in range(len(texts)) if i not in inside]
     return unique_runs(texts, [*repeated, *gone])
 
@@ -252,150 +263,366 @@ def main_blocks(texts: list[str], regions: list[int], parents: list[int], repeat
 _signed = lambda h: h - 2**64 if h >= 2**63 else h
 
 
+class _Numbers:
+    """part: a number of the rows that a task writes; row: of each of them; piece: of those that are hashed together; tokens."""
+
+    def __init__(self) -> None:
+        self.part, self.row, self.piece, self.chars, self.pages = uuid.uuid4().int >> 65, 0, 0, 0, 0
+
+    def of(self, texts: list[str]) -> list[pa.Array]:
+        pieces = []
+        for t in texts:
+            if self.chars >= CHARS or self.pages >= PAGES:
+                self.piece, self.chars, self.pages = self.piece + 1, 0, 0
+            self.chars, self.pages = self.chars + len(t), self.pages + 1
+            pieces.append(self.piece)
+        rows = range(self.row, self.row + len(texts))
+        self.row += len(texts)
+        return [pa.array([self.part] * len(texts), pa.int64()), pa.array(pieces, pa.int32()), pa.array(rows, pa.int32()), pa.array([t.count(" ") + 2 * t.count("\n") + 2 for t in texts], pa.int64())]
+
+
+_NUMBERS = ("part", "piece", "row", "tokens")
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row: a number of each page; page: tells apart what counts as different pages, those of other contents."""
-    base, n = uuid.uuid4().int >> 65, 0
+    """page: tells apart what counts as different pages, those of other contents."""
+    numbers = _Numbers()
     for batch in batches:
         for i in range(0, batch.num_rows, 200):
             part = batch.slice(i, 200)
             got = [parse(h) for h in part.column(2).to_pylist()]
             texts = ["\n".join(t) for t, _, _ in got]
-            rows = [(base + n + k) & ((1 << 62) - 1) for k in range(len(got))]
-            n += len(got)
-            columns = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([r for _, r, _ in got], pa.list_(pa.int32())), pa.array([p for _, _, p in got], pa.list_(pa.int32())), pa.array([host(u) for u in part.column(1).to_pylist()], pa.string()), pa.array([_signed(xxhash.xxh64_intdigest(t)) for t in texts], pa.int64()), pa.array(rows, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "regions", "parents", "host", "page", "row"])
-
-
-def _windows(hosts: list[str], texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-    """The streams of pages, and of each window of RUN tokens in them: its page's place, its own place, a hash of it and the host."""
-    streams = [stream(t.split("\n")) for t in texts]
-    lengths = np.array([len(x) for x in streams], np.int64)
-    words = pa.array([w for x in streams for w in x], pa.string()).dictionary_encode()
-    each = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)[words.indices.to_numpy()]
-    n = np.maximum(lengths - RUN + 1, 0)
-    of = np.repeat(np.arange(len(texts)), n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    first = np.repeat(np.cumsum(lengths) - lengths, n) + at
-    h = np.array([xxhash.xxh64_intdigest(x) for x in hosts], np.uint64)[of]
-    for k in range(RUN):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + each[first + k]
+            columns = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([r for _, r, _ in got], pa.list_(pa.int32())), pa.array([p for _, _, p in got], pa.list_(pa.int32())), pa.array([host(u) for u in part.column(1).to_pylist()], pa.string()), pa.array([_signed(xxhash.xxh64_intdigest(t)) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *numbers.of(texts)], ["page_id", "url", "text", "regions", "parents", "host", "page", *_NUMBERS])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    numbers = _Numbers()
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, *numbers.of(batch.column(2).to_pylist())], ["host", "page", "text", *_NUMBERS])
+
+
+@contextlib.contextmanager
+def _short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Spark removes what actions within have shuffled as each ends: their rows are written, nothing reads it again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _beside(df: DataFrame, name: str) -> str:
+    """Writes rows that belong to parts, for tasks that read the parts' texts: these are then nowhere shuffled."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    with _short_shuffles(df.sparkSession):
+        df.repartition("part").write.partitionBy("part").parquet(path, compression="zstd")
+    return path
+
+
+def _read(path: str, part: int) -> list[dict]:
+    files, root = filesystem(f"{path}/part={part}")
+    names = [f.path for f in files.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.path.endswith(".parquet")]
+    out: list[dict] = []
+    for name in names:
+        with files.open_input_file(name) as f:
+            out += pq.ParquetFile(f).read().to_pylist()
+    return out
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], firsts: str) -> Iterator[tuple[int, int, list[int], list[str], pa.Array]]:
+    """(part, piece, row, host, text), pieces in order -> (part, piece, rows, hosts, texts) of the pages that are first of their contents."""
+    now, known, held = None, set(), []
+
+    def whole() -> tuple[int, int, list[int], list[str], pa.Array]:
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return (*now, t.column(2).to_pylist(), t.column(3).to_pylist(), t.column(4))
+
+    for batch in batches:
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        at = 0
+        for i in range(1, len(keys) + 1):
+            if i < len(keys) and keys[i] == keys[at]:
+                continue
+            if keys[at] != now:
+                if held:
+                    yield whole()
+                if now is None or now[0] != keys[at][0]:
+                    known = {r["row"] for r in _read(firsts, keys[at][0])}
+                now, held = keys[at], []
+            part = batch.slice(at, i - at)
+            part = part.filter(pa.array([r in known for r in part.column(2).to_pylist()], pa.bool_()))
+            held += [part] if part.num_rows else []
+            at = i
+    if held:
+        yield whole()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     for shift in (32, 29):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(0xD6E8FEB86659FD93)
-    return streams, of, at, h ^ (h >> np.uint64(32))
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _tokens(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The streams of pages as bytes, a space after each token; where the tokens end in them, how many there are up to the end of
+    each page, and a hash of each."""
+    space = pa.scalar(" \n ", pa.large_string())
+    texts = pc.binary_join_element_wise(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n "), space, pa.scalar("", pa.large_string()))
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    data = bytes(texts.buffers()[2][offsets[0] : offsets[-1]]) + bytes(8)
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8, len(data) - 8) == 32)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    size = ends - starts
+    eight = np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))  # the eight bytes from each place on
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    each = _mixed((eight[starts] & mask[np.minimum(size, 8)]) ^ size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for k in range(8, 64, 8):
+        if not len(more := np.flatnonzero(size > k)):
+            break
+        each[more] = _mixed(each[more] * np.uint64(0x9E3779B97F4A7C15) + (eight[starts[more] + k] & mask[np.minimum(size[more] - k, 8)]))
+    for i in np.flatnonzero(size > 64).tolist():
+        each[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    return data, ends, np.searchsorted(ends, offsets[1:] - offsets[0]), each
+
+
+def _windows(hosts: list[str], texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What _tokens gives but hashes; of each window of RUN tokens in the streams its page's place, its own place among all tokens
+    and a hash of it and the host."""
+    data, ends, upto, each = _tokens(texts)
+    lengths = np.diff(upto, prepend=0)
+    h = np.zeros(max(0, len(each) - RUN + 1), np.uint64)
+    for k in range(RUN):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += each[k : k + len(h)]
+    of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[: len(h)]
+    first = np.flatnonzero(np.arange(RUN, RUN + len(h)) <= np.repeat(upto, lengths)[: len(h)])  # windows that a page's end cuts are none
+    of = of[first]
+    return data, ends, upto, of, first, _mixed(h[first] + np.array([xxhash.xxh64_intdigest(x) for x in hosts], np.uint64)[of])
+
+
+def _coded(x: np.ndarray, bits: int) -> bytes:
+    """Sorted distinct numbers below 2**bits, 32 bits at most, in about two bits each and those that tell them from their neighbours (Elias-Fano)."""
+    n = len(x)
+    low = max(0, bits - n.bit_length())
+    high = np.zeros(n + (1 << (bits - low)), bool)
+    high[(x >> np.uint32(low)).astype(np.int64) + np.arange(n)] = True
+    rest = np.unpackbits(x.astype(">u4").view(np.uint8).reshape(n, 4), axis=1)[:, 32 - low :]
+    return struct.pack("<IB", n, bits) + np.packbits(high).tobytes() + np.packbits(rest).tobytes()
+
+
+def _decoded(b: bytes) -> np.ndarray:
+    n, bits = struct.unpack_from("<IB", b)
+    low = max(0, bits - n.bit_length())
+    size = n + (1 << (bits - low))
+    end = 5 + (size + 7) // 8
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8, end - 5, 5), count=size)) - np.arange(n)
+    rest = np.zeros((n, 32), np.uint8)
+    rest[:, 32 - low :] = np.unpackbits(np.frombuffer(b, np.uint8, offset=end), count=n * low).reshape(n, low)
+    return (high << low).astype(np.uint32) | np.packbits(rest, axis=1).view(">u4").ravel().astype(np.uint32)
+
+
+def _heads(firsts: str, bits: int, dealt: int):
+    """Pages -> (bucket, part, piece, seen, more): of each piece the hashes of its windows, in bits, the first of them (dealt) as bucket;
+    and which of them several of its pages have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, piece, _, hosts, texts in _pieces(batches, firsts):
+            *_, of, _, h = _windows(hosts, texts)
+            if not len(h):
+                continue
+            h = np.sort(h >> np.uint64(64 - bits) << np.uint64(16) | of.astype(np.uint64))  # a piece has PAGES pages at most
+            of, h = h & np.uint64(0xFFFF), h >> np.uint64(16)
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            starts = np.flatnonzero(new)
+            more = np.logical_or.reduceat(~new & np.concatenate([[False], of[1:] != of[:-1]]), starts)
+            h = h[starts]
+            bounds = np.searchsorted(h, np.arange((1 << dealt) + 1, dtype=np.uint64) << np.uint64(bits - dealt)).tolist()
+            out = [(k, part, piece, _coded((h[i:j] & np.uint64((1 << (bits - dealt)) - 1)).astype(np.uint32), bits - dealt), np.packbits(more[i:j]).tobytes()) for k, (i, j) in enumerate(itertools.pairwise(bounds)) if j > i]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "part", "piece", "seen", "more"])
+
+    return run
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[int], list[str]]]:
-    """(host, page, text) in lists of about CHARS characters."""
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, part, piece, seen, more), by bucket -> (part, piece, bucket, n, hashes): to each piece, which of its windows several pages have."""
+
+    def told(bucket: int, seen: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+        found = [_decoded(b) for _, _, b, _ in seen]
+        x = np.sort(np.concatenate(found))
+        twice = [x[1:][x[1:] == x[:-1]], *(f[np.unpackbits(np.frombuffer(s[3], np.uint8), count=len(f)).astype(bool)] for f, s in zip(found, seen, strict=True))]
+        twice, out = np.unique(np.concatenate(twice)), []
+        for f, (part, piece, b, _) in zip(found, seen, strict=True):
+            hit = np.intersect1d(f, twice, assume_unique=True)
+            if len(hit):
+                out.append((part, piece, bucket, len(hit), _coded(hit, b[4])))
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "piece", "bucket", "n", "hashes"])
+
+    last, seen = None, []
     for batch in batches:
-        hosts, pages, texts = (c.to_pylist() for c in batch.columns)
-        at = size = 0
-        for i, t in enumerate(texts, 1):
-            size += len(t)
-            if size >= CHARS or i == len(texts):
-                yield hosts[at:i], pages[at:i], texts[at:i]
-                at, size = i, 0
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != last and seen:
+                yield told(last, seen)
+                seen = []
+            last = bucket
+            seen.append(row)
+    if seen:
+        yield told(last, seen)
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Sorted numbers of 32 bits as differences, their like bytes beside each other, which compresses well."""
-    return np.diff(x, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _numbers(b: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
-
-
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, text) -> (part, once, more): 40 bits of the windows' hashes, the first 8 as part, those met on one page and on more."""
-    for hosts, _, texts in _portions(batches):
-        _, of, _, h = _windows(hosts, texts)
-        h >>= np.uint64(24)
-        order = np.argsort(h, kind="stable")
-        h, of = h[order], of[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
-        other = np.concatenate([[False], ~new[1:] & (of[1:] != of[:-1])]) if len(h) else new
-        twice = np.logical_or.reduceat(other, starts) if len(starts) else new
-        h = h[starts]
-        bounds = np.searchsorted(h, np.arange(257, dtype=np.uint64) << np.uint64(32))
-        out = []
-        for p in range(256):
-            x, t = h[bounds[p] : bounds[p + 1]].astype(np.uint32), twice[bounds[p] : bounds[p + 1]]
-            if len(x):
-                out.append((p, _planes(x[~t]), _planes(x[t])))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "once", "more"])
-
-
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, once, more), by part -> (part, bits): the part's piece of the map of windows that several pages may have."""
-
-    def piece(part: int, once: list[np.ndarray], more: list[np.ndarray]) -> pa.RecordBatch:
-        x = np.sort(np.concatenate(once))
-        bits = np.zeros(1 << (MAP_BITS - 8), bool)
-        for found in (x[1:][x[1:] == x[:-1]], *more):
-            bits[found >> np.uint32(40 - MAP_BITS)] = True
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["part", "bits"])
-
-    last, once, more = None, [], []
-    for batch in batches:
-        for part, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if part != last and last is not None:
-                yield piece(last, once, more)
-                once, more = [], []
-            last, a, b = part, _numbers(a), _numbers(b)
-            once += [a, b]  # a window of several pages here may be met again
-            more.append(b)
-    if last is not None:
-        yield piece(last, once, more)
+    """The like bytes of numbers beside each other, which compresses well."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
 
+def _plain(b: memoryview, n: int, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8, n * np.dtype(kind).itemsize).reshape(-1, n).T).view(kind).ravel()
 
-def _suffixes(held: Held):
-    """(host, page, text) -> (host, page, at, head, tail): a row for each place whose window the map has; shorter suffixes than
-    RUN can't repeat but as a whole page's."""
+
+def _packed(suffixes: list[tuple[int, str, int, int]]) -> bytes:
+    """(head, tail, row, at), sorted and one at least, in a block."""
+    head, tail, row, at = zip(*suffixes, strict=True)
+    columns = (np.diff(np.array(head, np.uint64), prepend=np.uint64(0)), np.array(row, np.int32), np.array(at, np.int32), np.array([len(t) for t in tail], np.int32))
+    return zstandard.compress(struct.pack("<I", len(head)) + b"".join(map(_planes, columns)) + "".join(tail).encode())
+
+
+def _unpacked(block: bytes) -> Iterator[tuple[int, str, int, int]]:
+    b = memoryview(zstandard.decompress(block))
+    (n,) = struct.unpack_from("<I", b)
+    head, row, at, size = (_plain(b[4 + i * n :], n, k) for i, k in ((0, np.uint64), (8, np.int32), (12, np.int32), (16, np.int32)))
+    ends, text = np.cumsum(size), str(b[4 + 20 * n :], "utf-8")
+    tails = [text[i:j] for i, j in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+    return zip(np.cumsum(head, dtype=np.uint64).tolist(), tails, row.tolist(), at.tolist(), strict=True)
+
+
+def _stretches(found: list[tuple[int, int, int]]) -> bytes:
+    """(row, at, n) in a block."""
+    x = np.array(sorted(found), np.int32).reshape(-1, 3).T
+    return zstandard.compress(_planes(np.diff(x[0], prepend=np.int32(0))) + _planes(np.ascontiguousarray(x[1])) + x[2].astype(np.uint8).tobytes())
+
+
+def _places(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    b = memoryview(zstandard.decompress(block))
+    n = len(b) // 9
+    return np.cumsum(_plain(b, n, np.int32)), _plain(b[4 * n :], n, np.int32), np.frombuffer(b, np.uint8, offset=8 * n)
+
+
+_SEVERAL = -1  # in place of a row: a suffix that several pages have
+
+
+def _met_here(suffixes: list[tuple[int, str, int, int]]) -> tuple[list[tuple[int, str, int, int]], list[tuple[int, int, int]]]:
+    """Suffixes of one part, sorted -> those to deal out, and (row, at, n) of those that another page of the part has to their full
+    depth. These know all that they can share, and one of SEVERAL pages meets the others in their place."""
+    out, met, i = [], [], 0
+    while i < len(suffixes):
+        head, tail, row, _ = suffixes[i]
+        j = i + 1
+        while j < len(suffixes) and suffixes[j][0] == head and suffixes[j][1] == tail:
+            j += 1
+        if suffixes[j - 1][2] != row:
+            n = _shared(tail, tail)
+            met += [(r, a, n) for _, _, r, a in suffixes[i:j]]
+            out.append((head, tail, _SEVERAL, 0))
+        else:
+            out += suffixes[i:j]
+        i = j
+    return out, met
+
+
+_DEALT = [("bucket", pa.int32()), ("part", pa.int64()), ("met", pa.bool_()), ("block", pa.binary())]
+
+
+def _suffixes(firsts: str, repeated: str, bits: int, dealt: int, buckets: int):
+    """Pages -> (bucket, part, met, block): a suffix for each place whose window several pages have, dealt out by the first bits (buckets) of
+    its head, a hash of the host and RUN tokens; met: stretches that are known here. Shorter suffixes than RUN can't repeat but as a whole page's."""
+
+    def dealt_out(part: int, suffixes: list[tuple[int, str, int, int]]) -> pa.RecordBatch:
+        suffixes.sort()
+        rest, met = _met_here(suffixes)
+        out = [(k, part, False, _packed(list(g))) for k, g in itertools.groupby(rest, lambda s: s[0] >> (64 - buckets))]
+        if met:
+            out.append((part & ((1 << buckets) - 1), part, True, _stretches(met)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), _DEALT, strict=True)], [n for n, _ in _DEALT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held.value, np.uint8)
-        for hosts, pages, texts in _portions(batches):
-            streams, of, at, h = _windows(hosts, texts)
-            i = h >> np.uint64(64 - MAP_BITS)
-            hit = np.flatnonzero(bits[i >> np.uint64(3)] >> (np.uint8(7) - (i & np.uint64(7)).astype(np.uint8)) & 1)
-            of, at, h = of[hit], at[hit], h[hit].view(np.int64)
-            for k in range(0, len(hit), 10_000):
-                o, a = of[k : k + 10_000].tolist(), at[k : k + 10_000].tolist()
-                tail = [" ".join(streams[x][y + RUN : y + DEPTH]) for x, y in zip(o, a, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([hosts[x] for x in o], pa.string()), pa.array([pages[x] for x in o], pa.int64()), pa.array(a, pa.int64()), pa.array(h[k : k + 10_000]), pa.array(tail, pa.string())], ["host", "page", "at", "head", "tail"])
+        last, told, held = None, {}, []
+        for part, piece, rows, hosts, texts in _pieces(batches, firsts):
+            if part != last:
+                if held:
+                    yield dealt_out(last, held)
+                last, told, held = part, {}, []
+                for r in _read(repeated, part):
+                    told.setdefault(r["piece"], []).append((r["bucket"], r["hashes"]))
+            if piece not in told:
+                continue
+            several = np.sort(np.concatenate([_decoded(b) | np.uint64(k << (bits - dealt)) for k, b in told.pop(piece)]))
+            data, ends, upto, of, first, h = _windows(hosts, texts)
+            short = h >> np.uint64(64 - bits)
+            hit = np.flatnonzero(several[np.minimum(np.searchsorted(several, short), len(several) - 1)] == short)
+            of, first = of[hit], first[hit]
+            at = first - np.concatenate([[0], upto[:-1]])[of]
+            begin, end = ends[first + RUN - 1] + 1, ends[np.minimum(first + DEPTH, upto[of]) - 1]
+            for page, place, i, j, head in zip(of.tolist(), at.tolist(), begin.tolist(), end.tolist(), h[hit].tolist(), strict=True):
+                held.append((head, data[i:j].decode(), rows[page], place))
+                if len(held) >= SUFFIXES:
+                    yield dealt_out(part, held)
+                    held = []
+        if held:
+            yield dealt_out(last, held)
 
     return run
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes sorted by host, head, tail -> (host, page, at, n): those that share n >= RUN tokens with one of another page.
+    """(bucket, part, met, block), by bucket -> (part, block): stretches that suffixes share with one of another page."""
+
+    def scanned(blocks: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for page, at, n in _shared_by(sorted((head, tail, (part if row != _SEVERAL else _SEVERAL, row), at) for part, b in blocks for head, tail, row, at in _unpacked(b))):
+            if page[1] != _SEVERAL:
+                found.setdefault(page[0], []).append((page[1], at, n))
+        return ((part, _stretches(f)) for part, f in found.items())
+
+    last, blocks = None, []
+    for batch in itertools.chain(batches, (None,)):
+        out: list[tuple[int, bytes]] = []
+        for bucket, part, met, block in zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch else ((None, 0, False, b""),):
+            if bucket != last and blocks:
+                out += scanned(blocks)
+                blocks = []
+            last = bucket
+            if met:
+                out.append((part, block))
+            elif block:
+                blocks.append((part, block))
+        columns = list(zip(*out, strict=True)) or [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["part", "block"])
+
+
+def _shared_by(suffixes: list[tuple[int, str, tuple[int, int], int]]) -> Iterator[tuple[tuple[int, int], int, int]]:
+    """Suffixes (head, tail, page, at), sorted -> (page, at, n): those that share n >= RUN tokens with one of another page.
 
     A suffix shares most with a neighbour in the order; of suffixes of one page in a row, all but the last wait until
-    one of another page comes.
+    one of another page comes. Those of SEVERAL pages are other pages to all and have no need to know.
     """
-    last, waiting = None, []  # the suffix before; suffixes of its page that have met no other page
-    for batch in batches:
-        out: list[tuple] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            name, page, at, head, tail = row
-            if last is None or (name, head) != (last[0], last[3]):
-                waiting = [row]
-            elif page == last[1]:
-                waiting.append(row)
-                if met is not None:
-                    out.append((name, page, at, _shared(met, tail)))
-            else:
-                n = _shared(last[4], tail)
-                out += [(*w[:3], _shared(w[4], tail)) for w in waiting]
-                out.append((name, page, at, n))
-                waiting, met = [row], last[4]
-            if last is None or (name, head) != (last[0], last[3]):
-                met = None
-            last = row
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["host", "page", "at", "n"])
+    last, waiting, met = None, [], None  # the suffix before; suffixes of its page in a row; the tail before these
+    for row in suffixes:
+        head, tail, page, at = row
+        if last is None or head != last[0]:
+            waiting, met = [row], None
+        elif page == last[2]:
+            waiting.append(row)
+            if met is not None:
+                yield page, at, _shared(met, tail)
+        else:
+            for _, t, p, a in waiting:
+                yield p, a, _shared(t, tail)
+            yield page, at, _shared(last[1], tail)
+            waiting, met = [row], last[1]
+        last = row
 
 
 def _shared(a: str, b: str) -> int:
@@ -408,40 +635,71 @@ def _shared(a: str, b: str) -> int:
     return n
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, found) -> the same, stretches that overlap or meet as one."""
-    for batch in batches:
-        out = []
-        for found in batch.column(2).to_pylist():
-            whole: list[dict] = []
-            for x in sorted(found, key=lambda x: x["at"]):
-                if whole and x["at"] <= whole[-1]["at"] + whole[-1]["n"]:
-                    whole[-1]["n"] = max(whole[-1]["n"], x["at"] + x["n"] - whole[-1]["at"])
-                else:
-                    whole.append(x)
-            out.append(whole)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.schema.field(2).type)], ["host", "page", "found"])
-
-
-def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
-        texts = ["\n".join(main_blocks(t.split("\n") if t else [], r, p, [(x["at"], x["n"]) for x in found or ()])) for t, r, p, found in rows]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+def _joined(firsts: str):
+    """(part, block), by part -> (host, page, at, n): stretches, those that overlap or meet as one."""
+
+    def whole(part: int, blocks: list[bytes]) -> pa.RecordBatch:
+        row, at, n = (np.concatenate(c).astype(np.int64) for c in zip(*map(_places, blocks), strict=True))
+        start = row << 32 | at
+        order = np.argsort(start)
+        start, end = start[order], np.maximum.accumulate((start + n)[order])
+        new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+        start, end = start[new], end[np.append(new[1:], len(end)) - 1]
+        pages = {r["row"]: (r["host"], r["page"]) for r in _read(firsts, part)}
+        hosts, ids = zip(*(pages[r] for r in (start >> 32).tolist()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(start & 0xFFFFFFFF), pa.array(end - start)], ["host", "page", "at", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, blocks = None, []
+        for batch in batches:
+            for part, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != last and blocks:
+                    yield whole(last, blocks)
+                    blocks = []
+                last = part
+                blocks.append(block)
+        if blocks:
+            yield whole(last, blocks)
+
+    return run
+
+
+def _choose(repeated: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, {}
+        for batch in batches:
+            texts = []
+            for t, r, p, part, row in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                if part != last:
+                    last, known = part, {x["row"]: x["found"] for x in _read(repeated, part)}
+                texts.append("\n".join(main_blocks(t.split("\n") if t else [], r, p, [(x["at"], x["n"]) for x in known.get(row, ())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return run
+
+
+def _width(n: int, less: int, least: int = 0) -> int:
+    """Bits that number n things, less so many."""
+    return max(least, n.bit_length() - less)
 
 
 def repeats(pages: DataFrame) -> DataFrame:
-    """pages(host, page, text), distinct -> (host, page, at, n): stretches of n tokens at a place of the page's stream that
-    another page of the host has too."""
-    pages = pages.select("host", "page", "text")
-    heads = pages.mapInArrow(_heads, "part int, once binary, more binary")
-    pieces = heads.repartition("part").sortWithinPartitions("part").mapInArrow(_bits, "part int, bits binary").collect()
-    size = 1 << (MAP_BITS - 11)
-    whole = bytearray(256 * size)
-    for r in pieces:
-        whole[r.part * size : (r.part + 1) * size] = zlib.decompress(r.bits)
-    suffixes = pages.mapInArrow(_suffixes(Held(pages.sparkSession, bytes(whole))), "host string, page long, at long, head long, tail string")
-    return suffixes.repartition("host", "head").sortWithinPartitions("host", "head", "tail", "page", "at").mapInArrow(_neighbours, "host string, page long, at long, n long")
+    """pages(host, page, text) -> (host, page, at, n): stretches of n tokens at a place of the page's stream that another page of
+    the host has too. Rows of equal host and page count once. Pages that are written with their numbers are read as they are."""
+    spark = pages.sparkSession
+    if "part" not in pages.columns:
+        pages = written(pages.select("host", "page", "text").mapInArrow(_numbered, "host string, page long, text string, part long, piece int, row int, tokens long"), "pages", "zstd")
+    firsts = _beside(pages.groupBy("host", "page").agg(F.min(F.struct("part", "row")).alias("x")).select("host", "page", "x.part", "x.row"), "firsts")
+    windows = pages.agg(F.sum("tokens")).first()[0] or 0
+    bits, dealt = min(48, _width(windows, -SPARE)), min(20, _width(windows, 20))
+    texts = pages.select("part", "piece", "row", "host", "text")
+    heads = texts.mapInArrow(_heads(firsts, bits, dealt), "bucket int, part long, piece int, seen binary, more binary")
+    told = heads.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "part long, piece int, bucket int, n long, hashes binary")
+    path = _beside(told, "repeated")
+    n = spark.read.schema("n long").parquet(path).agg(F.sum("n")).first()[0] or 0
+    suffixes = texts.mapInArrow(_suffixes(firsts, path, bits, dealt, buckets := _width(n, 18, 4)), "bucket int, part long, met boolean, block binary")
+    found = suffixes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_neighbours, "part long, block binary")
+    return found.repartition("part").sortWithinPartitions("part").mapInArrow(_joined(firsts), "host string, page long, at long, n long")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -452,12 +710,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     the host ''. Pages of equal contents count as one page, so copies don't erase each other. An article's headings are
     kept, also those in its own header; the rest of that header goes. Every page goes through the suffix array.
     """
-    schema = "page_id long, url string, text string, regions array<int>, parents array<int>, host string, page long, row long"
+    schema = "page_id long, url string, text string, regions array<int>, parents array<int>, host string, page long, part long, piece int, row int, tokens long"
     parsed = written(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_parse, schema), "parsed", "zstd")
-    # Written, so that Spark knows how small they are: texts are not shuffled then.
-    firsts = written(parsed.where("text <> ''").groupBy("host", "page").agg(F.min("row").alias("row")).select("row"), "firsts")
-    found = repeats(parsed.join(firsts, "row", "left_semi"))
-    of_page = found.groupBy("host", "page").agg(F.collect_list(F.struct("at", "n")).alias("found"))  # no more than a page's tokens
-    of_page = written(of_page.mapInArrow(_joined, of_page.schema), "repeats")
-    chosen = parsed.join(of_page, ["host", "page"], "left").select("page_id", "url", "text", "regions", "parents", "found")
-    return chosen.mapInArrow(_choose, "page_id long, url string, text string")
+    with_text = parsed.where("tokens > 2 or text <> ''")
+    of_page = repeats(with_text).groupBy("host", "page").agg(F.collect_list(F.struct("at", "n")).alias("found"))  # no more than a page's tokens
+    found = _beside(with_text.select("host", "page", "part", "row").join(of_page, ["host", "page"]).select("part", "row", "found"), "found")
+    return parsed.select("page_id", "url", "text", "regions", "parents", "part", "row").mapInArrow(_choose(found), "page_id long, url string, text string")

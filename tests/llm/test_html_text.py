@@ -3,6 +3,8 @@ import random
 import re
 import time
 
+import numpy as np
+
 from quarryline.llm import html_text, queries
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
@@ -107,3 +109,59 @@ def test_every_page_meets_the_suffix_array(spark, monkeypatch):
     monkeypatch.setattr(html_text, "repeats", lambda pages: met.extend(pages.select("host", "text").collect()) or repeats(pages))
     rows = [(i, f"http://h/{i}", f"<article>words of page {i}</article>") for i in range(5)]
     assert html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).count() == 5 and len(met) == 5
+
+
+def test_texts_are_not_shuffled(spark):
+    """Where broadcasts are out of the question, as for many pages, no exchange stands above the written texts."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    menu = "one two three four five six seven eight nine"
+    rows = [(i, f"http://h/{i % 2}", f"<div>{menu}</div><div>{i // 2} stands alone</div>") for i in range(40)]
+    try:
+        spark.conf.set(key, "-1")
+        got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5))
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.page_id: r.text for r in got.collect()} == {i: f"{i // 2} stands alone" for i in range(40)}
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_blocks_of_numbers_and_suffixes():
+    rng = np.random.default_rng(4)
+    for bits, n in ((8, 1), (8, 200), (28, 5000), (32, 3), (1, 2)):
+        x = np.unique(rng.integers(0, 1 << bits, n, np.uint64)).astype(np.uint32)
+        assert (html_text._decoded(html_text._coded(x, bits)) == x).all()
+    suffixes = sorted((int(h), "wörd \n " * k, k, 7 * k) for k, h in enumerate(rng.integers(0, 1 << 64, 50, np.uint64)))
+    assert list(html_text._unpacked(html_text._packed(suffixes))) == suffixes
+    found = sorted((int(r), int(a), int(n)) for r, a, n in rng.integers(0, 200, (50, 3)))
+    assert sorted(zip(*(c.tolist() for c in html_text._places(html_text._stretches(found))), strict=True)) == found
+
+
+def test_suffixes_of_parts_share_as_if_together():
+    """Each suffix learns the most that it shares with one of another page, whether its own part or another has that."""
+    rng = random.Random(8)
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for _ in range(60):
+        all_ = [(rng.randrange(3), rng.randrange(4), at, rng.randrange(2), [rng.choice("ab") for _ in range(rng.randint(1, 4))]) for at in range(rng.randint(1, 25))]
+        got, dealt = {}, []
+        for part in range(3):
+            rest, met = html_text._met_here(sorted((head, " ".join(tail), row, at) for p, row, at, head, tail in all_ if p == part))
+            got |= {at: n for _, at, n in met}
+            dealt += [(head, tail, (part if row >= 0 else row, row), at) for head, tail, row, at in rest]
+        for page, at, n in html_text._shared_by(sorted(dealt)):
+            if page[1] >= 0:
+                got[at] = max(n, got.get(at, 0))
+        for p, row, at, head, tail in all_:
+            others = [shared(tail, t) for q, r, _, g, t in all_ if g == head and (q, r) != (p, row)]
+            assert got.get(at) == (html_text.RUN + max(others) if others else None)
+
+
+def test_windows_are_those_of_the_streams():
+    texts = ["a b c d e f g h i\nj", "short", "é" * 30 + " b c d e f g h", "x" * 200 + " b c d e f g h", "", "z\n" * 6 + "z"]
+    data, ends, upto, of, first, h = html_text._windows(["h"] * len(texts), html_text.pa.array(["skipped", *texts])[1:])
+    streams = [html_text.stream(t.split("\n")) for t in texts]
+    want = [(i, tuple(s[a : a + html_text.RUN])) for i, s in enumerate(streams) for a in range(len(s) - html_text.RUN + 1)]
+    assert list(upto) == [sum(map(len, streams[: i + 1])) for i in range(len(streams))]
+    tokens = [t for s in streams for t in s]
+    assert [(i, tuple(tokens[a : a + html_text.RUN])) for i, a in zip(of.tolist(), first.tolist(), strict=True)] == want
+    assert len(set(h.tolist())) == len({w for _, w in want}) and len(tokens) == len(ends) and data.count(b" ", 0, -8) == len(ends)
